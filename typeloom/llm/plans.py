@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import copies, cross_split, terms
+from typeloom.llm import copies, cross_split, encodings, one_form, terms
 from typeloom.tables import load
 
 # --- 2: same or nearly the same records across splits
@@ -107,15 +107,65 @@ c AS (SELECT word, count(*) AS occurrences, count(DISTINCT record_id) AS records
 m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records * 20 > (SELECT count(DISTINCT record_id) FROM word_tokens) THEN 'common' END AS mark FROM c)
 """
 
+# --- 3: visually identical text with different characters
+
+_DISGUISED = (("dev_label_review", "context"), ("known_misspellings_review", "word"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (one_form.disguised(load(spark, sf_dir, t).select("review_id", c), c).select(F.lit(t).alias("table_name"), "review_id") for t, c in _DISGUISED)
+    return a.unionByName(b)
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in its one form."""
+    a, b = (one_form.canonical(load(spark, sf_dir, t).select("review_id", F.col(c).alias("text")), "text").select(F.lit(t).alias("table_name"), "review_id", "canonical") for t, c in _DISGUISED)
+    return a.unionByName(b)
+
+
+def p3_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are equal in their one form though written in several ways."""
+    a, b = (one_form.canonical(load(spark, sf_dir, t).select(F.col(c).alias("text")), "text").select(F.lit(t).alias("table_name"), "canonical", "text") for t, c in _DISGUISED)
+    return a.unionByName(b).where("canonical is not null").groupBy("table_name", "canonical").agg(F.count("*").alias("n_rows"), F.countDistinct("text").alias("n_forms")).where("n_forms > 1")
+
+
+# --- 6: garbled text from wrong character encoding
+
+
+def _p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = load(spark, sf_dir, "sentence_corpus").select(F.lit("sentence_corpus").alias("table_name"), F.col("sent_id").alias("row_id"), F.col("sentence").alias("text"))
+    b = load(spark, sf_dir, "correction_pairs").select(F.lit("correction_pairs").alias("table_name"), F.col("pair_id").alias("row_id"), F.col("source").alias("text"))
+    return a.unionByName(b)
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _p6_texts(spark, sf_dir)
+    return encodings.garbled(texts, encodings.fitted(texts))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_restored(spark, sf_dir).select("table_name", "row_id")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_restored(spark, sf_dir).groupBy("table_name", F.coalesce("chain", F.lit("beyond restoring")).alias("chain")).agg(F.count("*").alias("n_rows"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p2_overlap": p2_overlap,
+    "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
+    "p3_same": p3_same,
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p4_collisions": p4_collisions,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
+    "p6_found": p6_found,
+    "p6_restored": p6_restored,
+    "p6_report": p6_report,
 }
 ORACLE = {
     "p2_found": _P2 + "SELECT least(id_train, id_other) AS sent_id_1, greatest(id_train, id_other) AS sent_id_2 FROM p",
