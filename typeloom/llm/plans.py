@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import copies, cross_split, encodings, one_form, terms
+from typeloom.llm import copies, cross_split, encodings, one_form, packing, terms
 from typeloom.tables import load
 
 # --- 2: same or nearly the same records across splits
@@ -151,6 +151,17 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_restored(spark, sf_dir).groupBy("table_name", F.coalesce("chain", F.lit("beyond restoring")).alias("chain")).agg(F.count("*").alias("n_rows"))
 
 
+# --- 7: filling fixed-capacity containers
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.documents_packed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "context_windows"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p7_packed(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -166,6 +177,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_restored": p6_restored,
     "p6_report": p6_report,
+    "p7_packed": p7_packed,
+    "p7_report": p7_report,
 }
 ORACLE = {
     "p2_found": _P2 + "SELECT least(id_train, id_other) AS sent_id_1, greatest(id_train, id_other) AS sent_id_2 FROM p",
