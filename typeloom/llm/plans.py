@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import copies, cross_split, encodings, one_form, packing, terms
+from typeloom.llm import copies, cross_split, encodings, leaks, one_form, packing, terms
 from typeloom.tables import load
 
 # --- 2: same or nearly the same records across splits
@@ -162,6 +162,35 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(p7_packed(spark, sf_dir))
 
 
+# --- 8: evaluation texts leaking into training text
+
+
+def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8(spark, sf_dir).where("exact").select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per test set: items, leaked items and documents they leaked into, by exact words or nearly."""
+    items = load(spark, sf_dir, "eval_items").select("item_id", "set_name")
+    return items.join(_p8(spark, sf_dir), "item_id", "left").groupBy("set_name").agg(
+        F.countDistinct("item_id").alias("n_items"), F.countDistinct(F.when(F.col("doc_id").isNotNull(), F.col("item_id"))).alias("n_leaked"), F.countDistinct("doc_id").alias("n_documents"), F.count(F.when(F.col("exact"), 1)).alias("n_exact_pairs")
+    )
+
+
+_P8 = rf"""
+WITH i AS (SELECT item_id, string_split({_sql_words("text")}, ' ') AS ws FROM eval_items WHERE text IS NOT NULL AND {_sql_words("text")} <> ''),
+q AS (SELECT item_id, len(ws) AS n, unnest(list_transform(range(1, greatest(1, len(ws) - 11) + 1), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g, least(12, len(ws)) AS m FROM i),
+d AS (SELECT doc_id, string_split({_sql_words("text")}, ' ') AS ws FROM documents WHERE text IS NOT NULL AND {_sql_words("text")} <> ''),
+l AS (SELECT DISTINCT m FROM q),
+w AS (SELECT DISTINCT doc_id, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda k: array_to_string(ws[k:k + m - 1], ' '))) AS g FROM d, l WHERE len(ws) >= m)
+SELECT DISTINCT doc_id, item_id FROM w JOIN q USING (m, g)
+"""
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -179,6 +208,8 @@ QUERIES = {
     "p6_report": p6_report,
     "p7_packed": p7_packed,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
 }
 ORACLE = {
     "p2_found": _P2 + "SELECT least(id_train, id_other) AS sent_id_1, greatest(id_train, id_other) AS sent_id_2 FROM p",
@@ -189,5 +220,6 @@ ORACLE = {
     "p4_found": _P4 + "SELECT table_name, first_id AS id_1, id AS id_2 FROM k JOIN g USING (table_name, k) WHERE n_copies > 1 AND id <> first_id",
     "p4_records": _P4 + "SELECT table_name, first_id, n_copies FROM g",
     "p5_found": _P5 + "SELECT word, mark FROM m WHERE mark IS NOT NULL",
+    "p8_found": _P8,
     "p5_counts": _P5 + "SELECT word, occurrences, records, coalesce(mark, 'useful') AS mark FROM m",
 }
