@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import copies, cross_split, encodings, leaks, one_form, packing, terms
+from typeloom.llm import copies, cross_split, encodings, leaks, one_form, packing, terms, toxicity
 from typeloom.tables import load
 
 # --- 2: same or nearly the same records across splits
@@ -191,6 +191,21 @@ SELECT DISTINCT doc_id, item_id FROM w JOIN q USING (m, g)
 """
 
 
+# --- 9: abusive, hateful or sexual content
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "doc_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where("score >= 0.5").select("doc_id")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rates(p9_scores(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -210,6 +225,9 @@ QUERIES = {
     "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_report": p9_report,
 }
 ORACLE = {
     "p2_found": _P2 + "SELECT least(id_train, id_other) AS sent_id_1, greatest(id_train, id_other) AS sent_id_2 FROM p",
