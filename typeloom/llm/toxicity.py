@@ -225,7 +225,7 @@ def fitted(words: list[np.ndarray], skeletons: list[np.ndarray], labels: np.ndar
     for _ in range(rounds - 1):
         top = chosen(score) & ~doubted
         score = out_of_fold(top.astype(float), (top | ~known) & ~doubted, np.zeros((n, 0)), m - 1)
-        doubted = np.where(known, score < -doubt, score > doubt)
+        doubted = np.where(known, score < -doubt, score > doubt) & (labels.sum() >= 60)
     top = chosen(score) & ~doubted
     use = (top | ~known) & ~doubted
     weights, bias, links, oof = np.zeros((len(number), m)), np.zeros(m), np.zeros((m, m)), np.zeros((n, m))
