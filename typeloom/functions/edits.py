@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from typeloom.functions.layout import EN_ROWS, RU_ROWS, adjacent
 
@@ -166,7 +167,7 @@ def osa(a: str, b: str) -> int:
     return last[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
@@ -198,7 +199,7 @@ def align(typed: list[str], fixed: list[str]) -> list[tuple[int, int | None]]:
     return out
 
 
-@F.pandas_udf("array<struct<typed:string,intended:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("typed", StringType()), StructField("intended", StringType())])))
 def aligned_words(typed: pd.Series, fixed: pd.Series) -> pd.Series:
     rows = []
     for a, b in zip(typed, fixed, strict=True):

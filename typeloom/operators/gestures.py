@@ -5,21 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _micros(at: str) -> Column:
+    return F.unix_micros(F.col(at).cast("timestamp"))
+
+
 def offered_load(events: DataFrame, key: str = "user_id", at: str = "ts", seconds: int = 60) -> DataFrame:
     """Adds ``n_before``: events of the same key in the ``seconds`` up to and including each event."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(key).orderBy(_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("n_before", F.count("*").over(w))
 
 
 def double_taps(events: DataFrame, key: str = "user_id", at: str = "ts", kind: str = "event_type", id_col: str = "event_id", gap: float = 0.4) -> DataFrame:
     """Events that follow one of the same kind and key within ``gap`` seconds with none between."""
     w = Window.partitionBy(key).orderBy(at, id_col)
-    e = events.withColumns({"_kind": F.lag(kind).over(w), "_at": F.lag(F.unix_micros(at)).over(w)})
-    return e.where((F.col("_kind") == F.col(kind)) & (F.unix_micros(at) - F.col("_at") <= int(gap * 1e6))).drop("_kind", "_at")
+    e = events.withColumns({"_kind": F.lag(kind).over(w), "_at": F.lag(_micros(at)).over(w)})
+    return e.where((F.col("_kind") == F.col(kind)) & (_micros(at) - F.col("_at") <= int(gap * 1e6))).drop("_kind", "_at")
 
 
 class RateLimiter:
@@ -45,7 +49,7 @@ def accepted(events: DataFrame, key: str = "user_id", at: str = "ts", id_col: st
         ok = [bool(t == t and limiter.offer(t, int(n))) for t, n in zip(f["t"], f[size].fillna(0), strict=True)]
         return pd.DataFrame({id_col: f[id_col], "accepted": ok})
 
-    e = events.select(key, id_col, (F.unix_micros(at) / 1e6).alias("t"), F.col(size).cast("bigint").alias(size))
+    e = events.select(key, id_col, (_micros(at) / 1e6).alias("t"), F.col(size).cast("bigint").alias(size))
     return e.groupBy(key).applyInPandas(run, f"{id_col} {dict(events.dtypes)[id_col]}, accepted boolean")
 
 

@@ -24,11 +24,25 @@ def pure(lang: Column, word: Column) -> Column:
     return ((lang == "en") & word.rlike("^[a-z]{2,32}$")) | ((lang == "ru") & word.rlike("^[а-яё]{2,32}$"))
 
 
+def with_rank(words: DataFrame, to: str = "rank", letters: int = 3) -> DataFrame:
+    """Adds the place of each word of its language by (``cnt`` descending, ``word``), without sorting a language in one task.
+
+    Words of equal count and beginning form small groups that are ranked by themselves;
+    how many words come before a group follows from a table of the groups alone.
+    """
+    w = words.withColumn("_begin", F.substring("word", 1, letters))
+    group = w.groupBy("lang", "cnt", "_begin").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("lang").orderBy(F.desc("cnt"), "_begin").rowsBetween(Window.unboundedPreceding, -1))
+    group = group.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("lang", "cnt", "_begin").orderBy("word"))
+    return w.withColumn("_within", within).join(group, ["lang", "cnt", "_begin"]).withColumn(to, (F.col("_before") + F.col("_within")).cast("int")).drop("_begin", "_within", "_before")
+
+
 def ranked(tok: DataFrame, least: int = 1) -> DataFrame:
     """``lang, word, key, cnt, rank, len``: words by frequency, ties in the order of the alphabet.
 
     Counts are combined before the shuffle and spellings with ё and е merged under the
-    more frequent one; ranking takes place per language over distinct words only.
+    more frequent one; only distinct words are ranked.
     """
     cnt = tok.where(pure(F.col("lang"), F.col("word"))).groupBy("lang", "word").agg(F.count("*").alias("cnt"))
     merged = (
@@ -37,14 +51,13 @@ def ranked(tok: DataFrame, least: int = 1) -> DataFrame:
         .select("lang", F.col("best.word").alias("word"), "key", F.col("total").alias("cnt"))
         .where(F.col("cnt") >= least)
     )
-    w = Window.partitionBy("lang").orderBy(F.desc("cnt"), "word")
-    return merged.withColumns({"rank": F.row_number().over(w), "len": F.length("word")})
+    return with_rank(merged).select("lang", "word", "key", "cnt", "rank", F.length("word").alias("len"))
 
 
 def form_list(lex: DataFrame, known: DataFrame, least: int = 3, limit: int = 200_000) -> DataFrame:
     """Frequent known forms, at most ``limit`` a language, ranked anew (semi join, then rank)."""
-    w = Window.partitionBy("lang").orderBy(F.desc("cnt"), "word")
-    return lex.where(F.col("cnt") >= least).join(known, ["lang", "word"], "left_semi").withColumn("form_rank", F.row_number().over(w)).where(F.col("form_rank") <= limit).select("lang", "word", "cnt", "form_rank")
+    kept = lex.where(F.col("cnt") >= least).join(known, ["lang", "word"], "left_semi").select("lang", "word", "cnt")
+    return with_rank(kept, "form_rank").where(F.col("form_rank") <= limit).select("lang", "word", "cnt", "form_rank")
 
 
 def seen_forms(lex: DataFrame, known: DataFrame, least: int = 5, length: int = 5) -> DataFrame:

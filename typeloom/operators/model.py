@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import HashingTF
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typeloom.functions.hashing import feature_names, fnv16, sampled_tenth
@@ -29,38 +29,52 @@ def training_rows(tok: DataFrame) -> DataFrame:
     return w.select(F.inline(F.concat(right, wrong, structured)))
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """``token, label, idx, n``: hashed n-grams of the token and of its conversion, script and length."""
-    names = F.concat(
-        feature_names(F.lower("token"), "o"),
-        feature_names(F.lower(convert(F.col("token"))), "c"),
-        F.array(F.concat(F.lit("script:"), script(F.col("token"))), F.concat(F.lit("len:"), F.least(F.length("token"), F.lit(16)).cast("string"))),
+def names(token: Column) -> Column:
+    """Feature names of a token: n-grams of it and of its conversion, script and length."""
+    return F.concat(
+        feature_names(F.lower(token), "o"),
+        feature_names(F.lower(convert(token)), "c"),
+        F.array(F.concat(F.lit("script:"), script(token)), F.concat(F.lit("len:"), F.least(F.length(token), F.lit(16)).cast("string"))),
     )
-    each = rows.select("token", "label", F.explode(names).alias("name"))
-    return each.groupBy("token", "label", "name").agg(F.count("*").alias("k")).groupBy("token", "label", fnv16(F.col("name")).cast("int").alias("idx")).agg(F.sum("k").alias("n"))
 
 
-@F.udf(VectorUDT())
-def _sparse(pairs):  # noqa: ANN001, ANN202
-    return SparseVector(DIM, sorted((p["idx"], float(p["n"])) for p in pairs))
+def features(rows: DataFrame) -> DataFrame:
+    """``token, label, idx, n``: the hashed features of every token with their counts."""
+    each = rows.select("token", "label", F.explode(names(F.col("token"))).alias("name"))
+    return each.groupBy("token", "label", "name").agg(F.count("*").alias("k")).groupBy("token", "label", fnv16(F.col("name")).cast("int").alias("idx")).agg(F.sum("k").alias("n"))
 
 
-def vectors(feats: DataFrame) -> DataFrame:
-    return feats.groupBy("token", "label").agg(F.collect_list(F.struct("idx", "n")).alias("p")).select("token", "label", _sparse("p").alias("features"))
+def vectors(rows: DataFrame) -> DataFrame:
+    """Sparse vectors for fitting, hashed and built inside the JVM."""
+    return HashingTF(numFeatures=DIM, inputCol="names", outputCol="features").transform(rows.withColumn("names", names(F.col("token")))).drop("names")
 
 
 def fitted(vecs: DataFrame, reg: float = 2e-5, steps: int = 30):  # noqa: ANN201
     return LogisticRegression(regParam=reg, elasticNetParam=0.0, maxIter=steps, aggregationDepth=3).fit(vecs)
 
 
-def calibrated(scores: DataFrame, allowed: float = 0.002) -> DataFrame:
-    """``threshold``: the smallest score above all but ``allowed`` of the negatives' scores, as one row; null without negatives."""
-    neg = scores.where("label = 0")
+def calibrated(scores: DataFrame, allowed: float = 0.002, bins: int = 4096) -> DataFrame:
+    """``threshold``: the smallest score of a negative above which no more than ``allowed`` of the negatives lie; null without negatives.
+
+    Negatives are counted in ``bins`` classes of equal width first; only the scores of the
+    class in which the threshold lies are put in order.
+    """
+    neg = scores.where("label = 0 and score is not null").select("score")
+    lo, hi, n = neg.agg(F.min("score"), F.max("score"), F.count("*")).first()
+    if not n:
+        return scores.sparkSession.createDataFrame([(None,)], "threshold double")
+    width = (hi - lo) / bins or 1.0
+    most = int(n * allowed)
+    at = F.least(F.lit(bins - 1), F.floor((F.col("score") - lo) / width))
+    sizes = neg.groupBy(at.alias("b")).agg(F.count("*").alias("k")).orderBy(F.desc("b")).collect()  # at most ``bins`` rows
+    above = 0
+    for r in sizes:
+        if above + r["k"] > most:
+            break
+        above += r["k"]
     w = Window.orderBy(F.desc("score"))
-    n = neg.agg(F.floor(F.count("*") * allowed).alias("allowed"))
-    # only the few highest negatives reach the one window; their number is the share allowed
-    top = neg.groupBy("score").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(w))
-    return top.join(F.broadcast(n), F.col("upto") > F.col("allowed")).agg(F.max("score").alias("threshold"))
+    inside = neg.where(at == r["b"]).groupBy("score").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(w))
+    return inside.where(F.col("upto") + above > most).agg(F.max("score").alias("threshold"))
 
 
 def measured(scores: DataFrame, threshold: float) -> DataFrame:

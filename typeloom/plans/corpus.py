@@ -209,7 +209,7 @@ def pair_lift(spark, sf_dir):  # noqa: ANN001, ANN201
 _PAIRS = """
 , n AS (SELECT lang, word AS prev, lead(word) OVER (PARTITION BY sent_id ORDER BY pos) AS next FROM tok),
 c2 AS (SELECT lang, prev, next, count(*) AS cnt FROM n WHERE next IS NOT NULL GROUP BY ALL),
-pr AS MATERIALIZED (SELECT c2.*, a.cnt AS prev_cnt, b.cnt AS next_cnt FROM c2 JOIN lex a ON a.lang = c2.lang AND a.word = c2.prev AND a.rank <= 16383 JOIN lex b ON b.lang = c2.lang AND b.word = c2.next AND b.rank <= 200000)
+pr AS (SELECT c2.*, a.cnt AS prev_cnt, b.cnt AS next_cnt FROM c2 JOIN lex a ON a.lang = c2.lang AND a.word = c2.prev AND a.rank <= 16383 JOIN lex b ON b.lang = c2.lang AND b.word = c2.next AND b.rank <= 200000)
 """
 _Q = "least(255, 1 + CAST(round_even(10 * log2(cnt), 0) AS INT))"
 
@@ -276,7 +276,7 @@ ORACLE = {
     "feature_hash": f"WITH {LEX}{_FEATURES}",
     "bloom_probes": f"WITH {LEX}{_BLOOM}",
     "pair_counts": f"WITH {LEX}{_PAIRS} SELECT lang, prev, next, cnt, {_Q} AS q, round(pow(2.0, ({_Q} - 1) / 10.0), 6) AS decoded FROM pr WHERE cnt >= 2",
-    "pair_survival": f"WITH {LEX}{_PAIRS} SELECT lang, least, CAST(sum(CASE WHEN cnt >= least THEN 1 ELSE 0 END) AS BIGINT) AS n_pairs FROM (SELECT *, unnest([1, 2, 3, 5, 10]) AS least FROM pr) GROUP BY ALL",
+    "pair_survival": f"WITH {LEX}{_PAIRS} , pk2 AS MATERIALIZED (SELECT c2.lang, c2.cnt, count(*) AS k FROM c2 SEMI JOIN lex a ON a.lang = c2.lang AND a.word = c2.prev AND a.rank <= 16383 SEMI JOIN lex b ON b.lang = c2.lang AND b.word = c2.next AND b.rank <= 200000 GROUP BY c2.lang, c2.cnt) SELECT lang, least, CAST(sum(CASE WHEN cnt >= least THEN k ELSE 0 END) AS BIGINT) AS n_pairs FROM (SELECT *, unnest([1, 2, 3, 5, 10]) AS least FROM pk2) GROUP BY ALL",
     "pair_lift": f"WITH {LEX}{_PAIRS}, t AS (SELECT lang, sum(cnt) AS total FROM lex GROUP BY lang) SELECT lang, prev, next, round(ln((cnt + 2.0) / (prev_cnt * next_cnt / total + 2.0)), 6) AS lift FROM pr JOIN t USING (lang) WHERE cnt >= 2",
     "context_words": f"WITH {TOK}, c AS (SELECT *, lag(word, 1) OVER w AS prev, lag(word, 2) OVER w AS prev2 FROM tok WINDOW w AS (PARTITION BY sent_id ORDER BY pos)) SELECT lang, word, CAST(sum(CASE WHEN prev IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_first, count(DISTINCT prev) AS n_prev, count(DISTINCT CASE WHEN prev2 IS NOT NULL THEN prev || ' ' || prev2 END) AS n_prev2 FROM c GROUP BY lang, word",
     "text_cleanup": r"""WITH c AS (SELECT sent_id, trim(regexp_replace(regexp_replace(regexp_replace(sentence, '(?s)```.*?```', ' ', 'g'), 'https?://\S+|www\.\S+|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS t FROM sentence_corpus WHERE sentence IS NOT NULL)
