@@ -18,7 +18,7 @@ from typeloom.plans.corpus import TOK, lex, sentences, tok
 from typeloom.plans.parsing import _PARSED
 from typeloom.sources.damaged_lines import loaded
 from typeloom.streaming.sessions import replay_stream
-from typeloom.tables import load, shared_dir, ship
+from typeloom.tables import load, shared_dir, ship, spread
 
 #: At most so many words a language are known to the sequential policy.
 KNOWN = 20_000
@@ -34,7 +34,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boundary_replay(spark, sf_dir):  # noqa: ANN001, ANN201
     """Every sentence typed anew under the sequential policy: its boundaries and what was put right."""
-    return B.replay_texts(_texts(spark, sf_dir), _known(spark, sf_dir)).groupBy("reason", "changed").agg(F.count("*").alias("n"), F.sum((F.col("erased") > 0).cast("int")).alias("n_repaired"))
+    return B.replay_texts(spread(_texts(spark, sf_dir)), _known(spark, sf_dir)).groupBy("reason", "changed").agg(F.count("*").alias("n"), F.sum((F.col("erased") > 0).cast("int")).alias("n_repaired"))
 
 
 def boundary_stream(spark, sf_dir):  # noqa: ANN001, ANN201

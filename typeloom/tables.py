@@ -30,6 +30,12 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.typeloom.shipped", spark.sparkContext.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before costly work where it comes from fewer files than there are cores; larger inputs stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session; a local one only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
