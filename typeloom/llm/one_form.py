@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Letters of one script and the letters of another that look like them.
 LATIN_CYRILLIC = dict(zip("ABEKMHOPCTYXSIJaeopcyxsijgh", "АВЕКМНОРСТУХЅІЈаеорсухѕіјԍһ", strict=True))
@@ -87,6 +88,7 @@ def _alike() -> dict[tuple[str, str], str]:
     return out
 
 
+FLAG = "__typeloom_suspicious"
 _CLUSTERS, _LETTERS = regex.compile(r"\X"), regex.compile(r"[\p{L}\p{M}]+")
 
 
@@ -132,19 +134,18 @@ def canonical(df: DataFrame, column: str, to: str = "canonical") -> DataFrame:
     named ``to`` is replaced, other columns pass through.
     """
     rest = df.drop(to)
-    marked = rest.withColumn("_suspicious", F.coalesce(suspicious(F.col(column)), F.lit(False)))
+    marked = rest.withColumn(FLAG, F.coalesce(suspicious(F.col(column)), F.lit(False)))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, flag = b.column(column).to_pylist(), b.column("_suspicious").to_pylist()
+            text, flag = b.column(column).to_pylist(), b.column(FLAG).to_pylist()
             new = pa.array([one_form(t) if s else t for t, s in zip(text, flag, strict=True)], pa.string())
-            keep = [n for n in b.schema.names if n != "_suspicious"]
+            keep = [n for n in b.schema.names if n != FLAG]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), new], names=[*keep, to])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return marked.mapInArrow(rewrite, f"{types}, `{to}` string")
+    return marked.mapInArrow(rewrite, StructType([*rest.schema.fields, StructField(to, StringType())]))
 
 
 def disguised(df: DataFrame, column: str) -> DataFrame:
     """The rows whose ``column`` holds a character that passes for another; null and empty texts hold none."""
-    return canonical(df.where(suspicious(F.col(column))), column, "_one_form").where(F.col("_one_form") != F.col(column)).drop("_one_form")
+    return canonical(df.where(suspicious(F.col(column))), column, "__typeloom_one_form").where(F.col("__typeloom_one_form") != F.col(column)).drop("__typeloom_one_form")

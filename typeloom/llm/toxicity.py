@@ -201,7 +201,7 @@ def fitted(words: list[np.ndarray], skeletons: list[np.ndarray], labels: np.ndar
     start = hints[number]
     known = labels[doc] == 1
     hinted = np.stack([np.bincount(seg, (start[:, k] > 0)[feat], minlength=n) for k in range(m - 1)], axis=1)
-    fold = doc % folds
+    fold = (np.random.default_rng(17).permutation(len(labels)) % folds)[doc]
     score = np.bincount(seg, np.clip(lean[number], -1, 3)[feat], minlength=n) + hinted.sum(axis=1)
 
     def chosen(score: np.ndarray) -> np.ndarray:
