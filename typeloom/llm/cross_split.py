@@ -33,6 +33,10 @@ from typeloom.tables import written
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: So many word sets are remembered by a task to leave out copies before the shuffle.
+_SEEN = 200_000
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _M1
     return x ^ (x >> np.uint64(29))
@@ -57,9 +61,9 @@ def bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
     """In how many records a word of each hash bucket occurs; ``2**bits`` numbers, bits at most 22."""
     if bits > 22:
         raise ValueError("bits: at most 22")
-    counted = sets.select(F.explode("hs").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).agg(F.count("*").alias("n")).toPandas()
+    counted = sets.select(F.explode("hs").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).agg(F.count("*").alias("n")).toArrow()
     out = np.zeros(1 << bits, np.int32)
-    out[counted["b"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**31 - 1)
+    out[counted.column("b").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 2**31 - 1)
     return out
 
 
@@ -89,7 +93,7 @@ _KEYS = pa.schema([("digest", pa.int64()), ("set_h", pa.int64()), ("sig", pa.int
 
 
 def chunk_keys(sets: DataFrame, counts: np.ndarray, limit: int, tenths: int) -> DataFrame:
-    """The digests by which each distinct word set is joined, each set once per task and side."""
+    """The digests by which each distinct word set is joined, copies within a task mostly left out."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +106,8 @@ def chunk_keys(sets: DataFrame, counts: np.ndarray, limit: int, tenths: int) ->
                     new.append(i)
             if not new:
                 continue
+            if len(seen) > _SEEN:  # this only spares work: a set that comes again later is made distinct after the join
+                seen.clear()
             b = b.take(pa.array(new))
             hs = b.column("hs")
             off = hs.offsets.to_numpy().astype(np.int64)

@@ -268,12 +268,12 @@ def scored_rows(chain: Chain, words: np.ndarray, skeletons: np.ndarray, offsets:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, fit_docs: int, longest: int = 5_000) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """At most ``fit_docs`` documents whose labels agree; null labels do not count, texts beyond ``longest`` characters times ten are not fitted on."""
+def labelled(docs: DataFrame, labels: DataFrame, fit_docs: int, longest: int = 10_000) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """At most ``fit_docs`` documents whose labels agree; null labels do not count, texts of more than ``longest`` characters are not fitted on."""
     each = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
     picked = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).select("doc_id", F.col("lo").alias("y"))
     a, b = hashed_words(F.col("text"))
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest * 10)).join(F.broadcast(picked), "doc_id").select("doc_id", "y", a.alias("a"), b.alias("b")).toArrow().sort_by("doc_id")
+    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(F.broadcast(picked), "doc_id").select("doc_id", "y", a.alias("a"), b.alias("b")).toArrow().sort_by("doc_id")
     split = lambda c: [np.asarray(x.values) for x in rows.column(c)]
     return split("a"), split("b"), rows.column("y").to_numpy().astype(np.int64)
 
