@@ -41,7 +41,7 @@ def candidates(typed: DataFrame, lex: DataFrame, deep_length: int = 8, deep_rank
     """
     keys = F.when(F.length("typed") >= deep_length, deletes(F.col("typed"), 2)).otherwise(deletes(F.col("typed"), 1))
     q = typed.select("lang", "typed", F.explode(keys).alias("del_key"))
-    pairs = q.join(delete_index(lex), ["lang", "del_key"]).select("lang", "typed", "word", "rank").distinct()
+    pairs = q.join(delete_index(lex, max(15_000, deep_rank)), ["lang", "del_key"]).select("lang", "typed", "word", "rank").distinct()
     d = distance(F.col("typed"), F.col("word"))
     return pairs.withColumn("dist", d.cast("int")).where((F.col("dist") == 1) | ((F.col("dist") == 2) & (F.length("typed") >= deep_length) & (F.col("rank") <= deep_rank)))
 
