@@ -171,3 +171,8 @@ def test_replay_batch_and_texts_agree(spark):
     tokens = spark.createDataFrame([(r.session, r.seq, r.token, r.separator) for r in a], "session long, seq int, token string, separator string")
     b = B.replay(tokens, known).orderBy("seq").collect()
     assert [(r.replacement, r.erased, r.reason) for r in a] == [(r.replacement, r.erased, r.reason) for r in b]
+
+
+def test_guarded_words(spark):
+    text = "plain don't mail@host.com a-dash longer, слово: x.yaml ещё one_two end."
+    assert column(spark, [text, None, ""], T.guarded_words(F.col("a"))) == [["plain", "longer", "слово"], None, []]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from typeloom.functions.text import letter_runs
 from typeloom.operators import lexicon as L
 from typeloom.operators import options as O
-from typeloom.plans.corpus import _KNOWN, _PAIR_KNOWN, _PAIRS, LEX, _distinct_known, known_forms, lex, tok
-from typeloom.plans.decisions import _CONV, _DEL, _MIS, _TYPOS, _B, _kind_sql, _typos
+from typeloom.plans.corpus import _KNOWN, _PAIRS, LEX, TOK, _distinct_known, known_forms, lex, tok
+from typeloom.plans.decisions import _CONV, _DEL, _MIS, _SCRIPT, _TYPOS, _B, _kind_sql, _typos
 from typeloom.tables import load
 
 
@@ -84,8 +84,11 @@ ORACLE = {
     "misspelling_mine": f"WITH {LEX}{_KNOWN}, od AS (SELECT lang, word AS w, rank AS wr, unnest({_DEL('word')}) AS k FROM lex ANTI JOIN known USING (lang, word) WHERE len >= 5), ri AS (SELECT lang, word AS r, rank AS rr, unnest({_DEL('word')}) AS k FROM lex WHERE rank <= 50000), "
     + f"nr AS (SELECT DISTINCT od.lang, w, r, rr FROM od JOIN ri ON od.lang = ri.lang AND od.k = ri.k WHERE w <> r AND wr >= 20 * rr AND levenshtein({_B('w')}, {_B('r')}) = 1), np AS (SELECT *, {_pattern_sql('nr.w', 'nr.r')} AS pattern FROM nr), "
     + "nb AS (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY list_position(['soft_hard_sign', 'tsya', 'double_letter', 'z_s_prefix', 'unstressed_vowel', 'sh_shch', 'missing_letter'], pattern), rr, r) AS place FROM np WHERE pattern IS NOT NULL AND (pattern <> 'missing_letter' OR rr <= 20000)) SELECT lang, w AS word, r AS \"right\", pattern FROM nb WHERE place = 1",
-    "unlisted_rivals": _TYPOS
-    + _PAIR_KNOWN
-    + f", sz AS (SELECT lang, max(rank) + 1 AS rank FROM lex GROUP BY lang), uf AS (SELECT pk.lang, pk.word, sz.rank FROM pk ANTI JOIN lex USING (lang, word) JOIN sz USING (lang)), ux AS (SELECT lang, word, rank, unnest({_DEL('word')}) AS k FROM uf), u1 AS (SELECT DISTINCT lang, typed, word, rank FROM qx JOIN ux USING (lang, k)) SELECT lang, typed, 0.0 AS rival_score FROM u1 WHERE false",
+    "misspelling_patterns": f"SELECT pattern, found, count(*) AS n FROM (SELECT r0.pattern, {_pattern_sql('lower(r0.word)', 'lower(r0.proposed)')} AS found FROM known_misspellings_review r0 WHERE r0.word IS NOT NULL AND r0.proposed IS NOT NULL) GROUP BY ALL",
+    "training_rows": f"WITH {TOK}, w AS (SELECT DISTINCT word FROM tok), c AS (SELECT word, {_CONV('word')} AS conv, ('0x' || substr(sha256(word), 3, 2) || substr(sha256(word), 1, 2))::BIGINT % 10 = 0 AS tenth FROM w), "
+    + f"r AS (SELECT word AS token, 0 AS label, 'right' AS kind FROM c UNION ALL SELECT conv, 1, 'wrong' FROM c WHERE {_SCRIPT('word')} <> 'other' AND {_SCRIPT('conv')} <> 'other' AND {_SCRIPT('word')} <> {_SCRIPT('conv')} "
+    + "UNION ALL SELECT unnest([word || '42', word || '_id', word || '.com', 'https://' || word]), 0, 'structured' FROM c WHERE tenth) SELECT kind, label, count(*) AS n, CAST(sum(length(token)) AS BIGINT) AS n_chars FROM r GROUP BY ALL",
+    "kwic_context": r"""WITH c AS (SELECT review_id, replace(replace(context, '[[', ''), ']]', '') AS t, instr(context, '[[') AS a, instr(context, ']]') AS b FROM dev_label_review WHERE context IS NOT NULL),
+      d AS (SELECT *, b - a - 2 AS n, greatest(1, a - 40) AS lo, least(length(t) + 1, a + b - a - 2 + 40) AS hi FROM c WHERE a > 0 AND b > a)
+      SELECT review_id, substr(t, a, n) AS judged, regexp_replace(CASE WHEN lo > 1 THEN '…' ELSE '' END || substr(t, lo, a - lo) || '[[' || substr(t, a, n) || ']]' || substr(t, a + n, hi - a - n) || CASE WHEN hi <= length(t) THEN '…' ELSE '' END, '\s+', ' ', 'g') AS snippet FROM d""",
 }
-del ORACLE["unlisted_rivals"]
