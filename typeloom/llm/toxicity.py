@@ -156,7 +156,7 @@ def _fit(seg: np.ndarray, feat: np.ndarray, dense: np.ndarray, y: np.ndarray, st
     return x[:m], x[m : m + k], float(x[-1])
 
 
-def fitted(words: list[np.ndarray], skeletons: list[np.ndarray], labels: np.ndarray, folds: int = 3, rounds: int = 3, least_docs: int = 4, chance: float = 20.0, doubt: float = 1.5) -> Chain:
+def fitted(words: list[np.ndarray], skeletons: list[np.ndarray], labels: np.ndarray, folds: int = 3, rounds: int = 3, least_docs: int = 4, chance: float = 12.0, doubt: float = 1.5, plenty: float = 8.0) -> Chain:
     """The chain from labelled documents, given as arrays of word and skeleton hashes and 0/1 labels."""
     m = len(LINKS)
     hints = np.zeros((1 << BITS, m))
@@ -205,12 +205,12 @@ def fitted(words: list[np.ndarray], skeletons: list[np.ndarray], labels: np.ndar
     score = np.bincount(seg, np.clip(lean[number], -1, 3)[feat], minlength=n) + hinted.sum(axis=1)
 
     def chosen(score: np.ndarray) -> np.ndarray:
-        """The worst passage of every document labelled toxic."""
+        """The worst passage of every document labelled toxic, and all others with as much evidence as ``plenty``."""
         order = np.lexsort((score, doc))
         last = np.flatnonzero(np.append(doc[order][1:] != doc[order][:-1], True))
         out = np.zeros(n, bool)
         out[order[last]] = True
-        return out & known
+        return (out | (score >= plenty)) & known
 
     def out_of_fold(y: np.ndarray, use: np.ndarray, dense: np.ndarray, k: int) -> np.ndarray:
         out = np.empty(n)
@@ -222,10 +222,11 @@ def fitted(words: list[np.ndarray], skeletons: list[np.ndarray], labels: np.ndar
 
     # wrong labels: a toxic document none of whose passages looks so to models of other documents, and the reverse, are left out
     doubted = np.zeros(n, bool)
+    top = chosen(score)
     for _ in range(rounds - 1):
-        top = chosen(score) & ~doubted
-        score = out_of_fold(top.astype(float), (top | ~known) & ~doubted, np.zeros((n, 0)), m - 1)
-        doubted = np.where(known, score < -doubt, score > doubt) & (labels.sum() >= 60)
+        top &= ~doubted
+        fresh = out_of_fold(top.astype(float), (top | ~known) & ~doubted, np.zeros((n, 0)), m - 1)
+        doubted = np.where(known, fresh < -doubt, fresh > doubt) & (labels.sum() >= 60)
     top = chosen(score) & ~doubted
     use = (top | ~known) & ~doubted
     weights, bias, links, oof = np.zeros((len(number), m)), np.zeros(m), np.zeros((m, m)), np.zeros((n, m))
