@@ -35,11 +35,26 @@ def test_overlaps_against_brute_force(spark):
         rows.append((i, rnd.choice(["train", "train", "dev", "final"]), " ".join(w)))
     rows += [(1000, "train", None), (1001, None, "alpha"), (1002, "dev", ""), (1003, "dev", " . "), (1004, "train", "long " * 20_000 + "tail"), (1005, "dev", "tail long"), (0, rows[0][1], rows[0][2])]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "sent_id long, split string, sentence string, hs string")
-    got = {(r.id_train, r.id_other) for r in cross_split.overlapping(df).collect()}
-    assert got == jaccard_pairs(rows)
+    want = jaccard_pairs(rows)
+    for rare in (None, 0, 3, 30):
+        assert {(r.id_train, r.id_other) for r in cross_split.overlapping(df, rare=rare).collect()} == want
     assert cross_split.overlapping(df.limit(0)).count() == 0
 
 
+def test_long_records_against_brute_force(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(130)]
+    rows = []
+    for i in range(120):
+        w = set(rnd.choice(rows)[2].split()) if rows and rnd.random() < 0.7 else set(rnd.sample(vocabulary, rnd.randint(20, 75)))
+        for x in rnd.sample(vocabulary, rnd.randint(0, 14)):
+            w ^= {x}
+        rows.append((i, rnd.choice(["train", "dev"]), " ".join(sorted(w))))
+    df = spark.createDataFrame(rows, "sent_id long, split string, sentence string")
+    for rare in (0, 20, 1000):
+        assert {(r.id_train, r.id_other) for r in cross_split.overlapping(df, rare=rare).collect()} == jaccard_pairs(rows)
+
+
 def test_overlap_fractions(spark):
     df = spark.createDataFrame([(1, "train", "one two three four"), (2, "dev", "four three two one"), (3, "dev", "five six"), (4, "dev", None)], "sent_id long, split string, sentence string")
     assert {r.id: r.overlap for r in cross_split.overlap_fractions(df).collect()} == {2: 1.0, 3: 0.0}

@@ -1,17 +1,23 @@
 """Same or nearly the same records across splits (problem 2).
 
-A record is normalised to its distinct words, ordered from rare to frequent, and cut
-into content-defined chunks: a cut falls after every word that is rare enough to tell
-records apart, and among frequent words wherever the rolling hash of the last two
-words says so. Chunks depend on nothing but their content, so an inserted, dropped or
-changed word alters the chunks it lies in and no others. Chunk digests are joined
-across splits; a pair that shares a digest is verified exactly.
-
-Recall: two records with similarity of at least ``t`` share a word among the first
-``n - ceil(t n) + 1`` words of either, in any order that is the same for all records.
-Only the chunks that begin among those words are joined. As long as these words are
-rarer than ``frequent`` (a share of all records) each is a chunk of its own, and no
-pair is missed.
+A record is normalised to its distinct words, ordered from rare to frequent, and taken
+apart into pieces that depend on nothing but their content; digests of the pieces are
+joined across splits, and pairs that share one are verified exactly.
+
+:func:`overlap_fractions` cuts content-defined chunks: after every rare word, and among
+frequent ones where the rolling hash of the last two says so. Shared chunks lose pairs
+at a similarity of 0.7, where a changed word breaks every chunk around it, and chunks
+of a frequent word alone are shared by so many records that pairs grow as the square
+of the data. :func:`overlapping` therefore joins pieces that can miss no pair:
+
+* Two records with similarity ``t`` share all but ``n - ceil(t n)`` of the ``n`` words of
+  either. If they share a rare word, the rarest shared one lies among the first
+  ``n - ceil(t n) + 1`` words of both: each rare word there is a piece.
+* If all they share is frequent, the first three shared words lie among the first
+  ``n - ceil(t n) + 3`` words of both: every three frequent words there are a piece, and
+  only records that have enough frequent words for such a partner have any.
+* Records of more than ``LONG`` words would have too many threes; among them, single
+  frequent words are pieces of their own kind. Records of one or two words are one piece.
 
 The word order comes from counts over all records in a table of ``2**bits`` hash
 buckets, at most 2**22 numbers (16 MB) however much data there is, so it can be sent
@@ -21,6 +27,7 @@ to every task. A wrong order of two words of one bucket costs speed, never pairs
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -89,10 +96,49 @@ def cut(v: np.ndarray, offsets: np.ndarray, counts: np.ndarray, limit: int) -> t
     return row[starts], pos[starts], length, digest.view(np.int64), np.minimum.reduceat(c, starts)
 
 
+#: Distinct words from which on records are long.
+LONG = 40
+
+
+def pieces(v: np.ndarray, offsets: np.ndarray, counts: np.ndarray, rare: int, tenths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Record and digest of every piece of records given as concatenated distinct word hashes ``v``."""
+    n = np.diff(offsets)
+    row = np.repeat(np.arange(len(n)), n)
+    u = v.view(np.uint64)
+    c = counts[(u & np.uint64(len(counts) - 1)).astype(np.int64)]
+    order = np.lexsort((v, c, row))
+    u, c = _mixed(u[order]), c[order]
+    pos = np.arange(len(u)) - np.repeat(offsets[:-1], n)
+    spare = n - (tenths * n + 9) // 10
+    often = c > rare
+    frequent = np.bincount(row[often], minlength=len(n))
+    first = pos <= spare[row]
+    one = first & ~often & (c > 1)  # a word of one record only is shared with none
+    rows, digests = [row[one]], [u[one]]
+    long = first & often & (n[row] > LONG * tenths // 10)
+    rows.append(row[long])
+    digests.append(_mixed(u[long] ^ _M1))
+    tiny = np.flatnonzero((n > 0) & (n <= 2))
+    if len(tiny):
+        rows.append(tiny)
+        digests.append(_mixed(np.add.reduceat(u, offsets[:-1][n > 0])[(n[n > 0] <= 2)] ^ _M2))
+    at = n - frequent
+    k = np.minimum(spare + 3 - at, frequent)
+    able = (n >= 3) & (n <= LONG) & (frequent >= n - spare) & (k >= 3)
+    for size in np.unique(k[able]).tolist():
+        r = np.flatnonzero(able & (k == size))
+        words = u[(offsets[r] + at[r])[:, None] + np.arange(size)]
+        i, j, m = np.array(list(combinations(range(size), 3))).T
+        three = _mixed(_mixed(words[:, i] * _M2 ^ words[:, j]) * _M2 ^ words[:, m])
+        rows.append(np.repeat(r, len(i)))
+        digests.append(three.ravel())
+    return np.concatenate(rows), np.concatenate(digests).view(np.int64)
+
+
 _KEYS = pa.schema([("digest", pa.int64()), ("set_h", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("train", pa.bool_())])
 
 
-def chunk_keys(sets: DataFrame, counts: np.ndarray, limit: int, tenths: int) -> DataFrame:
+def piece_keys(sets: DataFrame, counts: np.ndarray, rare: int, tenths: int) -> DataFrame:
     """The digests by which each distinct word set is joined, copies within a task mostly left out."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
@@ -113,32 +159,28 @@ def chunk_keys(sets: DataFrame, counts: np.ndarray, limit: int, tenths: int) ->
             off = hs.offsets.to_numpy().astype(np.int64)
             v = hs.values.to_numpy()[off[0] : off[-1]]
             off = off - off[0]
-            n = np.diff(off)
-            row, pos, _, digest, least = cut(v, off, shared.value, limit)
             sig = np.bitwise_or.reduceat(np.uint64(1) << (v.view(np.uint64) >> np.uint64(58)), off[:-1]).view(np.int64)
-            prefix = n - (tenths * n + 9) // 10 + 1
-            use = (pos < prefix[row]) & (least > 1)  # a word of one record only is shared with none
-            row = row[use]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digest[use]), b.column("set_h").take(pa.array(row)), pa.array(sig[row]), pa.array(n[row].astype(np.int32)), b.column("train").take(pa.array(row))], schema=_KEYS
-            )
+            row, digest = pieces(v, off, shared.value, rare, tenths)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(digest), b.column("set_h").take(take), pa.array(sig[row]), pa.array(np.diff(off)[row].astype(np.int32)), b.column("train").take(take)], schema=_KEYS)
 
     return sets.mapInArrow(keys, "digest long, set_h long, sig long, n int, train boolean")
 
 
 def overlapping(
-    df: DataFrame, id_col: str = "sent_id", split_col: str = "split", text_col: str = "sentence", tenths: int = 7, frequent: float = 0.02, bits: int | None = None
+    df: DataFrame, id_col: str = "sent_id", split_col: str = "split", text_col: str = "sentence", tenths: int = 7, rare: int | None = None, bits: int | None = None
 ) -> DataFrame:
     """``id_train, id_other, shared, n_train, n_other``: every pair of a train record and one of another split whose distinct words agree to ``tenths``/10.
 
     Null or wordless texts and null splits pair with nothing; an empty table gives an
     empty result; repeated rows give a pair each. Copies of one text are joined as one
-    word set and expanded at the end, because the pairs of rows are the result.
+    word set and expanded at the end, because the pairs of rows are the result. Words
+    in more than ``rare`` records, by default a slowly growing number, are frequent.
     """
     sets = written(word_sets(df, id_col, split_col, text_col), "word-sets")
     total = sets.count()
     counts = bucket_counts(sets, bits or min(22, max(12, total.bit_length() - 3)))
-    keys = chunk_keys(sets.select("hs", "set_h", "train"), counts, max(50, int(frequent * total)), tenths)
+    keys = piece_keys(sets.select("hs", "set_h", "train"), counts, max(50, int(total**0.4)) if rare is None else rare, tenths)
     a = keys.where("train").select("digest", F.col("set_h").alias("set_a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     b = keys.where("not train").select("digest", F.col("set_h").alias("set_b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
     # |A xor B| <= (1 - 2t/(1+t)) (|A|+|B|), and the signatures differ in no more bits than the sets in words
