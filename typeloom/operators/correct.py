@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typeloom.functions.edits import deletes, distance, edit_cost
@@ -27,10 +27,18 @@ AUTO = Policy()
 MANUAL = Policy(margin=2.5, russian_margin=2.5, rank_cap_ru=200_000, shortest_ru=4, reason="typo-manual")
 
 
+def _index_keys(deep_rank: int) -> Column:
+    return F.when(F.col("rank") <= deep_rank, deletes(F.col("word"), 2)).otherwise(deletes(F.col("word"), 1))
+
+
 def delete_index(lex: DataFrame, deep_rank: int = 15_000) -> DataFrame:
     """``lang, del_key, word, rank``: two deletions for frequent words, one for the others."""
-    keys = F.when(F.col("rank") <= deep_rank, deletes(F.col("word"), 2)).otherwise(deletes(F.col("word"), 1))
-    return lex.select("lang", "word", "rank", F.explode(keys).alias("del_key"))
+    return lex.select("lang", "word", "rank", F.explode(_index_keys(deep_rank)).alias("del_key"))
+
+
+def _hashed(keys: Column) -> Column:
+    """Keys as numbers, which shuffle and sort faster; a collision costs one comparison more."""
+    return F.explode(F.transform(keys, lambda k: F.xxhash64(k)))
 
 
 def candidates(typed: DataFrame, lex: DataFrame, deep_length: int = 8, deep_rank: int = 10_000) -> DataFrame:
@@ -40,8 +48,13 @@ def candidates(typed: DataFrame, lex: DataFrame, deep_length: int = 8, deep_rank
     joined on them, so no pair without a common key is ever compared.
     """
     keys = F.when(F.length("typed") >= deep_length, deletes(F.col("typed"), 2)).otherwise(deletes(F.col("typed"), 1))
-    q = typed.select("lang", "typed", F.explode(keys).alias("del_key"))
-    pairs = q.join(delete_index(lex, max(15_000, deep_rank)), ["lang", "del_key"]).select("lang", "typed", "word", "rank").distinct()
+    # words grow some fiftyfold into keys: spread them first, as partitions sized by the words' bytes would be too few
+    n = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    typed, lex = typed.repartition(n, "typed"), lex.repartition(n, "word")
+    q = typed.select("lang", "typed", _hashed(keys).alias("k"))
+    index = lex.select(F.col("lang").alias("word_lang"), "word", "rank", _hashed(_index_keys(max(15_000, deep_rank))).alias("k"))
+    near = (F.col("lang") == F.col("word_lang")) & (F.abs(F.length("typed") - F.length("word")) <= 2)
+    pairs = q.join(index, "k").where(near).select("lang", "typed", "word", "rank").distinct()
     d = distance(F.col("typed"), F.col("word"))
     return pairs.withColumn("dist", d.cast("int")).where((F.col("dist") == 1) | ((F.col("dist") == 2) & (F.length("typed") >= deep_length) & (F.col("rank") <= deep_rank)))
 

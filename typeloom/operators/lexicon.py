@@ -24,6 +24,11 @@ def pure(lang: Column, word: Column) -> Column:
     return ((lang == "en") & word.rlike("^[a-z]{2,32}$")) | ((lang == "ru") & word.rlike("^[а-яё]{2,32}$"))
 
 
+def fanned(words: DataFrame) -> DataFrame:
+    """Distinct words over all shuffle partitions before they are expanded into many parts each; partitions sized by the words' bytes would be too few."""
+    return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+
+
 def with_rank(words: DataFrame, to: str = "rank", letters: int = 3) -> DataFrame:
     """Adds the place of each word of its language by (``cnt`` descending, ``word``), without sorting a language in one task.
 
@@ -67,7 +72,7 @@ def seen_forms(lex: DataFrame, known: DataFrame, least: int = 5, length: int = 5
 
 def trigram_model(lex: DataFrame, pad: str, weight: Column) -> DataFrame:
     """``lang, gram, weight``: weighted counts of the trigrams of ``pad + word + $``."""
-    grams = lex.select("lang", weight.alias("w"), F.explode(ngrams(F.concat(F.lit(pad), F.col("word"), F.lit("$")), 3)).alias("gram"))
+    grams = fanned(lex).select("lang", weight.alias("w"), F.explode(ngrams(F.concat(F.lit(pad), F.col("word"), F.lit("$")), 3)).alias("gram"))
     return grams.groupBy("lang", "gram").agg(F.sum("w").alias("weight"))
 
 
@@ -78,7 +83,7 @@ def language_scores(words: DataFrame, model: DataFrame, pad: str, smooth: float,
     its cube, else ``smooth`` times the number of trigrams of the model.
     """
     totals = model.groupBy("lang").agg(F.sum("weight").alias("total"), F.count("*").alias("kinds"))
-    each = words.select("lang", "word").distinct().select("lang", "word", F.explode(ngrams(F.concat(F.lit(pad), F.col("word"), F.lit("$")), 3)).alias("gram"))
+    each = fanned(words.select("lang", "word").distinct()).select("lang", "word", F.explode(ngrams(F.concat(F.lit(pad), F.col("word"), F.lit("$")), 3)).alias("gram"))
     kinds = F.col("kinds") if letters is None else letters * letters * letters
     p = F.ln((F.coalesce("weight", F.lit(0.0)) + smooth) / (F.col("total") + smooth * kinds))
     return each.join(model, ["lang", "gram"], "left").join(F.broadcast(totals), "lang").groupBy("lang", "word").agg(F.avg(p).alias("score"))

@@ -155,7 +155,7 @@ def _grams_sql(pad: str, weight: str) -> str:
 
 def feature_hash(spark, sf_dir):  # noqa: ANN001, ANN201
     """Hashed n-gram counts of all words of the lexicon."""
-    f = lex(spark, sf_dir).select("lang", F.explode(H.feature_names(F.col("word"), "o", 3)).alias("name"))
+    f = L.fanned(lex(spark, sf_dir)).select("lang", F.explode(H.feature_names(F.col("word"), "o", 3)).alias("name"))
     return f.groupBy("lang", "name").agg(F.count("*").alias("n")).withColumn("idx", H.fnv16(F.col("name"))).groupBy("lang", "idx").agg(F.sum("n").alias("n"), F.count("*").alias("n_names"))
 
 
@@ -168,7 +168,7 @@ SELECT lang, CAST(idx AS BIGINT) AS idx, CAST(sum(n) AS BIGINT) AS n, count(*) A
 
 def bloom_probes(spark, sf_dir):  # noqa: ANN001, ANN201
     """How often each probe position of the known forms is hit, by blocks of positions."""
-    p = lex(spark, sf_dir).select("lang", F.explode(H.bloom_probes(1 << 23)(T.plain(F.lower("word")))).alias("at"))
+    p = L.fanned(lex(spark, sf_dir)).select("lang", F.explode(H.bloom_probes(1 << 23)(T.plain(F.lower("word")))).alias("at"))
     return p.groupBy("lang", F.shiftright("at", 13).alias("block")).agg(F.count("*").alias("n"), F.countDistinct("at").alias("n_bits"))
 
 

@@ -12,7 +12,7 @@ from typeloom.operators import correct as C
 from typeloom.operators import decide as D
 from typeloom.operators import lexicon as L
 from typeloom.plans.corpus import LEX, TOK, lex, sentences, tok
-from typeloom.tables import load
+from typeloom.tables import load, written
 
 _q = lambda s: s.replace("'", "''")
 _CONV = lambda c: f"translate({c}, '{_q(Y.FROM)}', '{_q(Y.TO)}')"
@@ -67,7 +67,7 @@ def _typed(words: DataFrame) -> DataFrame:
 
 
 def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     known = words.where("cnt >= 2")
     typed = _typed(words)
     model = L.trigram_model(known, "^^", F.ln(1 + F.col("cnt")))
@@ -154,22 +154,22 @@ def single_edits(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def typo_candidates(spark, sf_dir):  # noqa: ANN001, ANN201
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     return C.candidates(_typos(spark, sf_dir, words), words)
 
 
 def edit_costs(spark, sf_dir):  # noqa: ANN001, ANN201
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     return C.scored(C.candidates(_typos(spark, sf_dir, words), words)).select("lang", "typed", "word", F.round("cost", 4).alias("cost"), F.round("score", 6).alias("score"), E.confusion(F.col("typed"), F.col("word")).alias("kind"))
 
 
 def typo_best(spark, sf_dir):  # noqa: ANN001, ANN201
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     return C.best(C.scored(C.candidates(_typos(spark, sf_dir, words), words))).select("lang", "typed", "word", F.round("margin", 6).alias("margin"))
 
 
 def alternatives(spark, sf_dir):  # noqa: ANN001, ANN201
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     return C.alternatives(C.scored(C.candidates(_typos(spark, sf_dir, words), words)))
 
 
@@ -190,8 +190,8 @@ def misspelling_patterns(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = lex(spark, sf_dir)
-    inj = _injected(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
+    inj = written(_injected(spark, sf_dir), "typos")
     return inj, C.decisions(inj.select("lang", "typed").distinct(), words, _misspellings(spark, sf_dir))
 
 
@@ -210,7 +210,7 @@ def typo_eval(spark, sf_dir):  # noqa: ANN001, ANN201
 def threshold_sweep(spark, sf_dir):  # noqa: ANN001, ANN201
     """Right and wrong corrections at or above each margin."""
     inj, d = _decided(spark, sf_dir)
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     top = C.best(C.scored(C.candidates(_typos(spark, sf_dir, words), words))).select("lang", "typed", "word", "margin")
     j = inj.join(top, ["lang", "typed"]).select("lang", (F.col("word") == F.col("intended")).alias("right"), "margin", F.explode(F.array(*[F.lit(float(x)) for x in (0, 0.5, 1, 1.5, 2, 2.5, 3, 3.5, 4)])).alias("threshold"))
     at = F.col("margin") >= F.col("threshold") - 1e-9
@@ -218,7 +218,7 @@ def threshold_sweep(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def outcome_by_distance(spark, sf_dir):  # noqa: ANN001, ANN201
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     inj = _injected(spark, sf_dir)
     top = C.best(C.scored(C.candidates(_typos(spark, sf_dir, words), words))).select("lang", "typed", "word", "dist")
     j = inj.join(top, ["lang", "typed"]).withColumn("outcome", F.when(F.col("word") == F.col("intended"), "right").otherwise("wrong"))
@@ -227,7 +227,7 @@ def outcome_by_distance(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def fixed_within_k(spark, sf_dir):  # noqa: ANN001, ANN201
     """How many slips are put right within k presses, one option a press."""
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     inj = _injected(spark, sf_dir)
     w = Window.partitionBy("lang", "typed").orderBy(F.desc("score"), "rank", "word")
     opts = C.scored(C.candidates(_typos(spark, sf_dir, words), words)).withColumn("press", F.row_number().over(w)).where("press <= 5")

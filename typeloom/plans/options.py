@@ -9,30 +9,30 @@ from typeloom.operators import lexicon as L
 from typeloom.operators import options as O
 from typeloom.plans.corpus import _KNOWN, _PAIRS, LEX, TOK, _distinct_known, known_forms, lex, tok
 from typeloom.plans.decisions import _CONV, _DEL, _MIS, _SCRIPT, _TYPOS, _B, _kind_sql, _typos
-from typeloom.tables import load
+from typeloom.tables import load, written
 
 
 def two_edit_options(spark, sf_dir):  # noqa: ANN001, ANN201
     """For the unknown words of the pairs' typed side."""
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     typed = load(spark, sf_dir, "correction_pairs").select(F.explode(letter_runs(F.col("source"))).alias("typed")).distinct()
     typed = typed.withColumn("lang", F.when(F.col("typed").rlike("^[a-z]{2,32}$"), "en").when(F.col("typed").rlike("^[а-яё]{2,32}$"), "ru")).where("lang is not null")
     return O.two_edit_fill(typed.join(words.select("lang", F.col("word").alias("typed")), ["lang", "typed"], "left_anti").select("lang", "typed"), words)
 
 
 def unlisted_rivals(spark, sf_dir):  # noqa: ANN001, ANN201
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     return O.unlisted_rivals(_typos(spark, sf_dir, words), words, _distinct_known(spark, sf_dir)).select("lang", "typed", F.round("rival_score", 6).alias("rival_score"))
 
 
 def manual_options(spark, sf_dir):  # noqa: ANN001, ANN201
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     return O.manual_options(_typos(spark, sf_dir, words), words)
 
 
 def manual_presses(spark, sf_dir):  # noqa: ANN001, ANN201
     """How many words show what after two presses."""
-    words = lex(spark, sf_dir)
+    words = written(lex(spark, sf_dir), "lexicon")
     p = O.pressed(O.manual_options(_typos(spark, sf_dir, words), words), 2)
     return p.groupBy("lang", "kind").agg(F.count("*").alias("n"), F.sum((F.col("shown") == F.col("typed")).cast("int")).alias("n_restored"))
 
