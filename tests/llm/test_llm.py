@@ -199,6 +199,7 @@ def test_documents_packed(spark):
         assert all(len(x) == 1 or count[d] > capacity for d, x in by_doc.items())
     assert {r.window_name for r in rows} == {"a", "b"}
     assert packing.documents_packed(docs.limit(0), windows).count() == 0
+    assert packing.documents_packed(docs, windows.limit(0)).count() == 0
 
 
 # --- 8

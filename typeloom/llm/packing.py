@@ -172,7 +172,7 @@ def packed(items: DataFrame, capacities: list[tuple[str, int]], part_items: int
         window[whole] = base + np.arange(int(whole.sum()))
         return pd.DataFrame({"window_name": name, "capacity": capacity, "part": part, "window": window, "id": ids[row], "piece": piece.astype(np.int32), "first_token": piece * capacity, "tokens": size})
 
-    kinds = F.array(*[F.struct(F.lit(a).alias("window_name"), F.lit(b).cast("bigint").alias("capacity")) for a, b in capacities if b and b > 0])
+    kinds = F.array(*[F.struct(F.lit(a).cast("string").alias("window_name"), F.lit(b).cast("bigint").alias("capacity")) for a, b in capacities if b and b > 0]).cast("array<struct<window_name:string,capacity:bigint>>")
     each = sized.withColumn("h", F.xxhash64("id", F.lit(7))).withColumn("part", F.pmod("h", F.lit(parts))).withColumn("k", F.explode(kinds)).select("h", "id", "tokens", "part", "k.window_name", "k.capacity")
     return each.groupBy("window_name", "part").applyInPandas(run, _PACKED)
 
