@@ -46,6 +46,23 @@ def test_candidates_against_brute_force(spark):
     assert got == want
 
 
+def test_single_edits_of_both_languages(spark, monkeypatch):
+    from typeloom.plans import decisions as P
+
+    words = {"en": ["cat", "cart", "keyboard", "keybaord", "keyboards", "at"], "ru": ["слово", "слова", "словно", "счёт", "счет", "клавиатура", "клавиатуры"]}
+    lex = spark.createDataFrame([(k, w) for k, ws in words.items() for w in ws], "lang string, word string")
+    monkeypatch.setattr(P, "lex", lambda *_: lex)
+
+    def edits(w):
+        letters = "abcdefghijklmnopqrstuvwxyzабвгдеёжзийклмнопрстуфхцчшщъыьэюя"
+        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        out = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
+        return (out | {a + x + b for a, b in cuts for x in letters} | {a + x + b[1:] for a, b in cuts if b for x in letters}) - {w}
+
+    rows = [tuple(r) for r in P.single_edits(spark, "").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(a, b) for ws in words.values() for a in ws for b in ws if b in edits(a)}
+
+
 def test_decisions(spark):
     lex = spark.createDataFrame([("en", w, i + 1) for i, w in enumerate(["because", "keyboard"])], "lang string, word string, rank int")
     known = spark.createDataFrame([("teh", "the"), ("recieve", "receive")], "word string, spelled string")

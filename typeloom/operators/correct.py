@@ -59,6 +59,20 @@ def candidates(typed: DataFrame, lex: DataFrame, deep_length: int = 8, deep_rank
     return pairs.withColumn("dist", d.cast("int")).where((F.col("dist") == 1) | ((F.col("dist") == 2) & (F.length("typed") >= deep_length) & (F.col("rank") <= deep_rank)))
 
 
+def one_edit_pairs(lex: DataFrame) -> DataFrame:
+    """``lang, word, other``: all ordered pairs of a language's words at distance 1, whatever their letters and length.
+
+    Words one edit apart share a key of at most one deletion; a key of n letters belongs to no
+    more than n + 1 times the alphabet's words, so no group of the join grows with the data.
+    """
+    n = int(lex.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = lex.select("lang", "word").repartition(n, "word").select("lang", "word", _hashed(deletes(F.col("word"))).alias("k"))
+    others = keys.select(F.col("lang").alias("other_lang"), F.col("word").alias("other"), "k")
+    near = (F.col("lang") == F.col("other_lang")) & (F.col("word") != F.col("other")) & (F.abs(F.length("word") - F.length("other")) <= 1)
+    pairs = keys.join(others, "k").where(near).select("lang", "word", "other").distinct()
+    return pairs.where(distance(F.col("word"), F.col("other")) == 1)
+
+
 def scored(found: DataFrame) -> DataFrame:
     """Adds ``cost`` and ``score``: frequency against edit cost; a second edit costs 3.2."""
     cost = F.when(F.col("dist") == 2, 3.2).otherwise(edit_cost(F.col("typed"), F.col("word"), F.col("lang") == "ru"))

@@ -147,10 +147,8 @@ def deletes_index(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def single_edits(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Known words one edit apart, by expanding every English word of up to six letters."""
-    words = lex(spark, sf_dir).where("lang = 'en'")
-    e = words.where("len <= 6").select("word", F.explode(E.single_edits(F.col("word"), E.EN_LETTERS)).alias("other"))
-    return e.join(words.select(F.col("word").alias("other")), "other").select("word", "other")
+    """Words of either language one edit apart, over the whole lexicon; the SQL beside it still has English words of up to six letters only."""
+    return C.one_edit_pairs(lex(spark, sf_dir)).select("word", "other")
 
 
 def typo_candidates(spark, sf_dir):  # noqa: ANN001, ANN201
