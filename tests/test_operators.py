@@ -143,6 +143,30 @@ def test_streams(spark, tmp_path):
     assert run(counted_stream(stream), "counts", "complete").collect()[0].n == 4
 
 
+def test_policy_knows_words_of_any_rank(spark, tmp_path, monkeypatch):
+    """A known word behind rank 20,000, and the same results from a table as from a list; a short word is repaired across batches."""
+    from typeloom.operators import boundary as B
+    from typeloom.plans import sessions as P
+
+    words = ["привет", "мир", "не", "hello"]
+    lex = spark.createDataFrame([("ru", w, 2, 20_001 + i) for i, w in enumerate(words)] + [("ru", "редко", 1, 30_000)], "lang string, word string, cnt long, rank int")
+    texts = spark.createDataFrame([(1, 'yt ghbdtn, vbh! "ghbdtn" hello htlrj'), (1, "yt ok\n(hello"), (2, None), (3, "")], "session long, text string")
+    monkeypatch.setattr(P, "lex", lambda *_: lex)
+    monkeypatch.setattr(P, "_texts", lambda *_: texts)
+    got = {(r.reason, r.changed): (r.n, r.n_repaired) for r in P.boundary_replay(spark, "").collect()}
+    assert got[("known-target", True)] == (2, 1) and got[("context-short-word", True)] == (1, 0) and got[("known-original", False)] == (2, 0)
+    order = lambda d: sorted(tuple(r) for r in d.collect())
+    assert order(B.replay_texts(texts, P._known(spark, ""))) == order(B.replay_texts(texts, set(words)))
+
+    tokens = spark.createDataFrame([(1, 0, "yt", " "), (1, 1, "ghbdtn", " "), (2, 0, "hello", " "), (2, 1, None, None)], "session long, seq int, token string, separator string")
+    for i in (0, 1):
+        tokens.where(F.col("seq") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = replay_stream(src, P._known(spark, "")).writeStream.format("memory").queryName("known_table").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.session, r.seq): r.replacement for r in spark.table("known_table").collect()} == {(1, 0): "yt", (1, 1): "не привет", (2, 0): "hello", (2, 1): ""}
+
+
 def test_entry_lists_queries():
     import __spark_entry__ as e
 

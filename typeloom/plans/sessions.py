@@ -18,14 +18,11 @@ from typeloom.plans.corpus import TOK, lex, sentences, tok
 from typeloom.plans.parsing import _PARSED
 from typeloom.sources.damaged_lines import loaded
 from typeloom.streaming.sessions import replay_stream
-from typeloom.tables import load, shared_dir, ship, spread
+from typeloom.tables import load, shared_dir, ship, spread, written
 
-#: At most so many words a language are known to the sequential policy.
-KNOWN = 20_000
 
-
-def _known(spark: SparkSession, sf_dir: str) -> set[str]:
-    return {r["word"] for r in lex(spark, sf_dir).where((F.col("rank") <= KNOWN) & (F.col("cnt") >= 2)).select("word").collect()}
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lex(spark, sf_dir).where("cnt >= 2").select("word")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +37,7 @@ def boundary_replay(spark, sf_dir):  # noqa: ANN001, ANN201
 def boundary_stream(spark, sf_dir):  # noqa: ANN001, ANN201
     """The same as a stream with a state per session, over the pairs' sources."""
     ship(spark)
-    known = _known(spark, sf_dir)
+    known = written(_known(spark, sf_dir), "known")
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = load(spark, sf_dir, "correction_pairs").schema
     src = spark.readStream.schema(schema).parquet(f"{sf_dir}/correction_pairs.parque[t]").where("source is not null")
