@@ -167,6 +167,22 @@ def test_policy_knows_words_of_any_rank(spark, tmp_path, monkeypatch):
     assert {(r.session, r.seq): r.replacement for r in spark.table("known_table").collect()} == {(1, 0): "yt", (1, 1): "не привет", (2, 0): "hello", (2, 1): ""}
 
 
+def test_layout_model_sees_protected_shapes(spark, monkeypatch):
+    from typeloom.plans import sessions as P
+
+    words = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "klmnp"] + [f"{a}{b}{c}" for a in "бвгджз" for b in "аеиоу" for c in "клмнп"] + ["naïve"]
+    tok = spark.createDataFrame([("en" if w < "а" else "ru", w) for w in words], "lang string, word string")
+    rows = M.training_rows(tok).collect()
+    kept = {r.token.removesuffix("42") for r in rows if r.kind == "structured" and r.token.endswith("42")}
+    assert kept and {r.token for r in rows if r.kind == "structured"} == {x for w in kept for x in (w + "42", w + "_id", w + ".com", "https://" + w, *([] if w == "naïve" else [w + ("Ру" if w < "а" else "En")]))}
+    seen = []
+    vectors = M.vectors
+    monkeypatch.setattr(P, "tok", lambda *_: tok)
+    monkeypatch.setattr(M, "vectors", lambda d: seen.append(d) or vectors(d))
+    P.layout_model(spark, "").collect()
+    assert {r.token for r in seen[0].collect()} == {r.token for r in rows}
+
+
 def test_entry_lists_queries():
     import __spark_entry__ as e
 

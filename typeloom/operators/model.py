@@ -15,12 +15,14 @@ __all__ = ["DIM", "calibrated", "features", "fitted", "measured", "training_rows
 
 
 def training_rows(tok: DataFrame) -> DataFrame:
-    """``token, label, kind``: words as they are (0), in the wrong layout where the script turns (1), and structured tokens of a tenth of the words (0)."""
+    """``token, label, kind``: words as they are (0), in the wrong layout where the script turns (1), and structured tokens, one of mixed script among them, of a tenth of the words (0)."""
     w = tok.select("word").distinct()
     c = convert(F.col("word"))
+    other = F.when(script(F.col("word")) == "en", "Ру").when(script(F.col("word")) == "ru", "En")  # null, and no such token, for words of neither script
+    shapes = [F.concat(*parts) for parts in ((F.col("word"), F.lit("42")), (F.col("word"), F.lit("_id")), (F.col("word"), F.lit(".com")), (F.lit("https://"), F.col("word")), (F.col("word"), other))]
     structured = F.when(
         sampled_tenth(F.col("word")),
-        F.array(*[F.struct(F.concat(*parts).alias("token"), F.lit(0).alias("label"), F.lit("structured").alias("kind")) for parts in ((F.col("word"), F.lit("42")), (F.col("word"), F.lit("_id")), (F.col("word"), F.lit(".com")), (F.lit("https://"), F.col("word")))]),
+        F.filter(F.array(*[F.struct(t.alias("token"), F.lit(0).alias("label"), F.lit("structured").alias("kind")) for t in shapes]), lambda x: x["token"].isNotNull()),
     ).otherwise(F.array().cast("array<struct<token:string,label:int,kind:string>>"))
     wrong = F.when(
         (script(F.col("word")) != "other") & (script(c) != "other") & (script(c) != script(F.col("word"))), F.array(F.struct(c.alias("token"), F.lit(1).alias("label"), F.lit("wrong").alias("kind")))

@@ -12,7 +12,6 @@ from typeloom.functions import text as T
 from typeloom.functions.hashing import split_bucket
 from typeloom.operators import boundary as B
 from typeloom.operators import gestures as G
-from typeloom.operators import lexicon as L
 from typeloom.operators import model as M
 from typeloom.plans.corpus import TOK, lex, sentences, tok
 from typeloom.plans.parsing import _PARSED
@@ -128,8 +127,8 @@ def training_positions(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def layout_model(spark, sf_dir):  # noqa: ANN001, ANN201
-    """A hashed logistic regression trained, calibrated and measured on disjoint words; without words of both kinds nothing is measured."""
-    f = M.vectors(M.training_rows(tok(spark, sf_dir).where(L.pure(F.col("lang"), F.col("word")))).where("kind <> 'structured'").select("token", "label").distinct()).withColumn("bucket", split_bucket(F.col("token")) % 10)
+    """A hashed logistic regression trained, calibrated and measured on disjoint tokens, protected shapes among them; without words of both kinds nothing is measured."""
+    f = M.vectors(M.training_rows(tok(spark, sf_dir)).select("token", "label").distinct()).withColumn("bucket", split_bucket(F.col("token")) % 10)
     if f.where("bucket < 6").select("label").distinct().count() < 2:  # nothing to tell apart
         return M.measured(f.select("label", F.lit(0.0).alias("score")).limit(0), 0.0)
     fit = M.fitted(f.where("bucket < 6").select("label", "features"))
