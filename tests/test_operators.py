@@ -167,6 +167,22 @@ def test_policy_knows_words_of_any_rank(spark, tmp_path, monkeypatch):
     assert {(r.session, r.seq): r.replacement for r in spark.table("known_table").collect()} == {(1, 0): "yt", (1, 1): "не привет", (2, 0): "hello", (2, 1): ""}
 
 
+def test_manifest_covers_every_rank(spark, monkeypatch):
+    from typeloom.plans import corpus as P
+
+    rows = [("en", f"w{i}", 2, i) for i in range(1, 1102)] + [("ru", "да", 9, 1)]
+
+    def digests(rows):
+        monkeypatch.setattr(P, "lex", lambda *_: spark.createDataFrame(rows, "lang string, word string, cnt long, rank int"))
+        return {r.lang: (r.n_rows, r.digest) for r in P.manifest(spark, "").collect()}
+
+    first = digests(rows)
+    assert first == digests(rows[::-1]) and first["en"][0] == 1101
+    for changed in (("en", "w1101", 1, 1101), ("en", "x1101", 2, 1101), ("en", "w1101", 2, 1102)):
+        got = digests([r for r in rows if r[1] != "w1101"] + [changed])
+        assert got["en"] != first["en"] and got["ru"] == first["ru"]
+
+
 def test_layout_model_sees_protected_shapes(spark, monkeypatch):
     from typeloom.plans import sessions as P
 
