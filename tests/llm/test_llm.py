@@ -275,6 +275,28 @@ def test_chain_on_held_out_documents(spark):
     assert {r.source: r.n_docs for r in toxicity.rates(toxicity.scored(docs, labels)).collect()} == {"s": 901, None: 1}
 
 
+def test_few_labels_flag_few():
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("bcdfghklmnprstvz") for _ in range(6))
+    common, marks = [word() for _ in range(300)], [word() for _ in range(6)]
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 8 == 0
+        parts = [" ".join(rnd.choices(common, k=9)) for _ in range(5)]
+        if toxic:
+            parts.append(" ".join([*rnd.choices(common, k=3), *rnd.sample(marks, 3), *rnd.choices(common, k=2)]))
+        docs.append(". ".join(parts))
+        labels.append(int(toxic))
+    each = [np.array([toxicity._h(w) for x in d.split(". ") for w in [*x.split(), toxicity.STOP]], np.int64) for d in docs]
+    bare = [np.array([toxicity._h(toxicity.skeleton(w)) for x in d.split(". ") for w in [*x.split(), toxicity.STOP]], np.int64) for d in docs]
+    off = np.concatenate(([0], np.cumsum([len(x) for x in each])))
+    for n in (0, 8, 40, 96, 300):
+        chain = toxicity.fitted(each[:n], bare[:n], np.array(labels[:n], np.int64))
+        got = toxicity.scored_rows(chain, np.concatenate(each), np.concatenate(bare), off)[:, -1] >= 0.5
+        assert not (got & (np.array(labels) == 0)).any(), n
+        assert n < 300 or got.sum() >= 45, (n, got.sum())
+
+
 def test_skeletons_resist_tricks():
     assert toxicity.skeleton("погнаый") == toxicity.skeleton("поганый") == toxicity.skeleton("пганый")
     assert toxicity.skeleton("тварррррь") == toxicity.skeleton("тварь")

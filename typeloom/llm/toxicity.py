@@ -1,11 +1,19 @@
 """Abusive, hateful or sexual content (problem 9).
 
-A classifier chain: linear models predict the categories one after the other, and each
-is given the log odds of those before it. While fitting, these come from models that
-have not seen the document (out of fold). Features are hashed words and word pairs,
-once as written and once reduced to consonants, which spelling tricks (repeated,
-swapped, masked or digit-for-letter characters) mostly leave alone. Documents are
-scored by their worst passage.
+A classifier chain: linear models predict the kinds of content one after the other, and
+each is given the log odds of those before it; the last one is the verdict. While
+fitting, these come from models that have not seen the document (out of fold). Features
+are hashed words and word pairs, once as written and once reduced to consonants, which
+spelling tricks (repeated, swapped, masked or digit-for-letter characters) mostly leave
+alone. Documents are scored by their worst passage.
+
+Everything is learnt from the labels; there is no list of words. A label tells of a
+document only, so examples are chosen in rounds: the passages of documents labelled
+toxic that labels of *other* documents make suspicious, against all passages of
+documents labelled clean. Passages without a word that leans to either side count for
+the bias only. As labels do not tell kinds, the examples are split into ``KINDS`` groups
+by the features they share (spherical k-means from the farthest examples); the kinds
+therefore have numbers, in the order of their size.
 
 Only a bounded sample of labelled documents (``fit_docs``) is used for fitting; it
 holds the documents of the smallest id hashes whose reviewers agree, so it is the same
@@ -26,15 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 20
+KINDS = 4
 #: Order of the chain; the last link is the verdict.
-LINKS = ("sexual", "hate", "threat", "insult", "toxic")
-# Words that hint at a category. They tell which category a labelled passage belongs to and are where the weights start from.
-HINTS = {
-    "sexual": "секс секса порно минет минетом оргиями шлюхи трахались сиськи стонала голое голые интимные sex porn nude nudes naked blowjob tits horny hardcore xxx moaned uncensored",
-    "hate": "паразиты тараканы плодятся крысы отсюда гнать воры приезжие исчезнут люди immigrants vermin parasites breed rats thieves disappear",
-    "threat": "сдох сдохни убью сломаю найду пожалеешь спалить звони regret break burn kill",
-    "insult": "урод ублюдок мразь дебил гнида придурок кретин идиот сука тварь сволочь козёл тупой поганый поганая жалкий жалкая убогий убогая вонючий вонючая безмозглый безмозглая гребаный заткни пошёл asshole bitch bastard moron idiot imbecile cretin loser dickhead dumbass scumbag fuck fucking goddamn stupid worthless pathetic brainless filthy disgusting shit",
-}
+LINKS = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
+#: Where the bias starts from: most passages are harmless.
+PRIOR = -2.5
 _VOWELS = "aeiouаеёиоуыэюя"
 _SKELETON = rf"[{_VOWELS}]+|(.)(?=\1)"
 #: Between single letters: f.u.c.k, у-б-о-г-и-й.
@@ -113,21 +117,21 @@ class Chain:
         return out
 
 
-def _fit(seg: np.ndarray, feat: np.ndarray, dense: np.ndarray, y: np.ndarray, start: np.ndarray, bias: float, l2: float = 0.05, steps: int = 150, memory: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by limited-memory quasi-Newton steps, drawn towards the weights it starts from."""
-    n, m, k = len(y), len(start), dense.shape[1]
-    origin = np.concatenate((start, np.zeros(k), [bias]))
-    pull = np.concatenate((np.full(m + k, l2), [l2 * 0.1]))
+def _fit(seg: np.ndarray, feat: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, empty: float, l2: float, steps: int = 150, memory: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression by limited-memory quasi-Newton steps; ``empty`` is the number of further negatives without any feature."""
+    n, k = len(y), dense.shape[1]
+    pull = np.concatenate((np.full(width + k, l2), [l2 * 0.1]))
+    x = np.zeros(width + k + 1)
+    x[-1] = PRIOR
+    origin = x.copy()
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(seg, x[:m][feat], minlength=n) + dense @ x[m : m + k] + x[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        e = p - y
+        z = np.bincount(seg, x[:width][feat], minlength=n) + dense @ x[width : width + k] + x[-1]
+        e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
         off = x - origin
-        value = float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * (pull * off * off).sum())
-        return value, np.concatenate((np.bincount(feat, e[seg], minlength=m), dense.T @ e, [e.sum()])) + pull * off
+        value = float(np.sum(np.logaddexp(0, z) - y * z) + empty * np.logaddexp(0, x[-1]) + 0.5 * (pull * off * off).sum())
+        return value, np.concatenate((np.bincount(feat, e[seg], minlength=width), dense.T @ e, [e.sum() + empty / (1 + np.exp(-x[-1]))])) + pull * off
 
-    x = origin.copy()
     value, g = loss(x)
     kept: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
@@ -153,100 +157,126 @@ def _fit(seg: np.ndarray, feat: np.ndarray, dense: np.ndarray, y: np.ndarray, st
         x, value, g = new, v, h
         if done:
             break
-    return x[:m], x[m : m + k], float(x[-1])
+    return x[:width], x[width : width + k], float(x[-1])
 
 
-def fitted(words: list[np.ndarray], skeletons: list[np.ndarray], labels: np.ndarray, folds: int = 3, rounds: int = 3, least_docs: int = 4, chance: float = 12.0, doubt: float = 1.5, plenty: float = 8.0) -> Chain:
-    """The chain from labelled documents, given as arrays of word and skeleton hashes and 0/1 labels."""
+def _best(score: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a passage is the one of the highest score of its document; of equals the last."""
+    out = np.zeros(len(score), bool)
+    if len(score):
+        order = np.lexsort((score, doc))
+        out[order[np.flatnonzero(np.append(doc[order][1:] != doc[order][:-1], True))]] = True
+    return out
+
+
+def kinds(seg: np.ndarray, feat: np.ndarray, weight: np.ndarray, n: int, rows: np.ndarray, k: int = KINDS, steps: int = 12) -> np.ndarray:
+    """The group, from 0, of each of the passages ``rows``, numbered by falling size: spherical k-means over weighted features, from the farthest passages."""
+    number = np.full(n, -1)
+    number[rows] = np.arange(len(rows))
+    on = number[seg] >= 0
+    r, f = number[seg[on]], feat[on]
+    columns, f = np.unique(f, return_inverse=True)
+    x = np.zeros((len(rows), len(columns)), np.float32)
+    x[r, f] = np.maximum(weight[columns], 0)[f]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = [x[int(np.argmax((x > 0).sum(axis=1)))]]
+    while len(centres) < min(k, len(rows)):
+        # the passage least like all centres; those with a single feature would be centres of nothing
+        near = np.max(x @ np.array(centres).T, axis=1) + ((x > 0).sum(axis=1) < 2)
+        centres.append(x[int(np.argmin(near))])
+    c = np.array(centres)
+    group = np.zeros(len(rows), np.int64)
+    for _ in range(steps):
+        group = np.argmax(x @ c.T, axis=1)
+        for j in range(len(c)):
+            if (group == j).any():
+                c[j] = x[group == j].sum(axis=0)
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    place = np.empty(len(c), np.int64)
+    place[np.argsort(-np.bincount(group, minlength=len(c)), kind="stable")] = np.arange(len(c))
+    return place[group]
+
+
+def fitted(words: list[np.ndarray], skeletons: list[np.ndarray], labels: np.ndarray, folds: int = 3, rounds: int = 3, least_docs: int = 3, chance: float = 10.0, doubt: float = 1.5, suspicious: float = 0.5, plenty: float = 8.0, l2: float = 0.2) -> Chain:
+    """The chain from labelled documents, given as arrays of word and skeleton hashes and 0/1 labels.
+
+    A feature counts if it is in ``least_docs`` documents and leans to one side beyond
+    ``chance`` (squared deviation from what is expected). A passage of a toxic document
+    is an example if its evidence from other documents is ``suspicious`` and the most of
+    its document, or ``plenty``; later rounds ask models of other documents instead, which also
+    leave out clean documents whose label they contradict by ``doubt``. Without
+    labels, or without any that repeat, nothing is toxic.
+    """
     m = len(LINKS)
-    hints = np.zeros((1 << BITS, m))
-    for k, name in enumerate(LINKS[:-1]):
-        for w in HINTS[name].split():
-            for one in features(np.array([_h(w)], np.int64), np.array([_h(skeleton(w))], np.int64))[0, :2]:
-                hints[one, k] = 1.5
-                hints[one, m - 1] = max(hints[one, m - 1], 1.0)
-    if not len(labels):
-        return Chain(hints, np.full(m, -2.5), np.zeros((m, m)), hints.any(axis=1))
-    n_words = np.array([len(w) for w in words])
+    n_words = np.array([len(w) for w in words], np.int64)
     off = np.concatenate(([0], np.cumsum(n_words)))
+    if not off[-1]:
+        return Chain(np.zeros((1 << BITS, m), np.float32), np.full(m, PRIOR), np.zeros((m, m)), np.zeros(1 << BITS, bool))
     v, s = np.concatenate(words), np.concatenate(skeletons)
-    seg1 = passages(v, off)
-    f = features(v, s)
+    seg1, f = passages(v, off), features(v, s)
     doc1 = np.repeat(np.arange(len(labels)), n_words)
-    # features that lean to one side beyond chance
-    hinted_f = hints.any(axis=1)
     once = np.unique(np.repeat(doc1, 4) * (1 << BITS) + f.ravel())
     in_doc, of = once >> BITS, once & ((1 << BITS) - 1)
     pos, all_ = np.bincount(of, labels[in_doc], minlength=1 << BITS), np.bincount(of, minlength=1 << BITS)
     base = (labels.sum() + 1) / (len(labels) + 2)
-    lean = np.log((pos + 4 * base) / (all_ - pos + 4 * (1 - base))) - np.log(base / (1 - base))
-    beyond = (pos - all_ * base) ** 2 / (np.maximum(all_, 1) * base * (1 - base)) >= chance
-    used = (all_ >= least_docs) & beyond | hinted_f
-    keep = used[f.ravel()]
-    seg, feat = np.repeat(seg1, 4)[keep], f.ravel()[keep]
+    lean = lambda p, a: np.log((np.maximum(p, 0) + 4 * base) / (np.maximum(a - p, 0) + 4 * (1 - base))) - np.log(base / (1 - base))
+    used = (all_ >= least_docs) & ((pos - all_ * base) ** 2 / (np.maximum(all_, 1) * base * (1 - base)) >= chance)
     number = np.flatnonzero(used)
+    width = len(number)
     back = np.full(1 << BITS, -1)
-    back[number] = np.arange(len(number))
-    feat = back[feat]
+    back[number] = np.arange(width)
+    keep = used[f.ravel()]
     # a feature counts once per passage
-    pair = np.unique(seg * len(number) + feat)
-    seg, feat = pair // len(number), pair % len(number)
+    pair = np.unique(np.repeat(seg1, 4)[keep] * max(1, width) + back[f.ravel()[keep]])
+    seg, feat = pair // max(1, width), pair % max(1, width)
     n_seg = int(seg1[-1]) + 1
     doc = np.zeros(n_seg, np.int64)
     doc[seg1] = doc1
     live = np.unique(seg)
+    empty = int((labels[doc] == 0).sum() - (labels[doc[live]] == 0).sum())
     renumber = np.full(n_seg, -1)
     renumber[live] = np.arange(len(live))
     seg, doc, n = renumber[seg], doc[live], len(live)
-    start = hints[number]
     known = labels[doc] == 1
-    hinted = np.stack([np.bincount(seg, (start[:, k] > 0)[feat], minlength=n) for k in range(m - 1)], axis=1)
+    p, a = pos[number][feat], all_[number][feat]
+    score = np.bincount(seg, np.clip(lean(p - known[seg], a - 1), -1, 3), minlength=n)
     fold = (np.random.default_rng(17).permutation(len(labels)) % folds)[doc]
-    score = np.bincount(seg, np.clip(lean[number], -1, 3)[feat], minlength=n) + hinted.sum(axis=1)
 
-    def chosen(score: np.ndarray) -> np.ndarray:
-        """The worst passage of every document labelled toxic, and all others with as much evidence as ``plenty``."""
-        order = np.lexsort((score, doc))
-        last = np.flatnonzero(np.append(doc[order][1:] != doc[order][:-1], True))
-        out = np.zeros(n, bool)
-        out[order[last]] = True
-        return (out | (score >= plenty)) & known
+    def fit(y: np.ndarray, rows: np.ndarray, dense: np.ndarray, share: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+        at = np.cumsum(rows) - 1
+        inside = rows[seg]
+        return _fit(at[seg[inside]], feat[inside], dense[rows], y[rows], width, empty * share, l2)
 
-    def out_of_fold(y: np.ndarray, use: np.ndarray, dense: np.ndarray, k: int) -> np.ndarray:
+    def out_of_fold(y: np.ndarray, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
         out = np.empty(n)
         for part in range(folds):
-            w, d, b = _masked(seg, feat, dense, y, (fold != part) & use, start[:, k])
+            w, d, b = fit(y, (fold != part) & rows, dense, 1 - 1 / folds)
             here = fold == part
             out[here] = (np.bincount(seg, w[feat], minlength=n) + dense @ d + b)[here]
         return out
 
-    # wrong labels: a toxic document none of whose passages looks so to models of other documents, and the reverse, are left out
+    top = known & (_best(score, doc) & (score > suspicious) | (score >= plenty))
     doubted = np.zeros(n, bool)
-    top = chosen(score)
     for _ in range(rounds - 1):
-        top &= ~doubted
-        fresh = out_of_fold(top.astype(float), (top | ~known) & ~doubted, np.zeros((n, 0)), m - 1)
-        doubted = np.where(known, fresh < -doubt, fresh > doubt) & (labels.sum() >= 60)
-    top = chosen(score) & ~doubted
-    use = (top | ~known) & ~doubted
-    weights, bias, links, oof = np.zeros((len(number), m)), np.zeros(m), np.zeros((m, m)), np.zeros((n, m))
+        fresh = out_of_fold(top.astype(float), (top | ~known) & ~doubted, np.zeros((n, 0)))
+        doubted = ~known & (fresh > doubt)
+        top = known & ((fresh > 0) | (_best(fresh, doc) & (score > suspicious) & (fresh > -doubt)))
+    rows = (top | ~known) & ~doubted
+    kind = np.full(n, -1)
+    if top.any():
+        kind[top] = kinds(seg, feat, lean(pos[number], all_[number]), n, np.flatnonzero(top))
+    weights, bias, links, oof = np.zeros((width, m)), np.zeros(m), np.zeros((m, m)), np.zeros((n, m))
     for k in range(m):
-        y = (top & (hinted[:, k] > 0) if k < m - 1 else top).astype(float)
+        y = (kind == k if k < m - 1 else top).astype(float)
         dense = np.tanh(oof[:, :k] / 4)
         if k < m - 1:
-            oof[:, k] = out_of_fold(y, use, dense, k)
-        weights[:, k], links[k, :k], bias[k] = _masked(seg, feat, dense, y, use, start[:, k])
+            oof[:, k] = out_of_fold(y, rows, dense)
+        weights[:, k], links[k, :k], bias[k] = fit(y, rows, dense)
     table = np.zeros((1 << BITS, m), np.float32)
     table[number] = weights
     return Chain(table, bias, links, used)
 
 
-def _masked(seg: np.ndarray, feat: np.ndarray, dense: np.ndarray, y: np.ndarray, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    number = np.cumsum(rows) - 1
-    inside = rows[seg]
-    return _fit(number[seg[inside]], feat[inside], dense[rows], y[rows], start, -2.5)
-
-
 def scored_rows(chain: Chain, words: np.ndarray, skeletons: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Probabilities of all links for every document: those of its worst passage."""
     n = len(offsets) - 1
@@ -280,15 +310,15 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_docs: int, longest: int = 1
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit_docs: int = 12_000) -> DataFrame:
-    """``doc_id, source, sexual, hate, threat, insult, score`` of every document.
+    """``doc_id, source, kind_1 .. kind_4, score`` of every document.
 
     ``score`` is the probability that a passage is toxic. A null or empty text scores as
-    one without any known word. Without labels the hints alone decide; an empty table
+    one without any known word. Without labels nothing is toxic; an empty table
     gives an empty result; a doc_id that occurs again is scored again.
     """
     chain = fitted(*labelled(docs, labels, fit_docs))
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(chain))
-    schema = "doc_id bigint, source string, sexual double, hate double, threat double, insult double, score double"
+    schema = "doc_id bigint, source string, " + "".join(f"{k} double, " for k in LINKS[:-1]) + "score double"
     a, b = hashed_words(F.coalesce("text", F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
