@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -176,12 +177,41 @@ def test_garbled_rows(spark):
 @pytest.mark.parametrize("capacity", [7, 100, 4096])
 def test_packing_fills(capacity):
     rng = np.random.default_rng(1)
-    s = np.minimum(capacity, rng.integers(1, max(2, capacity // 2), 3000))
-    w = packing.closed_up(packing.sum_of_squares(s, capacity), s, capacity)
+    s = np.minimum(capacity, rng.integers(1, max(2, capacity // 2), 30_000))
+    w = packing.sum_of_squares(s, capacity)
     fill = np.bincount(w, s)
     assert fill.max() <= capacity and fill.min() > 0 and len(fill) <= 1.02 * s.sum() / capacity + 2
 
 
+def plain_sum_of_squares(sizes, capacity, levels):
+    """By trying every open window and every level anew."""
+    width, fills, out = max(1, -(-capacity // levels)), [], []
+    squares = lambda fs: sum(n * n for n in Counter(f // width for f in fs if f < capacity).values())
+    for i, s in enumerate(sizes):
+        ending = sum(capacity - f for f in fills) >= sum(sizes[i:])
+        choices = []
+        for k in {f // width for f in fills if f < capacity}:
+            fit = [(f, j) for j, f in enumerate(fills) if f < capacity and f // width == k and f + s <= capacity]
+            if fit:
+                f, j = max(fit)
+                choices.append((squares([*fills[:j], f + s, *fills[j + 1 :]]), -k, j))
+        if choices and (ending or min(choices)[0] <= squares([*fills, s])):
+            j = min(choices)[2]
+        else:
+            j = len(fills)
+            fills.append(0)
+        fills[j] += s
+        out.append(j)
+    return out
+
+
+@pytest.mark.parametrize(("capacity", "levels"), [(1, 4), (10, 4), (37, 8), (64, 256)])
+def test_packing_is_sum_of_squares(capacity, levels):
+    for seed in range(6):
+        s = np.random.default_rng(seed).integers(1, capacity + 1, 120)
+        assert packing.sum_of_squares(s, capacity, levels).tolist() == plain_sum_of_squares(s.tolist(), capacity, levels)
+
+
 def test_documents_packed(spark):
     text = [None, "", "one", "word " * 3000] + ["some words here"] * 50
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(text)] + [(None, "no id", "x")], "doc_id long, text string, window string")

@@ -2,17 +2,19 @@
 
 Sum-of-squares online packing: an item goes to the fill level at which the sum of
 squares of the numbers of partially filled windows per level grows least. Levels are
-tracked in an array. The items of windows left poorly filled when a part of the items
-is through are packed once more in a closing pass over that part, largest first. Parts
-are cut by a hash of the item id, of about ``part_items`` items each however many items
-there are, so that packing is spread over all tasks and the room lost at the ends of
-parts stays a constant share.
+tracked in an array; the window of a level that takes the item is the fullest with
+room for it. Nothing is packed twice. As the items of a part are known to end, no new window is
+opened once the open ones have room for all that is still to come (and one of them for the
+item). Parts are cut by a hash of the item id, of at most about ``part_items`` items each
+however many items there are, so that packing is spread over all tasks and the room lost at
+the ends of parts stays a constant share, which shrinks with the size of a part.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which this public vocabulary's tokenizer cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEVELS = 256
+_NEVER = 1 << 60
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -68,83 +71,57 @@ def sum_of_squares(sizes: np.ndarray, capacity: int, levels: int = LEVELS) -> np
     """The window of each item, numbered from 0; sizes are from 1 to ``capacity``, in the order in which the items arrive.
 
     The level array holds the number of open windows per fill level (``levels`` of equal
-    width); within a level the fullest window that still has room is taken.
+    width, the last one ends at the capacity) and the largest fill among them.
     """
     width = max(1, -(-capacity // levels))
-    top = capacity // width
-    count = np.zeros(top + 2, np.int64)
-    fullest_room = np.zeros(top + 2, np.int64)  # smallest fill of the windows of a level, or capacity + 1
-    fullest_room[:] = capacity + 1
-    open_at: list[list[tuple[int, int]]] = [[] for _ in range(top + 2)]
+    top = (capacity - 1) // width
+    count = np.zeros(top + 1, np.int64)
+    fullest = np.full(top + 1, -1, np.int64)
+    opened: list[list[tuple[int, int]]] = [[] for _ in range(top + 1)]  # (fill, window) in order, by level
+    level = np.arange(top + 1)
     out, made = np.empty(len(sizes), np.int64), 0
-    level_index = np.arange(top + 2)
+    to_come, room = int(sizes.sum()), 0
     for i, s in enumerate(sizes.tolist()):
-        # growth of the sum of squares when the emptiest window of a level takes the item; the window of level 0 is a new one
-        fill = fullest_room.copy()
-        fill[0] = 0
+        ending = room >= to_come
+        to_come -= s
+        most = capacity - s
+        n = min(most // width, top) + 1
+        fill = fullest[:n].copy()
+        if fill[-1] > most:
+            at = bisect_right(opened[n - 1], (most, made)) - 1
+            fill[-1] = opened[n - 1][at][0] if at >= 0 else -1
         after = fill + s
-        fits = after <= capacity
-        to = np.minimum(after // width, top + 1)
-        grown = np.where(after == capacity, 0, 2 * count[to] + 1) - np.where(level_index == 0, 0, 2 * count - 1)
-        grown = np.where(to == level_index, 0, grown)
-        grown[~fits] = 1 << 60
-        best = int(np.flatnonzero(grown == grown.min())[-1])  # of equals the fullest
-        if best == 0:
-            window, f = made, 0
-            made += 1
-        else:
-            at = open_at[best]
-            k = max((j for j, x in enumerate(at) if x[0] + s <= capacity), key=lambda j: at[j][0])
-            f, window = at.pop(k)
+        to = np.minimum(after // width, top)
+        # growth of the sum of squares when a window leaves its level for another, or is full and leaves for good
+        grown = np.where(after == capacity, 0, 2 * count[to] + 1) - (2 * count[:n] - 1)
+        grown[(to == level[:n]) & (after < capacity)] = 0
+        grown[fill < 0] = _NEVER
+        best = n - 1 - int(np.argmin(grown[::-1]))  # of equals the fullest
+        new = 0 if s == capacity else 2 * int(count[s // width]) + 1
+        if grown[best] < _NEVER and (ending or grown[best] <= new):
+            at = bisect_right(opened[best], (int(fill[best]), made)) - 1
+            f, window = opened[best].pop(at)
             count[best] -= 1
-            fullest_room[best] = min((x[0] for x in at), default=capacity + 1)
+            fullest[best] = opened[best][-1][0] if opened[best] else -1
+        else:
+            f, window = 0, made
+            made += 1
+            room += capacity
         f += s
+        room -= s
         out[i] = window
         if f < capacity:
-            k = max(1, f // width)
-            open_at[k].append((f, window))
+            k = f // width
+            insort(opened[k], (f, window))
             count[k] += 1
-            fullest_room[k] = min(fullest_room[k], f)
-    return out
-
-
-def closed_up(windows: np.ndarray, sizes: np.ndarray, capacity: int, enough: float = 0.97) -> np.ndarray:
-    """The windows renumbered after the items of those filled less than ``enough`` are packed once more, largest first, each where least room is left."""
-    if not len(windows):
-        return windows
-    fill = np.bincount(windows, sizes).astype(np.int64)
-    good = fill >= enough * capacity
-    number = np.cumsum(good) - 1
-    out = number[windows]
-    made = int(good.sum())
-    again = np.flatnonzero(~good[windows])
-    again = again[np.argsort(-sizes[again], kind="stable")]
-    rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
-    present = np.zeros(capacity + 1, bool)  # by room left
-    for w in np.flatnonzero(good).tolist():
-        if (left := capacity - int(fill[w])) > 0:
-            rooms[left].append(int(number[w]))
-            present[left] = True
-    for i in again.tolist():
-        s = int(sizes[i])
-        at = s + int(np.argmax(present[s:]))
-        if present[at]:
-            new = rooms[at].pop()
-            present[at] = bool(rooms[at])
-        else:
-            new, at = made, capacity
-            made += 1
-        out[i] = new
-        if at > s:
-            rooms[at - s].append(new)
-            present[at - s] = True
+            fullest[k] = opened[k][-1][0]
     return out
 
 
 _PACKED = "window_name string, capacity bigint, part bigint, window bigint, id bigint, piece int, first_token bigint, tokens bigint"
 
 
-def packed(items: DataFrame, capacities: list[tuple[str, int]], part_items: int = 20_000) -> DataFrame:
+def packed(items: DataFrame, capacities: list[tuple[str, int]], part_items: int = 100_000) -> DataFrame:
     """Items ``(id, tokens)`` packed for each capacity: ``window_name, part, window, id, piece, first_token, tokens``.
 
     An item longer than the capacity is cut into full windows and a rest, numbered as
@@ -167,7 +144,7 @@ def packed(items: DataFrame, capacities: list[tuple[str, int]], part_items: int
         size = np.minimum(capacity, tokens[row] - piece * capacity)
         whole = size == capacity
         window = np.empty(len(row), np.int64)
-        window[~whole] = closed_up(sum_of_squares(size[~whole], capacity), size[~whole], capacity)
+        window[~whole] = sum_of_squares(size[~whole], capacity)
         base = int(window[~whole].max()) + 1 if (~whole).any() else 0
         window[whole] = base + np.arange(int(whole.sum()))
         return pd.DataFrame({"window_name": name, "capacity": capacity, "part": part, "window": window, "id": ids[row], "piece": piece.astype(np.int32), "first_token": piece * capacity, "tokens": size})
@@ -189,7 +166,7 @@ def report(rows: DataFrame) -> DataFrame:
     )
 
 
-def documents_packed(docs: DataFrame, windows: DataFrame, folder: str = TOKENIZERS, part_items: int = 20_000) -> DataFrame:
+def documents_packed(docs: DataFrame, windows: DataFrame, folder: str = TOKENIZERS, part_items: int = 100_000) -> DataFrame:
     """Every document packed for each row of ``windows(window_name, capacity_tokens)``, a table of a few rows."""
     kinds = [(r["window_name"], r["capacity_tokens"]) for r in windows.limit(1001).collect()]
     if len(kinds) > 1000:
