@@ -269,13 +269,50 @@ def test_leaks_against_brute_force(spark):
 
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(3)
-    p = leaks.Passages(rng.integers(-(2**62), 2**62, (300, 12)), np.arange(300))
-    p.open()
+    p = leaks.Passages(rng.integers(-(2**62), 2**62, (300, 40)), np.arange(300), np.ones(300, bool), 0.8)
     probe = p.prints.copy()
-    for k in range(leaks.RADIUS):
-        probe ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    for row in range(300):
+        for bit in rng.choice(64, leaks.RADIUS, replace=False):
+            probe[row] ^= np.uint64(1) << np.uint64(bit)
     w, q = p.near(probe)
-    assert {(x, x) for x in range(300)} <= set(zip(w.tolist(), q.tolist(), strict=True))
+    assert p.radius == leaks.RADIUS and {(x, x) for x in range(300)} <= set(zip(w.tolist(), q.tolist(), strict=True))
+
+
+def near_truth(docs, items, least=0.8):
+    def grams(w):
+        k = min(5, len(w))
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    out = {}
+    for d, t in docs:
+        w = t.split()
+        for i, x in items:
+            q = x.split()
+            want = grams(q)
+            for a in range(len(w) - len(q) + 1):
+                got = grams(w[a : a + len(q)])
+                sim = (want & got).total() / (want | got).total()
+                if sim >= least:
+                    out[d, i] = max(sim, out.get((d, i), 0))
+    return out
+
+
+def test_near_leaks_against_brute_force(spark):
+    rnd = random.Random(11)
+    items = [(i, " ".join(rnd.choice(WORDS) + str(rnd.randrange(30)) for _ in range(rnd.choice([10, 13, 20, 49, 60, 90])))) for i in range(40)]
+    docs = []
+    for d in range(200):
+        q = rnd.choice(items)[1].split()
+        for _ in range(rnd.randint(0, 2)):
+            k = rnd.choice([0, len(q) - 1, rnd.randrange(len(q))])
+            q[k : k + 1] = rnd.choice([["changed"], [], [q[k], "more"]])
+        w = [rnd.choice(WORDS) for _ in range(rnd.randint(0, 40))]
+        docs.append((d, " ".join([*w[:9], *q, *w[9:]])))
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("similarity is not null").collect()}
+    want = near_truth(docs, items)
+    assert all(abs(want[k] - s) < 1e-9 for k, s in got.items())
+    edited = {k for k, s in want.items() if s < 1}
+    assert len(edited) > 40 and len(edited & set(got)) >= 0.9 * len(edited) and all(k in got for k, s in want.items() if s == 1)
 
 
 # --- 9

@@ -173,11 +173,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p8(spark, sf_dir).where("exact").select("doc_id", "item_id")
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole item, word for word or nearly."""
+    return _p8(spark, sf_dir).where("similarity is not null").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per test set: items, leaked items and documents they leaked into, by exact words or nearly."""
+    """Per test set: items, leaked items and documents they leaked into; pairs by a run of exact words, with the whole item, and with nearly the whole item."""
     items = load(spark, sf_dir, "eval_items").select("item_id", "set_name")
     return items.join(_p8(spark, sf_dir), "item_id", "left").groupBy("set_name").agg(
-        F.countDistinct("item_id").alias("n_items"), F.countDistinct(F.when(F.col("doc_id").isNotNull(), F.col("item_id"))).alias("n_leaked"), F.countDistinct("doc_id").alias("n_documents"), F.count(F.when(F.col("exact"), 1)).alias("n_exact_pairs")
+        F.countDistinct("item_id").alias("n_items"),
+        F.countDistinct(F.when(F.col("doc_id").isNotNull(), F.col("item_id"))).alias("n_leaked"),
+        F.countDistinct("doc_id").alias("n_documents"),
+        F.count(F.when(F.col("exact"), 1)).alias("n_exact_pairs"),
+        F.count(F.when(F.col("similarity") == 1, 1)).alias("n_whole_pairs"),
+        F.count(F.when(F.col("similarity") < 1, 1)).alias("n_near_pairs"),
     )
 
 
@@ -224,6 +234,7 @@ QUERIES = {
     "p7_packed": p7_packed,
     "p7_report": p7_report,
     "p8_found": p8_found,
+    "p8_near": p8_near,
     "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
