@@ -79,6 +79,14 @@ def test_one_form_is_final(s):
     assert one_form.one_form(once) == once
 
 
+def test_mapping_has_sources_of_several_characters():
+    table = one_form.mapping()
+    assert table["e\u0301"] == "é" and table["e\u0302\u0301"] == "ế" and table["и\u0306"] == "й" and max(map(len, table)) >= 3
+    assert one_form.one_form("e\u0302\u0301") == "ế" and one_form.one_form("ê\u0301") == "ế" and one_form.one_form("e\u200b\u0301") == "é"
+    assert one_form.one_form("п\u200bp\u0438вет") == "привет" and one_form.one_form("\u1112\u1161\u11ab") == "한"
+    assert len(one_form.look_alikes()) > 90
+
+
 def test_disguised_rows(spark):
     rows = [(1, "пpивет", "k"), (2, "привет", "k"), (3, None, "k"), (4, "", "k"), (5, "a b" * 30_000, "k"), (2, "привет", "k"), (6, "café", None)]
     df = spark.createDataFrame(rows, "review_id long, word string, canonical string")

@@ -1,11 +1,13 @@
 """Visually identical text with different characters (problem 3).
 
-A transducer walks over grapheme clusters and rewrites each by the longest entry of a
-precomputed mapping: joined and wide forms, base letters with separate accents, spaces
-and invisible characters in one pass. Letters that only look like those of the rest of
-their run of letters are then decided for the run as a whole. The mapping is built
-from the Unicode database when the module is loaded and checked for conflicts: no
-entry's result may itself contain an entry, and no source may have two results.
+A compiled transducer walks over grapheme clusters once. In each it takes the longest
+sources of a precomputed mapping: joined and wide forms, base letters with separate
+accents, spaces, invisible characters. Letters that only look like those of the rest of their run
+of letters are entries of the same mapping, one for each script they can be read in: the
+transducer keeps a run open, with the scripts seen in it, and writes it out in the script that fits all of it when it
+ends. The mapping is built from the Unicode database when first used and
+checked for conflicts: no source may have two results, no result may contain a source,
+and look-alikes must lead back to each other.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def _wide_or_joined(ch: str) -> bool:
 
 @cache
 def mapping() -> dict[str, str]:
-    """Every single character that is rewritten, with its ordinary form."""
+    """Every source that is rewritten wherever it stands, with its ordinary form: single characters, and letters with separate accents."""
     out: dict[str, str] = {}
 
     def put(a: str, b: str) -> None:
@@ -68,54 +70,126 @@ def mapping() -> dict[str, str]:
             put(ch, "")
         elif _wide_or_joined(ch):
             put(ch, unicodedata.normalize("NFKC", ch))
-    # what a rewritten character turns into is final
+        elif unicodedata.decomposition(ch) and unicodedata.decomposition(ch)[0] != "<":
+            apart, whole = unicodedata.normalize("NFD", ch), unicodedata.normalize("NFC", ch)
+            put(*((apart, ch) if whole == ch else (ch, whole)))
+    # what a source turns into is final
     for a, b in list(out.items()):
-        final = "".join(out.get(c, c) for c in b)
-        out[a] = final
-        if any(c in out for c in final):
+        out[a] = "".join(out.get(c, c) for c in b)
+    longest = max(map(len, out))
+    for a, b in out.items():
+        if any(b[i : i + n] in out for i in range(len(b)) for n in range(1, longest + 1)):
             raise ValueError(f"{a!r} does not end in ordinary characters")
     return out
 
 
 @cache
-def _alike() -> dict[tuple[str, str], str]:
+def look_alikes() -> dict[tuple[str, str], str]:
     """(letter, script wanted) -> the letter of that script that looks the same."""
     out: dict[tuple[str, str], str] = {}
     for one, two, table in (("LATIN", "CYRILLIC", LATIN_CYRILLIC), ("LATIN", "GREEK", LATIN_GREEK), ("CYRILLIC", "GREEK", CYRILLIC_GREEK)):
         for a, b in table.items():
             out.setdefault((a, two), b)
             out.setdefault((b, one), a)
+    for (a, wanted), b in out.items():
+        if script(b) != wanted or out.get((b, script(a))) is None or a in mapping() or b in mapping():
+            raise ValueError(f"{a!r} and {b!r} are no look-alikes")
     return out
 
 
+class Transducer:
+    """The mapping as a trie of characters; what it makes of a cluster is remembered."""
+
+    def __init__(self, table: dict[str, str]) -> None:
+        self.start: dict = {}
+        for source, result in table.items():
+            node = self.start
+            for ch in source:
+                node = node.setdefault(ch, {})
+            node[""] = result
+        self.known: dict[str, tuple[str, bool, int]] = {}
+
+    def cluster(self, text: str) -> tuple[str, bool, int]:
+        """The form of one cluster, whether it is nothing but letters and marks, and its scripts as bits."""
+        found = self.known.get(text)
+        if found is None:
+            source, out, at = unicodedata.normalize("NFD", text) if len(text) > 1 else text, "", 0
+            while at < len(source):
+                node, end, result = self.start, at + 1, source[at]
+                for i in range(at, len(source)):
+                    node = node.get(source[i])
+                    if node is None:
+                        break
+                    if "" in node:
+                        end, result = i + 1, node[""]
+                out += result
+                at = end
+            if len(out) > 1:
+                out = unicodedata.normalize("NFC", out)  # syllables that are made by rule
+            letters = all(unicodedata.category(ch)[0] in "LM" for ch in out)
+            found = out, letters, sum({1 << SCRIPTS.index(k) for k in map(script, out) if k in SCRIPTS})
+            if len(self.known) > 1 << 16:
+                self.known.clear()
+            self.known[text] = found
+        return found
+
+    def __call__(self, text: str) -> str:
+        out: list[str] = []
+        run: list[str] = []
+        seen = 0
+        for c in _CLUSTERS.findall(text):
+            form, letters, scripts = self.cluster(c)
+            # a form of several kinds of characters goes on one by one
+            for part, inside, kinds in ((form, letters, scripts),) if letters or len(form) == 1 else map(self.cluster, form):
+                if inside:
+                    run.append(part)
+                    seen |= kinds
+                    continue
+                if run:
+                    out.append(in_one_script("".join(run), seen))
+                    run, seen = [], 0
+                out.append(part)
+        if run:
+            out.append(in_one_script("".join(run), seen))
+        done = "".join(out)
+        # marks can come to stand behind a letter when what was between them is gone
+        return done if unicodedata.is_normalized("NFC", done) else self(unicodedata.normalize("NFC", done))
+
+
+_CLUSTERS = regex.compile(r"\X")
 FLAG = "__typeloom_suspicious"
-_CLUSTERS, _LETTERS = regex.compile(r"\X"), regex.compile(r"[\p{L}\p{M}]+")
 
 
-def _cluster(c: str) -> str:
-    table = mapping()
-    if len(c) > 1:
-        c = "".join(table.get(x, x) for x in c)
-        return unicodedata.normalize("NFC", c)
-    return table.get(c, c)
+def in_one_script(run: str, scripts: int) -> str:
+    """A run of letters with its look-alikes read in one script; ``scripts`` are the bits of those in it.
 
-
-def _run(m: regex.Match) -> str:
-    run = m.group()
-    kinds = [script(ch) for ch in run]
-    present = [s for s in SCRIPTS if s in kinds]
-    if len(present) < 2:
+    That script is the one that all letters can take, then the one that fewest letters have
+    to change for, then the one of letters without look-alikes. Where letters that
+    cannot change leave a choice open, readings are repeated until they stay.
+    """
+    if not scripts & (scripts - 1):
         return run
-    alike = _alike()
-    # the script that all letters can take, then the one that fewest letters have to change for, then the one of letters without look-alikes
-    cost = {s: (sum(k not in (s, "OTHER") and (ch, s) not in alike for ch, k in zip(run, kinds, strict=True)), sum(k not in (s, "OTHER") for k in kinds)) for s in present}
-    best = min(present, key=lambda s: (*cost[s], s != "CYRILLIC"))
-    return "".join(alike.get((ch, best), ch) if k != best else ch for ch, k in zip(run, kinds, strict=True))
+    alike = look_alikes()
+    seen: list[str] = []
+    while run not in seen:
+        seen.append(run)
+        kinds = [script(ch) for ch in run]
+        cost = {s: (sum(k not in (s, "OTHER") and (ch, s) not in alike for ch, k in zip(run, kinds, strict=True)), sum(k not in (s, "OTHER") for k in kinds)) for s in SCRIPTS if s in kinds}
+        if len(cost) < 2:
+            return run
+        best = min(cost, key=lambda s: (*cost[s], s != "CYRILLIC"))
+        run = "".join(alike.get((ch, best), ch) if k != best else ch for ch, k in zip(run, kinds, strict=True))
+    return min(seen[seen.index(run) :])
+
+
+@cache
+def transducer() -> Transducer:
+    return Transducer(mapping())
 
 
 def one_form(text: str) -> str:
     """``text`` in its one consistent form; applying it again changes nothing."""
-    return unicodedata.normalize("NFC", _LETTERS.sub(_run, "".join(map(_cluster, _CLUSTERS.findall(text)))))
+    return transducer()(text)
 
 
 #: Text that the transducer leaves as it is can be told without it: ordinary characters only and no run of letters of two scripts.
