@@ -30,10 +30,22 @@ CASES = [
 
 def test_reasons(spark):
     df = spark.createDataFrame([(i, a, b, "own") for i, (a, b, _) in enumerate(CASES)], "raw_id long, layout string, raw_line string, errors string")
-    got = {r.raw_id: (r.errors[0] if r.errors else None) for r in parsed(df).collect()}
+    got = {r.raw_id: (r.errors[0].reason if r.errors else None) for r in parsed(df).collect()}
     assert got == {i: e for i, (_, _, e) in enumerate(CASES)}
 
 
+def test_every_invalid_column_has_an_error(spark):
+    lines = ["0\tслово\t5", "0\ta\t-1", "1\tслово\t5", '"0', "1\t2"]
+    df = spark.createDataFrame([(i, "words", x) for i, x in enumerate(lines)], "raw_id long, layout string, raw_line string")
+    assert {r.raw_id: (r.reason, r.bad_columns) for r in rejected(df).collect()} == {0: ("invalid_value", ["number"]), 1: ("invalid_value", ["number", "word", "count"]), 3: ("quoting", []), 4: ("column_count", [])}
+
+
+def test_a_line_is_cut_once(spark):
+    df = spark.createDataFrame([(1, "words", "1\tab\t2")], "raw_id long, layout string, raw_line string")
+    plan = rejected(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # one for each separator
+
+
 def test_skipped_lines_and_empty_table(spark):
     df = spark.createDataFrame([(1, "words", None), (2, "words", "  \t "), (3, "words", "# 1\tab\t2"), (4, "words", "﻿#"), (5, "words", "")], "raw_id long, layout string, raw_line string")
     assert parsed(df).count() == 0

@@ -23,6 +23,12 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected(load(spark, sf_dir, "raw_words")).groupBy("file_name", "layout", "reason").agg(F.count("*").alias("n_lines"))
 
 
+def p1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per layout and column: lines whose value there is invalid; a line counts for each such column."""
+    bad = rejected(load(spark, sf_dir, "raw_words")).select("layout", F.explode("bad_columns").alias("column"))
+    return bad.groupBy("layout", "column").agg(F.count("*").alias("n_lines"))
+
+
 def _f(sep: str) -> str:
     return f' *(?:"(?:[^"]|"")*" *|[^"{sep} ][^{sep}]*)?'
 
@@ -56,7 +62,17 @@ WITH t AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p1_report": p1_report}
+def _bad(name: str, rule: str) -> str:
+    return f"CASE WHEN NOT coalesce({rule}, false) THEN '{name}' END"
+
+
+_COLUMNS = f"""SELECT layout, "column", count(*) AS n_lines FROM (SELECT layout, unnest(CASE layout
+  WHEN 'words' THEN [{_bad("number", _n(1))}, {_bad("word", _w(2))}, {_bad("count", _n(3))}]
+  WHEN 'review' THEN [{_bad("number", _n(1))}, {_bad("word", _w(2))}, {_bad("proposed", _w(3))}, {_bad("internet_rank", _r(5))}, {_bad("corpus_rank_word", _r(6))}, {_bad("corpus_rank_proposed", _r(7))},
+    {_bad("verdict", "cols[8] IN ('misspelling', 'misspelling-other', 'keep', '')")}]
+  ELSE [{_bad("word", _w(1))}, {_bad("spelled", _w(2))}] END) AS "column" FROM c WHERE reason = 'invalid_value') WHERE "column" IS NOT NULL GROUP BY ALL"""
+
+QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p1_report": p1_report, "p1_columns": p1_columns}
 ORACLE = {
     "p1_found": _PARSED + "SELECT raw_id, reason FROM c WHERE reason IS NOT NULL",
     "p1_loaded": _PARSED
@@ -72,4 +88,5 @@ ORACLE = {
       CASE WHEN layout = 'pairs' THEN cols[2] END AS spelled
       FROM c WHERE reason IS NULL""",
     "p1_report": _PARSED + "SELECT file_name, layout, reason, count(*) AS n_lines FROM c WHERE reason IS NOT NULL GROUP BY ALL",
+    "p1_columns": _PARSED + _COLUMNS,
 }
