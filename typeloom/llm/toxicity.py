@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 20
@@ -40,15 +40,16 @@ LINKS = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 #: Where the bias starts from: most passages are harmless.
 PRIOR = -2.5
 _VOWELS = "aeiouаеёиоуыэюя"
-_SKELETON = rf"[{_VOWELS}]+|(.)(?=\1)"
+_REPEATED = r"([^ ])\1+"
 #: Between single letters: f.u.c.k, у-б-о-г-и-й.
-_SPACED = r"(?<=(?<![\p{L}\p{N}])[\p{L}\p{N}])[.\-_*/ ](?=[\p{L}\p{N}](?![\p{L}\p{N}]))"
+_SPACED = r"[.\-_*/ ](?=[\p{L}\p{N}](?![\p{L}\p{N}]))(?<=(?<![\p{L}\p{N}])[\p{L}\p{N}].)"
 #: Stands for the end of a sentence among the words of a text.
 STOP = "\ue000"
 
 
 def skeleton(word: str) -> str:
-    return re.sub(_SKELETON, "", word)
+    """A word with repeated letters once and without vowels."""
+    return re.sub(_REPEATED, r"\1", word).translate(str.maketrans("", "", _VOWELS))
 
 
 def _h(word: str) -> int:
@@ -59,13 +60,15 @@ def _h(word: str) -> int:
 _STOP_HASH = _h(STOP)
 
 
-def hashed_words(text: Column) -> tuple[Column, Column]:
-    """Hashes of the words of ``text``, sentence ends among them, and of their skeletons; both arrays are of one length."""
+def with_hashed_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``a``, hashes of the words of ``text``, sentence ends among them, and ``b``, those of their skeletons; both arrays are of one length."""
     t = F.regexp_replace(F.lower(text), _SPACED, "")
-    t = F.regexp_replace(t, r"[.!?…:]+(?=\s|$)|\n+|[—]", f" {STOP} ")
+    t = F.regexp_replace(t, r"[.!?…:]+(?=\s|$)|[\n—]+", f" {STOP} ")
     t = F.btrim(F.regexp_replace(F.regexp_replace(t, rf"[^\p{{L}}{STOP} \t\n]+", ""), r"[ \t\n]+", " "), F.lit(" "))
     each = lambda c: F.transform(F.split(c, " "), lambda w: F.xxhash64(w))
-    return each(t), each(F.regexp_replace(t, _SKELETON, ""))
+    both = lambda t: F.struct(each(t).alias("a"), each(F.translate(F.regexp_replace(t, _REPEATED, "$1"), _VOWELS, "")).alias("b"))
+    # through a generator of one row, so that the words are cut once for both
+    return df.select("*", F.inline(F.transform(F.array(t), both)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -303,8 +306,8 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_docs: int, longest: int = 1
     """At most ``fit_docs`` documents whose labels agree; null labels do not count, texts of more than ``longest`` characters are not fitted on."""
     each = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
     picked = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).select("doc_id", F.col("lo").alias("y"))
-    a, b = hashed_words(F.col("text"))
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(F.broadcast(picked), "doc_id").select("doc_id", "y", a.alias("a"), b.alias("b")).toArrow().sort_by("doc_id")
+    mine = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = with_hashed_words(mine).select("doc_id", "y", "a", "b").toArrow().sort_by("doc_id")
     split = lambda c: [np.asarray(x.values) for x in rows.column(c)]
     return split("a"), split("b"), rows.column("y").to_numpy().astype(np.int64)
 
@@ -319,8 +322,6 @@ def scored(docs: DataFrame, labels: DataFrame, fit_docs: int = 12_000) -> DataFr
     chain = fitted(*labelled(docs, labels, fit_docs))
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(chain))
     schema = "doc_id bigint, source string, " + "".join(f"{k} double, " for k in LINKS[:-1]) + "score double"
-    a, b = hashed_words(F.coalesce("text", F.lit("")))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
         for r in batches:
@@ -332,7 +333,8 @@ def scored(docs: DataFrame, labels: DataFrame, fit_docs: int = 12_000) -> DataFr
             p = scored_rows(own, v, s, off - off[0])
             yield pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("source"), *(pa.array(p[:, k]) for k in range(len(LINKS)))], names=["doc_id", "source", *LINKS[:-1], "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", a.alias("a"), b.alias("b")).mapInArrow(run, schema)
+    each = with_hashed_words(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.coalesce("text", F.lit("")).alias("text")))
+    return each.select("doc_id", "source", "a", "b").mapInArrow(run, schema)
 
 
 def rates(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
