@@ -26,6 +26,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -82,6 +83,7 @@ def fingerprints(s: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+@cache
 def _masks(bits: int, most: int) -> np.ndarray:
     """All numbers of ``bits`` bits with at most ``most`` of them set."""
     return np.array([sum(1 << b for b in c) for m in range(most + 1) for c in combinations(range(bits), m)], np.int64)
@@ -117,14 +119,16 @@ class Passages:
         radius = self.radius if radius is None else radius
         found = [np.zeros(0, np.int64)]
         for shift, bits, keys, order in self.index if radius else self.index[:1]:
-            masks = _masks(bits, radius // len(BLOCKS))
+            most = radius // len(BLOCKS)
+            masks, own = _masks(bits, most), np.unique(keys)
             present = np.zeros(1 << bits, bool)
-            present[keys] = True
-            step = max(1, _STEP // len(masks))
+            present[own] = True
+            few = len(own) < len(masks)  # then all keys there are, else all keys there could be
+            step = max(1, _STEP // min(len(own), len(masks)))
             for at in range(0, len(prints), step):
-                key = self._key(prints[at : at + step], shift, bits)[:, None] ^ masks
-                w, j = np.nonzero(present[key])
-                key = key[w, j]
+                key = self._key(prints[at : at + step], shift, bits)[:, None] ^ (own if few else masks)
+                w, j = np.nonzero(np.bitwise_count(key) <= most if few else present[key])
+                key = own[j] if few else key[w, j]
                 lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 n = hi - lo
                 rep = np.repeat(w + at, n)
