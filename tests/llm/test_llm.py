@@ -129,12 +129,40 @@ def test_term_counts_against_brute_force(spark):
         c = want.setdefault(w, [0, set()])
         c[0] += 1
         c[1] |= {r} - {None}
-    for share, most in ((100_000, 400_000), (50, 100)):
+    for share, most in ((None, 400_000), (100_000, 400_000), (50, 100)):
         got = {r.term: (r.occurrences, r.records) for r in terms.term_counts(df, F.col("word"), "record_id", "token_id", share, most).collect()}
         assert got == {w: (n, len(s)) for w, (n, s) in want.items()}
     assert terms.term_counts(df.limit(0), F.col("word"), "record_id", "token_id").count() == 0
 
 
+def test_routes_split_long_common_beginnings(spark):
+    rows = [(i, i % 7, "http://example.org/a/long/way/" + str(i % 4000)) for i in range(9000)] + [(20_000 + i, 1, x) for i, x in enumerate(["http", "http://example.or", "zebra"])]
+    df = spark.createDataFrame(rows, "token_id long, record_id long, word string").repartition(3)
+    want = Counter(w for _, _, w in rows)
+    assert {r.term: r.occurrences for r in terms.term_counts(df, F.col("word"), "record_id", "token_id", share=500).collect()} == want
+    wide = {"": 9000, **{"http://example.org"[:k]: 9000 for k in range(1, 13)}}
+    at = Counter(terms.route(w, wide, 500) for w in want)
+    assert max(at.values()) < 500 and len(at) > 15 and terms.route("zebra", wide, 500) == "z"
+
+
+def test_tries_merge_by_subtrees():
+    rnd = random.Random(3)
+    whole, tries = {}, []
+    for _ in range(4):
+        t = terms.BurstTrie(burst=rnd.choice([3, 20, 1000]))
+        for _ in range(500):
+            w = "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 8)))
+            t.add(w, 1, 1)
+            whole[w] = whole.get(w, 0) + 1
+        tries.append(t)
+    into = terms.BurstTrie(burst=10)
+    for t in tries:
+        for prefix, leaf in t.leaves():
+            into.merge(prefix, leaf)
+    assert {w: c[0] for _, leaf in into.leaves() for w, c in leaf.items()} == whole and into.size == len(whole)
+    assert all(w.startswith(p) for p, leaf in into.leaves() for w in leaf)
+
+
 def test_burst_trie():
     t = terms.BurstTrie(burst=4)
     for i in range(200):
@@ -162,13 +190,14 @@ def test_round_trips():
     model = encodings.Language({"ru": [" ".join(rnd.choices(ru, k=8)) for _ in range(400)], "en": [" ".join(rnd.choices(en, k=8)) for _ in range(400)]})
     for right, wrong in (("utf-8", "cp866"), ("utf-8", "latin-1"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866")):
         for text in (CLEAN[0], CLEAN[2]):
-            got, name = encodings.restore(garble(text, right, wrong), model)
-            assert got == text and name, (right, wrong)
+            got, name, damaged = encodings.restore(garble(text, right, wrong), model)
+            assert got == text and name and damaged, (right, wrong)
     half = "Сегодня мы проверяли " + garble("словарь и записали", "utf-8", "cp866") + " ошибки"
     assert encodings.restore(half, model)[0] == CLEAN[0]
     for text in (*CLEAN, CLEAN[0].upper(), CLEAN[0].swapcase(), "A café costs €15, it’s +5 °C © n° 7 ½", ""):
-        assert encodings.restore(text, model) == (text, None)
-    assert encodings.damaged("couldn�t", None) and not encodings.damaged("café", None)
+        assert encodings.restore(text, model) == (text, None, False)
+    for text in ("Nobody couldn\ufffdt read the report", garble(CLEAN[0], "utf-8", "cp866").replace("╤", "?", 3)):
+        assert encodings.restore(text, model) == (text, None, True)
 
 
 def test_garbled_rows(spark):
