@@ -196,8 +196,9 @@ def test_round_trips():
     assert encodings.restore(half, model)[0] == CLEAN[0]
     for text in (*CLEAN, CLEAN[0].upper(), CLEAN[0].swapcase(), "A café costs €15, it’s +5 °C © n° 7 ½", ""):
         assert encodings.restore(text, model) == (text, None, False)
-    for text in ("Nobody couldn\ufffdt read the report", garble(CLEAN[0], "utf-8", "cp866").replace("╤", "?", 3)):
-        assert encodings.restore(text, model) == (text, None, True)
+    assert encodings.restore("Nobody couldn\ufffdt read the report", model) == ("Nobody couldn\ufffdt read the report", None, True)
+    lost = " ".join(garble(w, "utf-8", "cp866")[:-1] for w in CLEAN[0].split())  # the last byte of every word is gone
+    assert encodings.restore(lost, model) == (lost, None, True)
 
 
 def test_garbled_rows(spark):
