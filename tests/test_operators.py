@@ -73,11 +73,16 @@ def test_decisions(spark):
 
 def test_layout_decisions(spark):
     lex = spark.createDataFrame([("ru", w, w, 9, i + 1, len(w)) for i, w in enumerate(["привет", "как", "мы"])] + [("en", w, w, 9, i + 1, len(w)) for i, w in enumerate(["hello", "vs"])], "lang string, word string, key string, cnt long, rank int, len int")
-    words = spark.createDataFrame([("ghbdtn", None, None), ("hello", None, None), ("rfr", "мы", None), ("rfr", "", None), ("xyz", None, "да")], "token string, previous string, previous2 string")
-    scores = spark.createDataFrame([("ghbdtn", 3.0), ("xyz", -3.0)], "token string, logit double")
-    got = {(r.token, r.previous): r.reason for r in D.layout_decisions(words, lex, scores, 1.0).collect()}
-    assert got[("ghbdtn", None)] == "trained-model" and got[("hello", None)] == "known-original" and got[("rfr", "мы")] == "context-short-word"
-    assert got[("rfr", "")] == "model-below-threshold" and got[("xyz", None)] == "model-below-threshold"
+    words = spark.createDataFrame([("ghbdtn", None), ("hello", True), ("rfr", True), ("rfr", False), ("the", True), ("Ghjcnj", False), ("ghbdtn.org", False), ("API", False), (None, True), ("z", True), ("vs", True)], "token string, near boolean")
+    scores = spark.createDataFrame([("ghbdtn", 3.0), ("Ghjcnj", 3.0), ("rfr", -3.0), ("ghbdtn.org", 9.0)], "token string, logit double")
+    model = L.trigram_model(lex, "^^", F.ln(1 + F.col("cnt")))
+    got = {(r.token, r.near): (r.reason, r.should_convert) for r in D.layout_decisions(words, lex, model, 1.0, spark.createDataFrame([("Простo",), ("GHJCNJ",)], "token string"), scores).collect()}
+    assert got == {
+        ("ghbdtn", False): ("trained-model", True), ("hello", True): ("known-original", False), ("rfr", True): ("context-short-word", True), ("rfr", False): ("model-below-threshold", False),
+        ("the", True): ("known-original", False), ("Ghjcnj", False): ("exception", False), ("ghbdtn.org", False): ("domain-or-dot", False), ("API", False): ("abbreviation", False), ("z", True): ("length", False), ("vs", True): ("context-short-word", True),
+    }
+    none = D.layout_decisions(words.where("token = 'ghbdtn'"), lex, model, None).first()
+    assert none.reason == "model-below-threshold" and none.logit is not None and D.layout_decisions(words.limit(0), lex, model, 1.0).count() == 0
 
 
 def test_calibration(spark):
@@ -104,7 +109,7 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in R.ranked_words(spark, str(tmp_path / "l.txt")).orderBy("rank").collect()] == [("слово", "слово", 1), ("ёж", "еж", 2), ("дом", "дом", 3)]
     (tmp_path / "c.txt").write_text("one\ntwo 7\none 3\n")
     assert {tuple(r) for r in R.counted_words(spark, str(tmp_path / "c.txt")).collect()} == {("one", 3), ("two", 7)}
-    (tmp_path / "p.txt").write_text("# c\nслво → слово\nбез\n", encoding="utf-8")
+    (tmp_path / "p.txt").write_text("# c\nслво → слива\nСлво → Слово\nбез\n", encoding="utf-8")
     assert [tuple(r) for r in R.word_pairs(spark, str(tmp_path / "p.txt")).collect()] == [("слво", "слово")]
     (tmp_path / "t.txt").write_text("я бду → буду\nteh -> the\n", encoding="utf-8")
     assert {(tuple(r.context), r.typed, r.intended) for r in R.typos_in_context(spark, str(tmp_path / "t.txt")).collect()} == {(("я",), "бду", "буду"), ((), "teh", "the")}
@@ -183,20 +188,37 @@ def test_manifest_covers_every_rank(spark, monkeypatch):
         assert got["en"] != first["en"] and got["ru"] == first["ru"]
 
 
+def test_training_rows(spark):
+    """Four words a sentence, the script most words are in, and five shapes of every tenth first word; expected by hand."""
+    rows = [(1, "Красивый дом word стоит у реки давно"), (2, "one два"), (3, "one two слово три four"), (4, None), (5, "..."), (6, "да нет yes no и"), (7, "x" * 36 + " one two three"), (8, "a " * 3 + "y" * 30)]
+    got = M.training_rows(spark.createDataFrame(rows, "sent_id long, sentence string")).collect()
+    right = [(r.token, tuple(r.previous)) for r in got if r.kind == "right"]
+    assert sorted(right) == sorted([
+        ("Красивый", ()), ("стоит", ("Красивый", "дом")), ("реки", ("стоит", "у")), ("давно", ("у", "реки")),
+        ("one", ()), ("two", ("one",)), ("four", ("one", "two")),
+        ("да", ()), ("нет", ("да",)), ("и", ("да", "нет")),
+        ("one", ()), ("two", ("one",)), ("three", ("one", "two")),
+        ("a", ()), ("a", ("a",)), ("a", ("a", "a")),
+    ])
+    assert {r.token for r in got if r.label == 1} >= {"Rhfcbdsq", "cnjbn", "htrb", "щту", "ецщ", "lf", "ytn"}
+    firsts = [(i, f"{w} второе третье четвёртое") for i, w in enumerate(f"слово{x}{y}" for x in "абвгдежз" for y in "абвгдежз")]
+    shapes = [r.token for r in M.training_rows(spark.createDataFrame(firsts, "sent_id long, sentence string")).where("kind = 'structured'").collect()]
+    kept = {t.removesuffix("42") for t in shapes if t.endswith("42")}
+    assert kept and set(shapes) == {x for w in kept for x in (w + "42", w + "_id", w + ".com", "https://" + w + ".org", w + "En")}
+
+
 def test_layout_model_sees_protected_shapes(spark, monkeypatch):
     from typeloom.plans import sessions as P
 
-    words = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "klmnp"] + [f"{a}{b}{c}" for a in "бвгджз" for b in "аеиоу" for c in "клмнп"] + ["naïve"]
-    tok = spark.createDataFrame([("en" if w < "а" else "ru", w) for w in words], "lang string, word string")
-    rows = M.training_rows(tok).collect()
-    kept = {r.token.removesuffix("42") for r in rows if r.kind == "structured" and r.token.endswith("42")}
-    assert kept and {r.token for r in rows if r.kind == "structured"} == {x for w in kept for x in (w + "42", w + "_id", w + ".com", "https://" + w, *([] if w == "naïve" else [w + ("Ру" if w < "а" else "En")]))}
+    ru = [f"{a}{b}{c}" for a in "бвгджз" for b in "аеиоу" for c in "клмнп"]
+    rows = [(i, " ".join(ru[i : i + 4])) for i in range(len(ru) - 3)]
+    frame = spark.createDataFrame(rows, "sent_id long, sentence string")
     seen = []
     vectors = M.vectors
-    monkeypatch.setattr(P, "tok", lambda *_: tok)
+    monkeypatch.setattr(P, "sentences", lambda *_: frame)
     monkeypatch.setattr(M, "vectors", lambda d: seen.append(d) or vectors(d))
     P.layout_model(spark, "").collect()
-    assert {r.token for r in seen[0].collect()} == {r.token for r in rows}
+    assert {r.token for r in seen[0].collect()} == {r.token for r in M.training_rows(frame).collect()}
 
 
 def test_entry_lists_queries():

@@ -68,35 +68,38 @@ def confusion(typed: Column, intended: Column) -> Column:
     )
 
 
-# The patterns of misspellings in their order of priority.
+# The patterns of misspellings in their order of priority, and what z for s may end.
 PATTERNS = ("soft_hard_sign", "tsya", "double_letter", "z_s_prefix", "unstressed_vowel", "sh_shch", "missing_letter")
+Z_PREFIXES = ("раз", "без", "из", "воз", "низ", "через")
 
 
 def misspelling_pattern(word: Column, right: Column) -> Column:
-    """The first pattern that explains a single edit; null where none does."""
+    """The pattern by which ``word`` is a slip of ``right``, one edit apart; null where none explains it.
+
+    A letter is replaced: signs for each other, з for с at the start or where it ends a
+    prefix, unstressed vowels but for the last letter, hissing letters. A letter is missing
+    or too many: a sign, one of a double letter, or any inside the word.
+    """
     i = first_mismatch(word, right)
-    one_more = F.length(right) == F.length(word) + 1
-    one_less = F.length(right) + 1 == F.length(word)
-    inserted = one_more & (_rest(right, i + 1) == _rest(word, i))
-    deleted = one_less & (_rest(word, i + 1) == _rest(right, i))
+    tsya = lambda x, y: x.endswith("тся") & (y == F.concat(x.substr(F.lit(1), F.length(x) - 3), F.lit("ться")))
     replaced = (F.length(word) == F.length(right)) & (word != right) & (_rest(word, i + 1) == _rest(right, i + 1))
     a, b = word.substr(i, F.lit(1)), right.substr(i, F.lit(1))
-    extra = F.when(inserted, b).when(deleted, a)
-    base = F.when(inserted, right).when(deleted, word)
-    before = F.when(i > 1, base.substr(i - 1, F.lit(1)))
-    after = base.substr(i + 1, F.lit(1))
-    signs = F.coalesce((inserted | deleted) & extra.isin("ь", "ъ"), F.lit(False)) | (replaced & a.isin("ь", "ъ") & b.isin("ь", "ъ"))
-    tsya = (word.endswith("тся") & right.endswith("ться")) | (word.endswith("ться") & right.endswith("тся"))
-    pair = lambda x, y: ((a == x) & (b == y)) | ((a == y) & (b == x))
-    vowels = pair("а", "о") | pair("е", "и") | pair("и", "ы") | pair("е", "э") | pair("я", "е") | pair("я", "и")
+    either = lambda x, y: ((a == x) & (b == y)) | ((a == y) & (b == x))
+    longer = F.when(F.length(word) > F.length(right), word).otherwise(right)
+    shorter = F.when(F.length(word) > F.length(right), right).otherwise(word)
+    one_more = (F.length(longer) == F.length(shorter) + 1) & (_rest(longer, i + 1) == _rest(shorter, i))
+    extra = longer.substr(i, F.lit(1))
+    double = ((i > 1) & (extra == longer.substr(i - 1, F.lit(1)))) | ((i < F.length(longer)) & (extra == longer.substr(i + 1, F.lit(1))))
     return (
-        F.when(signs & ~tsya, PATTERNS[0])
-        .when((inserted | deleted) & tsya, PATTERNS[1])
-        .when((inserted | deleted) & ((extra == before) | (extra == after)), PATTERNS[2])
-        .when(replaced & pair("з", "с") & (i <= 4), PATTERNS[3])
-        .when(replaced & vowels & (i < F.length(word)), PATTERNS[4])
-        .when(replaced & pair("ш", "щ"), PATTERNS[5])
-        .when(inserted & (i > 1) & (i <= F.length(word)), PATTERNS[6])
+        F.when(tsya(word, right) | tsya(right, word), "tsya")
+        .when(
+            replaced,
+            F.when(either("ь", "ъ"), "soft_hard_sign")
+            .when((a == "з") & (b == "с") & ((i == 1) | word.substr(F.lit(1), i).isin(*Z_PREFIXES)), "z_s_prefix")
+            .when((either("а", "о") | either("е", "и")) & (i < F.length(word)), "unstressed_vowel")
+            .when(either("ш", "щ") | either("ч", "щ"), "sh_shch"),
+        )
+        .when(one_more, F.when(extra.isin("ь", "ъ"), "soft_hard_sign").when(double, "double_letter").when((i > 1) & (i < F.length(longer)), "missing_letter"))
     )
 
 

@@ -34,13 +34,13 @@ def sentences(c: Column) -> Column:
 
 
 def training_tokens(c: Column) -> Column:
-    """Letters joined by punctuation that may be letters of the other layout."""
-    return F.regexp_extract_all(c, F.lit(r"(\p{L}+(?:[,.;'\[\]]\p{L}+)*)"), 1)
+    """Letters of either script, joined by punctuation that may be letters of the other layout."""
+    return F.regexp_extract_all(c, F.lit(r"([A-Za-zА-Яа-яЁё]+(?:[,.;'\[\]][A-Za-zА-Яа-яЁё]+)*)"), 1)
 
 
 def guarded_words(c: Column) -> Column:
     """Words of 4 to 32 letters that touch no letter, apostrophe or ``@/._-``."""
-    return F.regexp_extract_all(c, F.lit(r"(?<![\p{L}'’@/._\-])(\p{L}{4,32})(?![\p{L}'’@/_\-]|\.\p{L})"), 1)
+    return F.regexp_extract_all(c, F.lit(r"(?<![\p{L}'’@/._\-])(\p{L}{4,32})(?![\p{L}'’@/._\-])"), 1)
 
 
 def plain(c: Column) -> Column:

@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.functions.layout import FREQUENT, convert, has_cyrillic, has_latin, script
+from typeloom.functions.layout import FREQUENT, convert, has_cyrillic, has_latin
 from typeloom.functions.text import shape_reason
 from typeloom.operators.lexicon import language_scores
 
+#: Digits to which scores are rounded before they are compared with a threshold.
+PLACES = 6
 
-def with_flags(words: DataFrame, lex: DataFrame) -> DataFrame:
-    """Adds ``converted``, ``lower``, ``target`` and whether they are known words of either language; one row per distinct token."""
-    w = words.withColumns({"converted": convert(F.col("token")), "lower": F.lower("token")}).withColumn("target", F.lower("converted"))
-    w = w.withColumn("from_lang", F.when(has_latin(F.col("token")), "en").otherwise("ru")).withColumn("to_lang", F.when(F.col("from_lang") == "en", "ru").otherwise("en"))
-    one = lex.select(F.col("lang").alias("from_lang"), F.col("word").alias("lower"), F.lit(True).alias("from_known"))
-    two = lex.select(F.col("lang").alias("to_lang"), F.col("word").alias("target"), F.lit(True).alias("to_known"))
-    three = lex.select(F.col("lang").alias("to_lang"), F.col("word").alias("lower"), F.lit(True).alias("lower_in_to"))
-    w = w.join(one, ["from_lang", "lower"], "left").join(two, ["to_lang", "target"], "left").join(three, ["to_lang", "lower"], "left")
-    return w.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("from_known", "to_known", "lower_in_to")})
+
+def looked_up(tokens: DataFrame, lex: DataFrame, model: DataFrame, exceptions: DataFrame | None = None, pad: str = "^^", smooth: float = 0.1) -> DataFrame:
+    """One row per distinct ``token`` with what its two readings are: as typed, and by the same keys in the other layout.
+
+    Adds ``converted, from_known, to_known, excepted, source_score, target_score``. Both readings of all
+    tokens are looked up in the word list, among the ``exceptions(token)`` and in the trigram model at once. ``lex``
+    holds words of each language's own letters.
+    """
+    t = tokens.select("token").where("token is not null").distinct()
+    from_lang = F.when(has_latin(F.col("token")), "en").otherwise("ru")
+    side = lambda name, lang, word: F.struct(F.lit(name).alias("side"), lang.alias("lang"), word.alias("word"))
+    both = F.array(side("from", from_lang, F.lower("token")), side("to", F.when(from_lang == "en", "ru").otherwise("en"), F.lower(convert(F.col("token")))))
+    each = t.select("token", F.inline(both))
+    facts = language_scores(each.select("lang", "word"), model, pad, smooth, None).join(lex.select("lang", "word").distinct().withColumn("known", F.lit(True)), ["lang", "word"], "left")
+    if exceptions is not None:
+        facts = facts.join(exceptions.select(F.lower("token").alias("word")).distinct().withColumn("excepted", F.lit(True)), "word", "left")
+    else:
+        facts = facts.withColumn("excepted", F.lit(False))
+    of = lambda name, c: F.max(F.when(F.col("side") == name, F.col(c)))
+    known = lambda name: F.coalesce(of(name, "known"), F.lit(False))
+    out = each.join(facts, ["lang", "word"], "left").groupBy("token").agg(
+        known("from").alias("from_known"), known("to").alias("to_known"), F.coalesce(F.max("excepted"), F.lit(False)).alias("excepted"), of("from", "score").alias("source_score"), of("to", "score").alias("target_score")
+    )
+    return out.withColumn("converted", convert(F.col("token")))
 
 
 def legacy_decisions(words: DataFrame, lex: DataFrame, model: DataFrame) -> DataFrame:
-    """The rule cascade that needs word lists only: ``token, converted, should_convert, reason, margin``.
+    """The rule cascade that needs word lists only: ``token, converted, should_convert, reason, margin``, and ``target_context`` if given.
 
-    ``words`` has distinct ``token`` and, optionally, ``target_context``. Null tokens are
-    left out. Decisions are made once per distinct token; join them back by token.
+    ``words`` has ``token`` and, optionally, ``target_context``, whether the words before it
+    are in the script it would be converted to. Null tokens are left out. Look-ups are
+    made once per distinct token.
     """
-    if "target_context" not in words.columns:
-        words = words.withColumn("target_context", F.lit(False))
-    w = with_flags(words.where("token is not null"), lex)
-    s1 = language_scores(w.select(F.col("from_lang").alias("lang"), F.col("lower").alias("word")), model, "^^", 0.1, None).select(F.col("lang").alias("from_lang"), F.col("word").alias("lower"), F.col("score").alias("source_score"))
-    s2 = language_scores(w.select(F.col("to_lang").alias("lang"), F.col("target").alias("word")), model, "^^", 0.1, None).select(F.col("lang").alias("to_lang"), F.col("word").alias("target"), F.col("score").alias("target_score"))
-    w = w.join(s1, ["from_lang", "lower"], "left").join(s2, ["to_lang", "target"], "left").withColumn("margin", F.col("target_score") - F.col("source_score"))
-    t, n, ctx = F.col("token"), F.length("token"), F.col("target_context")
+    names = [c for c in ("target_context",) if c in words.columns]
+    w = words.where("token is not null").select("token", *names).join(looked_up(words, lex, model), "token")
+    w = w.withColumn("margin", F.col("target_score") - F.col("source_score"))
+    t, n, ctx = F.col("token"), F.length("token"), F.coalesce("target_context", F.lit(False)) if names else F.lit(False)
     letters = F.regexp_replace(t, r"[^\p{L}]", "")
     caps = ~letters.rlike(r"[^\p{Lu}]")
     dots = F.length(F.regexp_replace(t, "[^.]", ""))
@@ -49,33 +64,57 @@ def legacy_decisions(words: DataFrame, lex: DataFrame, model: DataFrame) -> Data
         .when(F.col("from_known") & ~(ctx & (n <= 3) & F.col("to_known")), "known-original")
         .when(n == 1, F.when(ctx & F.col("to_known"), "context-single-letter").otherwise("length"))
         .when(ctx & (n <= 3) & F.col("to_known"), "context-short-word")
-        .when((n <= 3) & (F.col("from_known") | F.col("lower_in_to")) & ~ctx, "ambiguous-short")
+        .when((n <= 3) & F.col("from_known") & ~ctx, "ambiguous-short")
         .when(F.col("to_known"), F.when(F.col("margin") >= F.when(ctx, -1.0).otherwise(0.25), "known-target-and-language-margin").otherwise("ambiguous-score"))
         .when((n >= 4) & (F.col("source_score") <= -10.0) & (F.col("target_score") >= -9.1) & (F.col("margin") >= 2.6), "trigram-unknown-target")
         .otherwise("insufficient-language-evidence")
     )
     convert_reasons = ("context-single-letter", "context-short-word", "known-target-and-language-margin", "trigram-unknown-target")
     w = w.withColumn("reason", reason)
-    return w.select("token", "converted", F.col("reason").isin(*convert_reasons).alias("should_convert"), "reason", "margin")
+    return w.select("token", *names, "converted", F.col("reason").isin(*convert_reasons).alias("should_convert"), "reason", "margin")
 
 
-def layout_decisions(words: DataFrame, lex: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
-    """The current cascade with context and a scoring model: ``words(token, previous, previous2)``, ``scores(token, logit)``.
+#: Reasons of :func:`layout_reason` for which a token is converted.
+CONVERTING = ("context-short-word", "trained-model")
 
-    Null or empty previous words mean no context; a token without a score keeps its text.
+
+def layout_reason(near: Column, threshold: float | None) -> Column:
+    """The first rule of the current cascade that applies to a row of :func:`looked_up` with ``logit``.
+
+    ``near`` tells whether one of the two words before is in the script the token would be
+    converted to. Without a threshold no score is high enough.
     """
-    w = with_flags(words.where("token is not null"), lex).join(scores, "token", "left")
     t, n = F.col("token"), F.length("token")
-    to = script(F.col("target"))
-    seen = lambda c: F.coalesce(script(F.coalesce(F.col(c), F.lit(""))) == to, F.lit(False))
-    frequent = F.col("lower").isin(*FREQUENT)
-    reason = (
-        F.when(shape_reason(t).isNotNull(), shape_reason(t))
-        .when((n <= 3) & (seen("previous") | seen("previous2")) & F.col("to_known") & ~frequent, "context-short-word")
+    sure = F.lit(False) if threshold is None else F.coalesce(F.col("logit") > threshold, F.lit(False))
+    frequent = F.lower(t).isin(*FREQUENT)
+    shape = shape_reason(t)
+    return (
+        F.when(shape == "length", shape)
+        .when(F.col("excepted"), "exception")
+        .when(shape.isNotNull(), shape)
+        .when((n <= 3) & near & F.col("to_known") & ~frequent, "context-short-word")
         .when(n == 1, "length")
         .when(frequent | F.col("from_known"), "known-original")
-        .when(F.col("logit") >= threshold, "trained-model")
+        .when(sure, "trained-model")
         .otherwise("model-below-threshold")
     )
-    w = w.withColumn("reason", reason)
-    return w.select("token", "previous", "previous2", "converted", F.col("reason").isin("context-short-word", "trained-model").alias("should_convert"), "reason", "logit")
+
+
+def trigram_logits(found: DataFrame) -> DataFrame:
+    """Adds ``logit`` to rows of :func:`looked_up`: how much likelier the converted reading is, by the mean log odds of its trigrams."""
+    return found.withColumn("logit", F.round(F.col("target_score") - F.col("source_score"), PLACES))
+
+
+def layout_decisions(words: DataFrame, lex: DataFrame, model: DataFrame, threshold: float | None, exceptions: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """The current cascade with context and a scoring model: ``token, near, converted, should_convert, reason, logit``.
+
+    ``words`` has ``token`` and ``near``, whether one of the two words before is in the script the
+    token would be converted to; null counts as no. The model is that of trigrams, or any whose ``scores(token, logit)``
+    are given; a token is converted for a logit above ``threshold``. Tokens and conversions in
+    ``exceptions(token)`` stay, whatever their case. Null tokens are left out.
+    """
+    found = looked_up(words, lex, model, exceptions)
+    found = trigram_logits(found) if scores is None else found.join(scores.select("token", "logit"), "token", "left")
+    w = words.where("token is not null").select("token", F.coalesce("near", F.lit(False)).alias("near")).join(found, "token")
+    w = w.withColumn("reason", layout_reason(F.col("near"), threshold))
+    return w.select("token", "near", "converted", F.col("reason").isin(*CONVERTING).alias("should_convert"), "reason", "logit")

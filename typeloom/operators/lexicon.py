@@ -77,25 +77,38 @@ def trigram_model(lex: DataFrame, pad: str, weight: Column) -> DataFrame:
 
 
 def language_scores(words: DataFrame, model: DataFrame, pad: str, smooth: float, letters: Column | None) -> DataFrame:
-    """Adds ``score`` to ``lang, word``: the mean log probability of the word's trigrams.
+    """``lang, word, score`` of each distinct ``lang, word``: the mean log probability of the word's trigrams.
 
     With ``letters`` (alphabet size per language) unseen trigrams share ``smooth`` times
-    its cube, else ``smooth`` times the number of trigrams of the model.
+    its cube, else ``smooth`` times the number of trigrams of the model. The model has trigrams of
+    letters of one alphabet each, under 70,000 in all, and is sent to every task.
     """
     totals = model.groupBy("lang").agg(F.sum("weight").alias("total"), F.count("*").alias("kinds"))
-    each = fanned(words.select("lang", "word").distinct()).select("lang", "word", F.explode(ngrams(F.concat(F.lit(pad), F.col("word"), F.lit("$")), 3)).alias("gram"))
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # words are spread by themselves before they grow into trigrams; what follows stays where it is
+    each = words.select("lang", "word").repartition(n, "lang", "word").distinct().select("lang", "word", F.explode(ngrams(F.concat(F.lit(pad), F.col("word"), F.lit("$")), 3)).alias("gram"))
     kinds = F.col("kinds") if letters is None else letters * letters * letters
     p = F.ln((F.coalesce("weight", F.lit(0.0)) + smooth) / (F.col("total") + smooth * kinds))
-    return each.join(model, ["lang", "gram"], "left").join(F.broadcast(totals), "lang").groupBy("lang", "word").agg(F.avg(p).alias("score"))
+    return each.join(F.broadcast(model), ["lang", "gram"], "left").join(F.broadcast(totals), "lang").groupBy("lang", "word").agg(F.avg(p).alias("score"))
 
 
-def pair_counts(tok: DataFrame, lex: DataFrame, previous: int = 16_383, nexts: int = 200_000) -> DataFrame:
-    """``lang, prev, next, cnt`` of neighbours within a sentence, limited to frequent words; counts combine before the shuffle."""
-    w = Window.partitionBy("sent_id").orderBy("pos")
-    pairs = tok.withColumn("next", F.lead("word").over(w)).where("next is not null").groupBy("lang", F.col("word").alias("prev"), "next").agg(F.count("*").alias("cnt"))
+def neighbours(texts: DataFrame) -> DataFrame:
+    """``lang, prev, next, cnt`` of neighbouring words within a text of ``lang, ws``, taken from the array itself; counts combine before the shuffle."""
+    n = F.size("ws")
+    each = F.arrays_zip(F.slice("ws", 1, n - 1).alias("prev"), F.slice("ws", 2, n - 1).alias("next"))
+    return texts.where(n > 1).select("lang", F.inline(each)).groupBy("lang", "prev", "next").agg(F.count("*").alias("cnt"))
+
+
+def word_arrays(sentences: DataFrame) -> DataFrame:
+    """``sent_id, lang, ws`` of ``sent_id, source, sentence``: the words of each text in order."""
+    return sentences.select("sent_id", language(F.col("source")).alias("lang"), letter_runs(F.col("sentence")).alias("ws"))
+
+
+def pair_counts(texts: DataFrame, lex: DataFrame, previous: int = 16_383, nexts: int = 200_000) -> DataFrame:
+    """``lang, prev, next, cnt`` of neighbours within a text of ``lang, ws``, limited to frequent words."""
     prev = lex.where(F.col("rank") <= previous).select("lang", F.col("word").alias("prev"), F.col("cnt").alias("prev_cnt"))
     nxt = lex.where(F.col("rank") <= nexts).select("lang", F.col("word").alias("next"), F.col("cnt").alias("next_cnt"), F.col("rank").alias("next_rank"))
-    return pairs.join(prev, ["lang", "prev"]).join(nxt, ["lang", "next"]).select("lang", "prev", "next", "cnt", "prev_cnt", "next_cnt", "next_rank")
+    return neighbours(texts).join(prev, ["lang", "prev"]).join(nxt, ["lang", "next"]).select("lang", "prev", "next", "cnt", "prev_cnt", "next_cnt", "next_rank")
 
 
 def pair_lift(pairs: DataFrame, totals: DataFrame, alpha: float = 2.0) -> DataFrame:

@@ -7,48 +7,55 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeloom.functions.hashing import feature_names, fnv16, sampled_tenth
+from typeloom.functions.hashing import feature_names, sampled_tenth
 from typeloom.functions.layout import convert, script
+from typeloom.functions.text import training_tokens
 
 DIM = 1 << 16
-__all__ = ["DIM", "calibrated", "features", "fitted", "measured", "training_rows", "vectors"]
-
-
-def training_rows(tok: DataFrame) -> DataFrame:
-    """``token, label, kind``: words as they are (0), in the wrong layout where the script turns (1), and structured tokens, one of mixed script among them, of a tenth of the words (0)."""
-    w = tok.select("word").distinct()
-    c = convert(F.col("word"))
-    other = F.when(script(F.col("word")) == "en", "Ру").when(script(F.col("word")) == "ru", "En")  # null, and no such token, for words of neither script
-    shapes = [F.concat(*parts) for parts in ((F.col("word"), F.lit("42")), (F.col("word"), F.lit("_id")), (F.col("word"), F.lit(".com")), (F.lit("https://"), F.col("word")), (F.col("word"), other))]
-    structured = F.when(
-        sampled_tenth(F.col("word")),
-        F.filter(F.array(*[F.struct(t.alias("token"), F.lit(0).alias("label"), F.lit("structured").alias("kind")) for t in shapes]), lambda x: x["token"].isNotNull()),
-    ).otherwise(F.array().cast("array<struct<token:string,label:int,kind:string>>"))
-    wrong = F.when(
-        (script(F.col("word")) != "other") & (script(c) != "other") & (script(c) != script(F.col("word"))), F.array(F.struct(c.alias("token"), F.lit(1).alias("label"), F.lit("wrong").alias("kind")))
-    ).otherwise(F.array().cast("array<struct<token:string,label:int,kind:string>>"))
-    right = F.array(F.struct(F.col("word").alias("token"), F.lit(0).alias("label"), F.lit("right").alias("kind")))
-    return w.select(F.inline(F.concat(right, wrong, structured)))
-
-
-def names(token: Column) -> Column:
-    """Feature names of a token: n-grams of it and of its conversion, script and length."""
-    return F.concat(
+__all__ = ["DIM", "calibrated", "fitted", "measured", "names", "training_rows", "vectors"]
+
+
+def training_rows(sentences: DataFrame, longest: int = 25) -> DataFrame:
+    """``token, previous, label, kind`` from ``sent_id, sentence``; ``previous`` are up to two words before it.
+
+    A sentence counts by its words in the script that most of them have (of equals that of the first word), if
+    these are three or more. Taken are its first and last word and two between: as they are (0), in the wrong
+    layout where that turns the script (1), and for a tenth of the first words five
+    protected shapes of them (0), one of mixed script among them.
+    """
+    ws = F.filter(training_tokens(F.col("sentence")), lambda w: (F.length(w) <= 35) & (script(w) != "other"))
+    s = sentences.select("sent_id", ws.alias("ws")).where(F.size("ws") > 0)
+    twice = 2 * F.size(F.filter("ws", lambda w: script(w) == "en"))
+    s = s.withColumn("lang", F.when((twice > F.size("ws")) | ((twice == F.size("ws")) & (script(F.col("ws")[0]) == "en")), "en").otherwise("ru"))
+    s = s.withColumn("own", F.filter("ws", lambda w: script(w) == F.col("lang"))).withColumn("n", F.size("own")).where("n >= 3")
+    at = F.array_distinct(F.array(F.lit(0), F.floor(F.col("n") / 3).cast("int"), F.floor(2 * F.col("n") / 3).cast("int"), F.col("n") - 1))
+    each = s.select("lang", "own", F.explode(at).alias("pos")).select("lang", "pos", F.get("own", F.col("pos")).alias("word"), F.slice("own", F.greatest(F.lit(1), F.col("pos") - 1), F.least(F.col("pos"), F.lit(2))).alias("previous"))
+    each = each.where(F.length("word") <= longest)
+    w, c = F.col("word"), convert(F.col("word"))
+    row = lambda token, label, kind: F.struct(token.alias("token"), F.lit(label).alias("label"), F.lit(kind).alias("kind"))
+    none = F.array().cast("array<struct<token:string,label:int,kind:string>>")
+    shapes = [F.concat(w, F.lit("42")), F.concat(w, F.lit("_id")), F.concat(w, F.lit(".com")), F.concat(F.lit("https://"), w, F.lit(".org")), F.concat(w, F.when(F.col("lang") == "en", "Ру").otherwise("En"))]
+    wrong = F.when((c != w) & (script(c) != script(w)), F.array(row(c, 1, "wrong"))).otherwise(none)
+    protected = F.when((F.col("pos") == 0) & sampled_tenth(w), F.array(*[row(x, 0, "structured") for x in shapes])).otherwise(none)
+    return each.select("previous", F.inline(F.concat(F.array(row(w, 0, "right")), wrong, protected))).select("token", "previous", "label", "kind")
+
+
+def names(token: Column, previous: Column | None = None) -> Column:
+    """Feature names of a token: n-grams of it and of its conversion, script and length, and script and ending of the words before it."""
+    own = F.concat(
         feature_names(F.lower(token), "o"),
         feature_names(F.lower(convert(token)), "c"),
         F.array(F.concat(F.lit("script:"), script(token)), F.concat(F.lit("len:"), F.least(F.length(token), F.lit(16)).cast("string"))),
     )
-
-
-def features(rows: DataFrame) -> DataFrame:
-    """``token, label, idx, n``: the hashed features of every token with their counts."""
-    each = rows.select("token", "label", F.explode(names(F.col("token"))).alias("name"))
-    return each.groupBy("token", "label", "name").agg(F.count("*").alias("k")).groupBy("token", "label", fnv16(F.col("name")).cast("int").alias("idx")).agg(F.sum("k").alias("n"))
+    if previous is None:
+        return own
+    around = F.transform(previous, lambda p, i: F.array(F.concat(F.lit("ctx"), i.cast("string"), F.lit(":"), script(p)), F.concat(F.lit("ctx"), i.cast("string"), F.lit("last:"), F.right(F.lower(p), F.lit(2)))))
+    return F.concat(own, F.flatten(around))
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """Sparse vectors for fitting, hashed and built inside the JVM."""
-    return HashingTF(numFeatures=DIM, inputCol="names", outputCol="features").transform(rows.withColumn("names", names(F.col("token")))).drop("names")
+    """Sparse vectors of ``token, previous``, hashed and built inside the JVM."""
+    return HashingTF(numFeatures=DIM, inputCol="names", outputCol="features").transform(rows.withColumn("names", names(F.col("token"), F.col("previous")))).drop("names")
 
 
 def fitted(vecs: DataFrame, reg: float = 2e-5, steps: int = 30):  # noqa: ANN201

@@ -83,13 +83,19 @@ def real_word_fixes(pairs: DataFrame, lex: DataFrame, kinds: int = 7, least: int
     return j.select("lang", "prev", F.col("a").alias("word"), F.col("b").alias("fixed"), "kind", "margin")
 
 
-def mined_misspellings(lex: DataFrame, known: DataFrame, shortest: int = 5, cap: int = 50_000, times: int = 20, letter_cap: int = 20_000) -> DataFrame:
-    """``lang, word, right, pattern``: unknown words one explained edit from a word that is far more frequent; the best pattern, then rank, counts."""
-    odd = lex.where(F.col("len") >= shortest).join(known, ["lang", "word"], "left_anti").select("lang", F.col("word").alias("w"), F.col("rank").alias("w_rank"))
-    right = lex.where(F.col("rank") <= cap).select("lang", F.col("word").alias("r"), F.col("rank").alias("r_rank"))
+def mined_misspellings(lex: DataFrame, known: DataFrame, shortest: int = 5, cap: int = 50_000, times: int = 20, letter_cap: int = 20_000, least: int = 3, lang: str = "ru") -> DataFrame:
+    """``lang, word, right, pattern``: unknown words one explained edit from a known word that is far more frequent; the best pattern, then rank, counts.
+
+    Words seen less than ``least`` times have no rank: they are no corrections, and only
+    they may be explained by a missing letter.
+    """
+    mine = lex.where(F.col("lang") == lang)
+    odd = mine.where(F.col("len") >= shortest).join(known, ["lang", "word"], "left_anti").select("lang", F.col("word").alias("w"), F.when(F.col("cnt") >= least, F.col("rank")).alias("w_rank"))
+    right = mine.where((F.col("rank") <= cap) & (F.col("cnt") >= least)).join(known, ["lang", "word"], "left_semi").select("lang", F.col("word").alias("r"), F.col("rank").alias("r_rank"))
     keys = lambda df, c: df.withColumn("k", F.explode(deletes(F.col(c), 1)))
-    near = keys(odd, "w").join(keys(right, "r"), ["lang", "k"]).where((F.col("w") != F.col("r")) & (F.col("w_rank") >= times * F.col("r_rank")) & (F.levenshtein("w", "r") == 1))
-    near = near.select("lang", "w", "r", "r_rank").distinct().withColumn("pattern", misspelling_pattern(F.col("w"), F.col("r"))).where(F.col("pattern").isNotNull() & ((F.col("pattern") != "missing_letter") | (F.col("r_rank") <= letter_cap)))
+    near = keys(odd, "w").join(keys(right, "r"), ["lang", "k"]).where((F.col("w") != F.col("r")) & (F.col("w_rank").isNull() | (F.col("w_rank") >= times * F.col("r_rank"))) & (F.levenshtein("w", "r") == 1))
+    near = near.select("lang", "w", "w_rank", "r", "r_rank").distinct().withColumn("pattern", misspelling_pattern(F.col("w"), F.col("r")))
+    near = near.where(F.col("pattern").isNotNull() & ((F.col("pattern") != "missing_letter") | ((F.col("r_rank") <= letter_cap) & F.col("w_rank").isNull())))
     order = F.array_position(F.array(*map(F.lit, PATTERNS)), F.col("pattern"))
     best = near.groupBy("lang", "w").agg(F.min(F.struct(order.alias("o"), "r_rank", "r", "pattern")).alias("x"))
     return best.select("lang", F.col("w").alias("word"), F.col("x.r").alias("right"), F.col("x.pattern").alias("pattern"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.functions import hashing as H
@@ -23,6 +23,10 @@ def lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ranked(tok(spark, sf_dir))
 
 
+def word_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.word_arrays(sentences(spark, sf_dir))
+
+
 #: Tokens and ranked lexicon in SQL.
 TOK = r"""
 t0 AS (SELECT sent_id, CASE WHEN starts_with(source, 'rus_') THEN 'ru' WHEN starts_with(source, 'eng_') THEN 'en' END AS lang, regexp_extract_all(lower(sentence), '\p{L}+') AS ws FROM sentence_corpus WHERE sentence IS NOT NULL),
@@ -189,21 +193,18 @@ SELECT lang, pos // 8192 AS block, count(*) AS n, count(DISTINCT pos) AS n_bits
 
 
 def pair_counts(spark, sf_dir):  # noqa: ANN001, ANN201
-    t = tok(spark, sf_dir)
-    return L.pair_counts(t, L.ranked(t)).where("cnt >= 2").select("lang", "prev", "next", "cnt", H.quantised(F.col("cnt")).alias("q"), F.round(H.dequantised(H.quantised(F.col("cnt"))), 6).alias("decoded"))
+    return L.pair_counts(word_arrays(spark, sf_dir), lex(spark, sf_dir)).where("cnt >= 2").select("lang", "prev", "next", "cnt", H.quantised(F.col("cnt")).alias("q"), F.round(H.dequantised(H.quantised(F.col("cnt"))), 6).alias("decoded"))
 
 
 def pair_survival(spark, sf_dir):  # noqa: ANN001, ANN201
-    t = tok(spark, sf_dir)
-    p = L.pair_counts(t, L.ranked(t))
-    return p.select("lang", "cnt", F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 10)))).alias("least")).groupBy("lang", "least").agg(F.sum(F.when(F.col("cnt") >= F.col("least"), 1).otherwise(0)).alias("n_pairs"))
+    by = L.pair_counts(word_arrays(spark, sf_dir), lex(spark, sf_dir)).groupBy("lang", "cnt").agg(F.count("*").alias("k"))
+    return by.select("lang", "cnt", "k", F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 10)))).alias("least")).groupBy("lang", "least").agg(F.sum(F.when(F.col("cnt") >= F.col("least"), F.col("k")).otherwise(0)).alias("n_pairs"))
 
 
 def pair_lift(spark, sf_dir):  # noqa: ANN001, ANN201
-    t = tok(spark, sf_dir)
-    words = L.ranked(t)
+    words = lex(spark, sf_dir)
     totals = words.groupBy("lang").agg(F.sum("cnt").alias("total"))
-    return L.pair_lift(L.pair_counts(t, words).where("cnt >= 2"), totals).select("lang", "prev", "next", F.round("lift", 6).alias("lift"))
+    return L.pair_lift(L.pair_counts(word_arrays(spark, sf_dir), words).where("cnt >= 2"), totals).select("lang", "prev", "next", F.round("lift", 6).alias("lift"))
 
 
 _PAIRS = """
@@ -216,9 +217,13 @@ _Q = "least(255, 1 + CAST(round_even(10 * log2(cnt), 0) AS INT))"
 
 def context_words(spark, sf_dir):  # noqa: ANN001, ANN201
     """How often a word follows each context of one and two words; contexts do not cross sentences."""
-    w = Window.partitionBy("sent_id").orderBy("pos")
-    t = tok(spark, sf_dir).withColumns({"prev": F.lag("word", 1).over(w), "prev2": F.lag("word", 2).over(w)})
-    return t.groupBy("lang", "word").agg(F.sum(F.col("prev").isNull().cast("int")).alias("n_first"), F.countDistinct("prev").alias("n_prev"), F.countDistinct("prev", "prev2").alias("n_prev2"))
+    at = lambda i: F.when(i >= 0, F.get("ws", i))
+    each = F.transform("ws", lambda w, i: F.struct(w.alias("word"), at(i - 1).alias("prev"), at(i - 2).alias("prev2")))
+    # contexts are counted once each, then those of two words make those of one: no distinct count is expanded
+    two = word_arrays(spark, sf_dir).select("lang", F.inline(each)).groupBy("lang", "word", "prev", "prev2").agg(F.count("*").alias("n"))
+    one = two.groupBy("lang", "word", "prev").agg(F.sum("n").alias("n"), F.count("prev2").alias("k"))
+    first = F.sum(F.when(F.col("prev").isNull(), F.col("n")).otherwise(0))
+    return one.groupBy("lang", "word").agg(first.alias("n_first"), F.count("prev").alias("n_prev"), F.sum("k").alias("n_prev2"))
 
 
 def text_cleanup(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -242,7 +247,7 @@ def ngram_mask(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def manifest(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Row counts and an order-free digest of every word with its count and rank; the SQL beside it still has the digest of the first 1,000 ranks.
+    """Row counts and an order-free digest of every word with its count and rank.
 
     The digest is the sum of eight 32-bit parts of each row's SHA-256, so rows are never collected.
     """
@@ -289,5 +294,8 @@ ORACLE = {
     "context_normal": r"""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(trim(sentence, ' '), '\s+'), lambda x: x <> '')) AS w FROM sentence_corpus)
       SELECT translate(lower(trim(trim(w, ' '), '"''«»„“()[]{}<>')), 'ё', 'е') AS word, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(w, '^\p{Lu}[^\p{Lu}]+$') THEN 1 ELSE 0 END) AS BIGINT) AS n_capitalized FROM w GROUP BY 1""",
     "ngram_mask": f"WITH {LEX} SELECT lang, word, len(list_distinct(list_transform(range(1, length(word) + 1), lambda i: unicode(substr(word, i, 1)) % 64))) AS n_letters FROM lex",
-    "manifest": f"WITH {LEX} SELECT lang, count(*) AS n_rows, sha256(array_to_string(list_sort(list(word || ':' || cnt) FILTER (rank <= 1000)), chr(10))) AS digest FROM lex GROUP BY lang",
+    "manifest": f"WITH {LEX}, h AS (SELECT lang, sha256(concat_ws(':', lang, word, cnt, rank)) AS h FROM lex) SELECT lang, count(*) AS n_rows, sha256(concat_ws(':', "
+    + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8))
+    + ")) AS digest FROM h GROUP BY lang",
+    "guarded_words": r"WITH w AS (SELECT unnest(regexp_extract_all(sentence, '[\p{L}''’@/._\-]+')) AS word FROM sentence_corpus) SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, '\p{L}{4,32}') GROUP BY word",
 }

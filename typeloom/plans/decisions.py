@@ -147,7 +147,7 @@ def deletes_index(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def single_edits(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Words of either language one edit apart, over the whole lexicon; the SQL beside it still has English words of up to six letters only."""
+    """Words of either language one edit apart, over the whole lexicon."""
     return C.one_edit_pairs(lex(spark, sf_dir)).select("word", "other")
 
 
@@ -321,7 +321,7 @@ ORACLE = {
     SELECT *, round(coalesce(fixed / nullif(n_wrong, 0), 0), 6) AS recall, round(coalesce(fixed / nullif(fixed + "false", 0), 0), 6) AS "precision", round(coalesce("false" / nullif(n_right, 0), 0), 6) AS false_share FROM gg""",
     "inject_typos": _TYPOS + f"SELECT sent_id, lang, intended, typed, {_kind_sql('typed', 'intended')} AS kind FROM inj",
     "deletes_index": f"WITH {LEX}, x AS (SELECT lang, rank, unnest(CASE WHEN rank <= 2000 THEN {_DEL2('word')} ELSE {_DEL('word')} END) AS del_key FROM lex) SELECT lang, del_key, count(*) AS n_words, min(rank) AS best_rank FROM x GROUP BY ALL HAVING count(*) > 1",
-    "single_edits": f"WITH {LEX}, e AS (SELECT word, len FROM lex WHERE lang = 'en') SELECT a.word, b.word AS other FROM (SELECT * FROM e WHERE len <= 6) a JOIN e b ON abs(a.len - b.len) <= 1 AND a.word <> b.word AND (levenshtein(a.word, b.word) = 1 OR {_SWAP('a.word', 'b.word', _MIS('a.word', 'b.word'))})",
+    "single_edits": f"WITH {LEX}, x AS (SELECT lang, word, unnest({_DEL('word')}) AS k FROM lex), y AS (SELECT DISTINCT a.word, b.word AS other FROM x a JOIN x b ON a.lang = b.lang AND a.k = b.k AND a.word <> b.word) SELECT word, other FROM y WHERE levenshtein({_B('word')}, {_B('other')}) = 1 OR {_SWAP('word', 'other', _MIS('word', 'other'))}",
     "typo_candidates": _TYPOS + "SELECT lang, typed, word, rank, CAST(dist AS INT) AS dist FROM cand",
     "edit_costs": _TYPOS + f"SELECT lang, typed, word, round(cost, 4) AS cost, round(score, 6) AS score, {_kind_sql('typed', 'word')} AS kind FROM scd",
     "typo_best": _TYPOS + "SELECT lang, typed, word, round(margin, 6) AS margin FROM top",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from typeloom.functions.text import letter_runs
 from typeloom.operators import lexicon as L
 from typeloom.operators import options as O
-from typeloom.plans.corpus import _KNOWN, _PAIRS, LEX, TOK, _distinct_known, known_forms, lex, tok
+from typeloom.plans.corpus import _KNOWN, _PAIRS, LEX, TOK, _distinct_known, known_forms, lex, word_arrays
 from typeloom.plans.decisions import _CONV, _DEL, _MIS, _SCRIPT, _TYPOS, _B, _kind_sql, _typos
 from typeloom.tables import load, written
 
@@ -38,9 +38,8 @@ def manual_presses(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def real_word_fix(spark, sf_dir):  # noqa: ANN001, ANN201
-    t = tok(spark, sf_dir)
-    words = L.ranked(t)
-    return O.real_word_fixes(L.pair_counts(t, words), words).withColumn("margin", F.round("margin", 6))
+    words = lex(spark, sf_dir)
+    return O.real_word_fixes(L.pair_counts(word_arrays(spark, sf_dir), words), words).withColumn("margin", F.round("margin", 6))
 
 
 def misspelling_mine(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -50,13 +49,13 @@ def misspelling_mine(spark, sf_dir):  # noqa: ANN001, ANN201
 def _pattern_sql(w: str, r: str) -> str:
     i = _MIS(w, r)
     return f"""(SELECT CASE
-      WHEN signs AND NOT ts THEN 'soft_hard_sign' WHEN (ins OR del) AND ts THEN 'tsya' WHEN (ins OR del) AND (ex = substr(base, i - 1, 1) AND i > 1 OR ex = substr(base, i + 1, 1)) THEN 'double_letter'
-      WHEN rep AND list_sort([a, b]) = ['з', 'с'] AND i <= 4 THEN 'z_s_prefix' WHEN rep AND (list_sort([a, b])[1] || list_sort([a, b])[2]) IN ('ао', 'еи', 'иы', 'еэ', 'ея', 'ия') AND i < length(w) THEN 'unstressed_vowel'
-      WHEN rep AND list_sort([a, b]) = ['ш', 'щ'] THEN 'sh_shch' WHEN ins AND i > 1 AND i <= length(w) THEN 'missing_letter' END
-      FROM (SELECT *, (ins OR del) AND ex IN ('ь', 'ъ') OR rep AND a IN ('ь', 'ъ') AND b IN ('ь', 'ъ') AS signs FROM
-      (SELECT *, CASE WHEN ins THEN b WHEN del THEN a ELSE '' END AS ex, CASE WHEN ins THEN r ELSE w END AS base FROM
-      (SELECT *, substr(w, i, 1) AS a, substr(r, i, 1) AS b, length(r) = length(w) + 1 AND substr(r, i + 1) = substr(w, i) AS ins, length(w) = length(r) + 1 AND substr(w, i + 1) = substr(r, i) AS del, length(w) = length(r) AND substr(w, i + 1) = substr(r, i + 1) AS rep,
-        ends_with(w, 'тся') AND ends_with(r, 'ться') OR ends_with(w, 'ться') AND ends_with(r, 'тся') AS ts FROM (SELECT {w} AS w, {r} AS r, {i} AS i)))))"""
+      WHEN ends_with(w, 'тся') AND r = substr(w, 1, length(w) - 3) || 'ться' OR ends_with(r, 'тся') AND w = substr(r, 1, length(r) - 3) || 'ться' THEN 'tsya'
+      WHEN length(w) = length(r) AND w <> r AND substr(w, i + 1) = substr(r, i + 1) THEN CASE
+        WHEN a || b IN ('ьъ', 'ъь') THEN 'soft_hard_sign' WHEN a || b = 'зс' AND (i = 1 OR substr(w, 1, i) IN ('раз', 'без', 'из', 'воз', 'низ', 'через')) THEN 'z_s_prefix'
+        WHEN a || b IN ('ао', 'оа', 'еи', 'ие') AND i < length(w) THEN 'unstressed_vowel' WHEN a || b IN ('шщ', 'щш', 'чщ', 'щч') THEN 'sh_shch' END
+      WHEN length(g) = length(k) + 1 AND substr(g, i + 1) = substr(k, i) THEN CASE
+        WHEN substr(g, i, 1) IN ('ь', 'ъ') THEN 'soft_hard_sign' WHEN i > 1 AND substr(g, i, 1) = substr(g, i - 1, 1) OR substr(g, i, 1) = substr(g, i + 1, 1) THEN 'double_letter' WHEN i > 1 AND i < length(g) THEN 'missing_letter' END END
+      FROM (SELECT *, substr(w, i, 1) AS a, substr(r, i, 1) AS b, CASE WHEN length(w) > length(r) THEN w ELSE r END AS g, CASE WHEN length(w) > length(r) THEN r ELSE w END AS k FROM (SELECT {w} AS w, {r} AS r, {i} AS i)))"""
 
 
 _ALTS = """, al AS (SELECT lang, typed, list(word ORDER BY place) AS alts FROM (SELECT *, max(score) OVER (PARTITION BY lang, typed) AS best FROM bst) WHERE place <= 2 AND best - score <= 6.0 GROUP BY lang, typed),
@@ -81,13 +80,20 @@ ORACLE = {
     "real_word_fix": f"WITH {LEX}{_PAIRS}, dk AS (SELECT lang, word, cnt, unnest({_DEL('word')}) AS k FROM lex), nr AS (SELECT DISTINCT x.lang, x.word AS a, y.word AS b, x.cnt AS ac, y.cnt AS bc FROM dk x JOIN dk y ON x.lang = y.lang AND x.k = y.k AND x.word <> y.word), nk AS (SELECT *, {_kind_sql('a', 'b')} AS kind FROM nr), "
     + "nf AS (SELECT * FROM nk WHERE kind <> 0 AND (kind <> 4 OR bc >= 10 * ac)), j AS (SELECT p.lang, p.prev, a, b, kind, p.cnt AS tc, q.cnt AS cc FROM pr p JOIN nf ON nf.lang = p.lang AND nf.a = p.next JOIN pr q ON q.lang = p.lang AND q.prev = p.prev AND q.next = nf.b WHERE q.cnt >= 3), "
     + "k AS (SELECT *, row_number() OVER w AS place, coalesce(lead(cc) OVER w, 0) AS second FROM j WINDOW w AS (PARTITION BY lang, prev, a ORDER BY cc DESC, b)) SELECT lang, prev, a AS word, b AS fixed, kind, round(ln((cc + 0.5) / (greatest(tc, second) + 0.5)), 6) AS margin FROM k WHERE place = 1 AND ln((cc + 0.5) / (greatest(tc, second) + 0.5)) >= 1.0",
-    "misspelling_mine": f"WITH {LEX}{_KNOWN}, od AS (SELECT lang, word AS w, rank AS wr, unnest({_DEL('word')}) AS k FROM lex ANTI JOIN known USING (lang, word) WHERE len >= 5), ri AS (SELECT lang, word AS r, rank AS rr, unnest({_DEL('word')}) AS k FROM lex WHERE rank <= 50000), "
-    + f"nr AS (SELECT DISTINCT od.lang, w, r, rr FROM od JOIN ri ON od.lang = ri.lang AND od.k = ri.k WHERE w <> r AND wr >= 20 * rr AND levenshtein({_B('w')}, {_B('r')}) = 1), np AS (SELECT *, {_pattern_sql('nr.w', 'nr.r')} AS pattern FROM nr), "
-    + "nb AS (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY list_position(['soft_hard_sign', 'tsya', 'double_letter', 'z_s_prefix', 'unstressed_vowel', 'sh_shch', 'missing_letter'], pattern), rr, r) AS place FROM np WHERE pattern IS NOT NULL AND (pattern <> 'missing_letter' OR rr <= 20000)) SELECT lang, w AS word, r AS \"right\", pattern FROM nb WHERE place = 1",
+    "misspelling_mine": f"WITH {LEX}{_KNOWN}, od AS (SELECT lang, word AS w, CASE WHEN cnt >= 3 THEN rank END AS wr, unnest({_DEL('word')}) AS k FROM lex ANTI JOIN known USING (lang, word) WHERE len >= 5 AND lang = 'ru'), ri AS (SELECT lang, word AS r, rank AS rr, unnest({_DEL('word')}) AS k FROM lex SEMI JOIN known USING (lang, word) WHERE rank <= 50000 AND cnt >= 3 AND lang = 'ru'), "
+    + f"nr AS (SELECT DISTINCT od.lang, w, wr, r, rr FROM od JOIN ri ON od.lang = ri.lang AND od.k = ri.k WHERE w <> r AND (wr IS NULL OR wr >= 20 * rr) AND levenshtein({_B('w')}, {_B('r')}) = 1), np AS (SELECT *, {_pattern_sql('nr.w', 'nr.r')} AS pattern FROM nr), "
+    + "nb AS (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY list_position(['soft_hard_sign', 'tsya', 'double_letter', 'z_s_prefix', 'unstressed_vowel', 'sh_shch', 'missing_letter'], pattern), rr, r) AS place FROM np WHERE pattern IS NOT NULL AND (pattern <> 'missing_letter' OR rr <= 20000 AND wr IS NULL)) SELECT lang, w AS word, r AS \"right\", pattern FROM nb WHERE place = 1",
     "misspelling_patterns": f"SELECT pattern, found, count(*) AS n FROM (SELECT r0.pattern, {_pattern_sql('lower(r0.word)', 'lower(r0.proposed)')} AS found FROM known_misspellings_review r0 WHERE r0.word IS NOT NULL AND r0.proposed IS NOT NULL) GROUP BY ALL",
-    "training_rows": f"WITH {TOK}, w AS (SELECT DISTINCT word FROM tok), c AS (SELECT word, {_CONV('word')} AS conv, ('0x' || substr(sha256(word), 3, 2) || substr(sha256(word), 1, 2))::BIGINT % 10 = 0 AS tenth FROM w), "
-    + f"r AS (SELECT word AS token, 0 AS label, 'right' AS kind FROM c UNION ALL SELECT conv, 1, 'wrong' FROM c WHERE {_SCRIPT('word')} <> 'other' AND {_SCRIPT('conv')} <> 'other' AND {_SCRIPT('word')} <> {_SCRIPT('conv')} "
-    + "UNION ALL SELECT unnest([word || '42', word || '_id', word || '.com', 'https://' || word]), 0, 'structured' FROM c WHERE tenth) SELECT kind, label, count(*) AS n, CAST(sum(length(token)) AS BIGINT) AS n_chars FROM r GROUP BY ALL",
+    "training_rows": rf"""WITH a AS (SELECT sent_id, list_filter(regexp_extract_all(sentence, '[A-Za-zА-Яа-яЁё]+(?:[,.;''\[\]][A-Za-zА-Яа-яЁё]+)*'), lambda w: length(w) <= 35 AND {_SCRIPT('w')} <> 'other') AS ws FROM sentence_corpus WHERE sentence IS NOT NULL),
+b AS (SELECT *, len(list_filter(ws, lambda w: {_SCRIPT('w')} = 'en')) * 2 AS e FROM a),
+c AS (SELECT CASE WHEN e > len(ws) OR e = len(ws) AND {_SCRIPT('ws[1]')} = 'en' THEN 'en' ELSE 'ru' END AS lang, ws FROM b WHERE len(ws) > 0),
+d AS (SELECT lang, list_filter(ws, lambda w: {_SCRIPT('w')} = lang) AS ws FROM c),
+p AS (SELECT lang, ws, unnest(list_distinct([0, len(ws) // 3, 2 * len(ws) // 3, len(ws) - 1])) AS pos FROM d WHERE len(ws) >= 3),
+w AS (SELECT lang, pos, ws[pos + 1] AS word, {_CONV('ws[pos + 1]')} AS conv FROM p WHERE length(ws[pos + 1]) <= 25),
+r AS (SELECT word AS token, 0 AS label, 'right' AS kind, pos FROM w UNION ALL SELECT conv, 1, 'wrong', pos FROM w WHERE conv <> word AND {_SCRIPT('conv')} <> {_SCRIPT('word')}
+  UNION ALL SELECT unnest([word || '42', word || '_id', word || '.com', 'https://' || word || '.org', word || CASE WHEN lang = 'en' THEN 'Ру' ELSE 'En' END]), 0, 'structured', pos FROM w
+  WHERE pos = 0 AND ('0x' || substr(sha256(word), 3, 2) || substr(sha256(word), 1, 2))::BIGINT % 10 = 0)
+SELECT kind, label, count(*) AS n, CAST(sum(length(token)) AS BIGINT) AS n_chars, CAST(sum(least(pos, 2)) AS BIGINT) AS n_context FROM r GROUP BY ALL""",
     "kwic_context": r"""WITH c AS (SELECT review_id, replace(replace(context, '[[', ''), ']]', '') AS t, instr(context, '[[') AS a, instr(context, ']]') AS b FROM dev_label_review WHERE context IS NOT NULL),
       d AS (SELECT *, b - a - 2 AS n, greatest(1, a - 40) AS lo, least(length(t) + 1, a + b - a - 2 + 40) AS hi FROM c WHERE a > 0 AND b > a)
       SELECT review_id, substr(t, a, n) AS judged, regexp_replace(CASE WHEN lo > 1 THEN '…' ELSE '' END || substr(t, lo, a - lo) || '[[' || substr(t, a, n) || ']]' || substr(t, a + n, hi - a - n) || CASE WHEN hi <= length(t) THEN '…' ELSE '' END, '\s+', ' ', 'g') AS snippet FROM d""",

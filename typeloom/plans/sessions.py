@@ -13,7 +13,7 @@ from typeloom.functions.hashing import split_bucket
 from typeloom.operators import boundary as B
 from typeloom.operators import gestures as G
 from typeloom.operators import model as M
-from typeloom.plans.corpus import TOK, lex, sentences, tok
+from typeloom.plans.corpus import TOK, lex, sentences, tok, word_arrays
 from typeloom.plans.parsing import _PARSED
 from typeloom.sources.damaged_lines import loaded
 from typeloom.streaming.sessions import replay_stream
@@ -75,9 +75,10 @@ def suggestion_json(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def misspelling_map(spark, sf_dir):  # noqa: ANN001, ANN201
-    """The mapping of the lines ``wrong → right``, the first spelling of each word in the order of the alphabet."""
+    """The mapping of the lines ``wrong → right``; a word's last line counts, in the order of files and lines."""
     p = loaded(load(spark, sf_dir, "raw_words")).where("layout = 'pairs'")
-    return p.groupBy(T.plain(F.lower("word")).alias("word")).agg(F.min("spelled").alias("spelled"), F.count("*").alias("n"))
+    last = F.max_by(F.lower("spelled"), F.struct(F.coalesce("file_name", F.lit("")), F.coalesce("line_no", F.lit(0)), "raw_id"))
+    return p.groupBy(T.plain(F.lower("word")).alias("word")).agg(last.alias("spelled"), F.count("*").alias("n"))
 
 
 def ranked_list(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -108,14 +109,16 @@ def positional_eval(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def retro_repair(spark, sf_dir):  # noqa: ANN001, ANN201
     """Short words whose successor is of the other script: those a look-ahead would repair."""
-    w = Window.partitionBy("sent_id").orderBy("pos")
-    t = tok(spark, sf_dir).withColumn("next", F.lead("word").over(w))
+    n = F.size("ws")
+    each = F.arrays_zip(F.slice("ws", 1, n - 1).alias("word"), F.slice("ws", 2, n - 1).alias("next"))
+    t = word_arrays(spark, sf_dir).where(n > 1).select(F.inline(each))
     latin, cyr = (lambda c: F.col(c).rlike("^[a-z]+$")), (lambda c: F.col(c).rlike("^[а-яё]+$"))
     return t.where((F.length("word") <= 3) & ((latin("word") & cyr("next")) | (cyr("word") & latin("next")))).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("next").alias("n_next"))
 
 
 def training_rows(spark, sf_dir):  # noqa: ANN001, ANN201
-    return M.training_rows(tok(spark, sf_dir)).groupBy("kind", "label").agg(F.count("*").alias("n"), F.sum(F.length("token")).alias("n_chars"))
+    """The training rows by kind, with their characters and the words before them."""
+    return M.training_rows(sentences(spark, sf_dir)).groupBy("kind", "label").agg(F.count("*").alias("n"), F.sum(F.length("token")).alias("n_chars"), F.sum(F.size("previous")).alias("n_context"))
 
 
 def training_positions(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -128,7 +131,7 @@ def training_positions(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def layout_model(spark, sf_dir):  # noqa: ANN001, ANN201
     """A hashed logistic regression trained, calibrated and measured on disjoint tokens, protected shapes among them; without words of both kinds nothing is measured."""
-    f = M.vectors(M.training_rows(tok(spark, sf_dir)).select("token", "label").distinct()).withColumn("bucket", split_bucket(F.col("token")) % 10)
+    f = M.vectors(M.training_rows(sentences(spark, sf_dir)).select("token", "previous", "label").distinct()).withColumn("bucket", split_bucket(F.col("token")) % 10)
     if f.where("bucket < 6").select("label").distinct().count() < 2:  # nothing to tell apart
         return M.measured(f.select("label", F.lit(0.0).alias("score")).limit(0), 0.0)
     fit = M.fitted(f.where("bucket < 6").select("label", "features"))
@@ -170,7 +173,7 @@ ORACLE = {
     "double_taps": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS k, lag(epoch_us(ts)) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k = event_type AND epoch_us(ts) - t <= 3600000000",
     "learned_exceptions": "SELECT lower(gold_word) AS token, count(*) AS n FROM dev_label_review WHERE verdict = 'correct' AND gold_word IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
     "suggestion_json": "WITH k AS (SELECT props, unnest(json_keys(props)) AS field FROM events) SELECT field, count(*) AS n, count(DISTINCT json_extract_string(props, '$.\"' || field || '\"')) AS n_values FROM k GROUP BY field",
-    "misspelling_map": _PARSED + "SELECT translate(lower(cols[1]), 'ё', 'е') AS word, min(cols[2]) AS spelled, count(*) AS n FROM c WHERE reason IS NULL AND layout = 'pairs' GROUP BY 1",
+    "misspelling_map": _PARSED + "SELECT translate(lower(cols[1]), 'ё', 'е') AS word, (max({'f': coalesce(file_name, ''), 'l': coalesce(line_no, 0), 'r': raw_id, 's': lower(cols[2])})).s AS spelled, count(*) AS n FROM c WHERE reason IS NULL AND layout = 'pairs' GROUP BY 1",
     "ranked_list": _PARSED
     + r", w AS (SELECT file_name, line_no, raw_id, lower(cols[2]) AS word, translate(lower(cols[2]), 'ё', 'е') AS key FROM c WHERE reason IS NULL AND layout = 'words' AND regexp_full_match(lower(cols[2]), '\p{L}{2,32}')), f AS (SELECT *, row_number() OVER (PARTITION BY file_name, key ORDER BY line_no, raw_id) AS k FROM w) SELECT file_name, word, key, row_number() OVER (PARTITION BY file_name ORDER BY line_no, raw_id) AS rank FROM f WHERE k = 1",
     "positional_eval": f"WITH p AS (SELECT pair_id, min(set_name) AS set_name, min(source) AS a, min(correction) AS b FROM correction_pairs WHERE source IS NOT NULL AND correction IS NOT NULL GROUP BY pair_id), w AS (SELECT set_name, {_WS.format('a')} AS x, {_WS.format('b')} AS y FROM p) SELECT set_name, CAST(sum(greatest(len(x), len(y))) AS BIGINT) AS n_words, CAST(sum(len(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: coalesce(x[i], '') = coalesce(y[i], '')))) AS BIGINT) AS n_same, CAST(sum((len(x) <> len(y))::INT) AS BIGINT) AS n_misaligned FROM w GROUP BY set_name",

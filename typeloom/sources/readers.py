@@ -36,9 +36,10 @@ def word_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def word_pairs(spark: SparkSession, path: str, arrow: str = "→") -> DataFrame:
-    """``word, spelled`` of lines ``wrong → right``; lines without two sides are left out."""
-    p = _lines(spark, path).where("line <> '' and line not like '#%'").select(F.split("line", arrow, 2).alias("p")).where(F.size("p") == 2)
-    return p.select(plain(F.lower(F.trim(F.col("p")[0]))).alias("word"), F.trim(F.col("p")[1]).alias("spelled")).where("word <> '' and spelled <> ''")
+    """``word, spelled`` of lines ``wrong → right``; lines without two sides are left out, and a word's last line counts."""
+    p = _lines(spark, path).where("line <> '' and line not like '#%'").select("file", "at", F.split("line", arrow, 2).alias("p")).where(F.size("p") == 2)
+    p = p.select("file", "at", plain(F.lower(F.trim(F.col("p")[0]))).alias("word"), F.lower(F.trim(F.col("p")[1])).alias("spelled")).where("word <> '' and spelled <> ''")
+    return p.groupBy("word").agg(F.max_by("spelled", F.struct("file", "at")).alias("spelled"))
 
 
 def typos_in_context(spark: SparkSession, path: str) -> DataFrame:
