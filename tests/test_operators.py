@@ -1,8 +1,10 @@
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from typeloom.operators import boundary as B
 from typeloom.operators import correct as C
 from typeloom.operators import decide as D
 from typeloom.operators import gestures as G
@@ -10,6 +12,7 @@ from typeloom.operators import lexicon as L
 from typeloom.operators import model as M
 from typeloom.sources import readers as R
 from typeloom.streaming.sessions import counted_stream, rate_limited_stream, replay_stream
+from typeloom.tables import written
 
 
 def test_ranks_without_one_sort(spark):
@@ -63,12 +66,52 @@ def test_single_edits_of_both_languages(spark, monkeypatch):
     assert len(rows) == len(set(rows)) and set(rows) == {(a, b) for ws in words.values() for a in ws for b in ws if b in edits(a)}
 
 
+def evidence(spark, pairs=()):
+    """Small lists for spelling decisions."""
+    ranked = [("en", w, i + 1) for i, w in enumerate(["because", "keyboard", "letter", "better"])] + [("ru", w, i + 1) for i, w in enumerate(["слово", "клавиша", "учится", "учиться", "словарь", "он", "хочет"])]
+    words = lambda *x: spark.createDataFrame([(w,) for w in x], "word string")
+    known = spark.createDataFrame([(g, w) for g, w, _ in ranked] + [("ru", "словоа")], "lang string, word string")
+    counts = spark.createDataFrame([(w, 50) for g, w, _ in ranked if g == "ru"], "word string, cnt long")
+    return C.Evidence(
+        spark.createDataFrame(ranked, "lang string, word string, rank int"),
+        known,
+        spark.createDataFrame([("вобщем", "в общем")], "word string, spelled string"),
+        words("клавишка"),
+        words("клавишо"),
+        spark.createDataFrame([("Becuase",)], "token string"),
+        spark.createDataFrame(list(pairs), "prev string, next string, cnt long") if pairs else None,
+        counts,
+        counts,
+        1000,
+    )
+
+
 def test_decisions(spark):
-    lex = spark.createDataFrame([("en", w, i + 1) for i, w in enumerate(["because", "keyboard"])], "lang string, word string, rank int")
-    known = spark.createDataFrame([("teh", "the"), ("recieve", "receive")], "word string, spelled string")
-    typed = spark.createDataFrame([("en", t) for t in ["becuase", "because", "recieve", "ab", "qqqqq", None, "becuase"]], "lang string, typed string")
-    got = {r.typed: (r.corrected, r.reason) for r in C.decisions(typed, lex, known).collect()}
-    assert got == {"becuase": ("because", "typo"), "because": (None, "known-original"), "recieve": ("receive", "typo-known-misspelling"), "ab": (None, "protected-shape"), "qqqqq": (None, "no-candidate")}
+    """Every reason of the cascade, expected by hand."""
+    typed = [("keybaord", None, False), ("because", None, False), ("becuase", None, False), ("вобщем", None, False), ("recieve", None, False), ("abc", None, False), ("слво", None, False), ("Keybaord", None, True), ("KEYS", None, False), ("mixед", None, False), ("клавишка", None, False), ("клавишо", None, False), ("клавиаш", None, False), ("Клавиаш", None, True), ("Клавиаш", None, False), ("betetr", None, False), ("netter", None, False), ("словао", None, False), (None, None, False), ("becuase", None, False)]
+    words = spark.createDataFrame(typed, "word string, previous string, at_start boolean")
+    got = {(r.word, r.at_start): (r.corrected, r.reason) for r in C.decisions(words, evidence(spark)).collect()}
+    assert got == {
+        ("keybaord", False): ("keyboard", "typo"), ("because", False): (None, "known-original"), ("becuase", False): (None, "exception"), ("вобщем", False): ("в общем", "typo-known-misspelling"),
+        ("recieve", False): (None, "no-candidate"), ("abc", False): (None, "protected-shape"), ("слво", False): (None, "protected-shape"), ("Keybaord", True): (None, "protected-case"), ("KEYS", False): (None, "protected-case"),
+        ("mixед", False): (None, "protected-script"), ("клавишка", False): (None, "known-corpus"), ("клавишо", False): (None, "colloquial"), ("клавиаш", False): ("клавиша", "typo"), ("Клавиаш", True): ("Клавиша", "typo"),
+        ("Клавиаш", False): (None, "protected-case"), ("betetr", False): ("better", "typo"), ("netter", False): (None, "ambiguous-candidate"), ("словао", False): (None, "ambiguous-form"),
+    }
+    weak = C.decisions(words.where("word = 'Клавиаш' and at_start"), evidence(spark), replace(C.AUTO, capital_margin=4.5)).first()
+    assert (weak.corrected, weak.reason) == (None, "ambiguous-capital")
+    off = C.decisions(words.where("word = 'клавиаш'"), evidence(spark), replace(C.AUTO, russian=False)).first()
+    assert off.reason == "ru-typo-disabled" and C.decisions(words.limit(0), evidence(spark)).count() == 0
+    manual = C.decisions(words.where("word = 'Клавиаш' and not at_start"), evidence(spark), C.MANUAL).first()
+    assert (manual.corrected, manual.reason) == ("Клавиша", "typo-manual")
+
+
+def test_decisions_by_the_word_before(spark):
+    e = evidence(spark, [("хочет", "учиться", 60), ("он", "учится", 60)])
+    words = spark.createDataFrame([("учится", "хочет", False), ("учится", "он", False), ("учиться", "Он", False), ("учится", None, False), ("клавиаш", "хочет", False)], "word string, previous string, at_start boolean")
+    got = {(r.word, r.previous): (r.corrected, r.reason) for r in C.decisions(words, e).collect()}
+    assert got == {("учится", "хочет"): ("учиться", "typo-context-tsya"), ("учится", "он"): (None, "known-original"), ("учиться", "он"): ("учится", "typo-context-tsya"), ("учится", None): (None, "known-original"), ("клавиаш", "хочет"): ("клавиша", "typo")}
+    veto = C.decisions(words.where("word = 'клавиаш'"), e, replace(C.AUTO, context_veto=-0.1)).first()
+    assert veto.reason == "context-mismatch"
 
 
 def test_layout_decisions(spark):
@@ -129,18 +172,61 @@ def test_readers(spark, tmp_path):
     assert R.comparison(df, "a", "split", "n").columns == ["a", "dev", "train"]
 
 
+def judged(spark, tokens, threshold=None, **more):
+    lex = spark.createDataFrame([("ru", w, 9) for w in ("привет", "мир", "не", "спасибо")] + [("en", "hello", 9)], "lang string, word string, cnt long")
+    return B.verdicts(tokens, lex, L.trigram_model(lex, "^^", F.ln(1 + F.col("cnt"))), threshold, **more)
+
+
+def test_boundary_scenarios(spark):
+    """Punctuation, repairs, resets, exceptions and spellings; expected by hand."""
+    texts = [(1, 'yt ghbdtn, hello cgfcb,j "ghbdtn" x'), (2, "yt. ghbdtn"), (3, "yt  ghbdtn"), (4, "vbh ghbdtn!\nvbh"), (5, "teh ghbdtn@x Teh"), (6, None), (7, ""), (8, "Ghbdtn htlrj, rfr"), (1, "hello")]
+    df = spark.createDataFrame(texts, "session long, text string")
+    chunks = B.chunked(df)
+    tokens = B.chunk_tokens(chunks)
+    fix = spark.createDataFrame([("teh", "the", None), ("Teh", None, "The")], "word string, corrected string, at_start string")
+    v = judged(spark, tokens, 0.5, exceptions=spark.createDataFrame([("htlrj",)], "token string"), spelled=fix)
+    rows = B.replay(chunks, tokens, v).orderBy("session", "seq").collect()
+    got = {s: [(r.replacement, r.changed, r.erased) for r in rows if r.session == s] for s in range(2, 9)}
+    assert got[2] == [("не.", True, 0), ("привет", True, 0)] and got[3] == [("не", True, 0), ("", False, 0), ("привет", True, 0)]
+    assert got[4] == [("мир", True, 0), ("привет", True, 0), ("", False, 0), ("мир", True, 0)] and got[5] == [("the", True, 0), ("ghbdtn@x", False, 0), ("Teh", False, 0)]
+    assert got[8] == [("Привет", True, 0), ("htlrj,", False, 0), ("rfr", False, 0)] and got[6] == got[7] == []
+    out = {r.session: r.text for r in B.retyped(chunks, tokens, v).where("session <> 1").collect()}
+    assert out == {2: "не. привет", 3: "не  привет", 4: "мир привет!\nмир", 5: "the ghbdtn@x Teh", 7: "", 8: "Привет htlrj, rfr"}
+    # without a model short words wait for the word after them
+    late = {(r.session, r.seq): (r.original, r.replacement, r.erased, r.reason) for r in B.replay(chunks, tokens, judged(spark, tokens.where("token <> 'ghbdtn'"), None)).collect()}
+    assert late[(2, 0)] == ("yt.", "yt.", 0, "model-below-threshold") and late[(4, 1)] == ("ghbdtn", "ghbdtn", 0, "not-judged")
+
+
+def test_short_words_are_repaired():
+    at = lambda *v: "\x1e".join("\x1f".join(x) for x in v)
+    yt = (1, True, at(*[("yt", "model-below-threshold", "0001")] * 2, *[("не", "context-short-word", "1102")] * 2, ("yt", "model-below-threshold", "0001")))
+    ghbdtn = (1, False, at(*[("привет", "trained-model", "1102")] * 5))
+    w = B.Walk()
+    assert w.step("yt", " ", yt)[1:4] == ("yt", False, 0) and w.step("ghbdtn", " ", ghbdtn) == ("yt ghbdtn", "не привет", True, 3, "trained-model")
+    assert w.last == (2, 2) and w.step("yt", " ", yt)[1] == "не"
+    for between in ("", None):
+        w = B.Walk()
+        w.step("yt", " ", yt)
+        w.step(*(("", " ", None) if between == "" else ("???", " ", None)))
+        assert w.step("ghbdtn", " ", ghbdtn)[3] == 0
+    w = B.Walk()
+    w.step("yt", "\n", yt)
+    assert w.step("ghbdtn", " ", ghbdtn)[3] == 0 and B.rebuilt([("yt", " ", "yt", "yt", False, 0, ""), ("ghbdtn", " ", "yt ghbdtn", "не привет", True, 3, "")]) == "не привет "
+
+
 def test_streams(spark, tmp_path):
-    tokens = spark.createDataFrame([(1, 0, "yt", " "), (1, 1, "ghbdtn", " "), (2, 0, "hello", " ")], "session long, seq int, token string, separator string")
-    tokens.coalesce(1).write.parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(tokens.schema).parquet(str(tmp_path / "in"))
-    known = {"привет", "не", "hello"}
+    tokens = spark.createDataFrame([(1, 0, "yt", " "), (1, 1, "ghbdtn", " "), (2, 0, "hello", " "), (2, 1, None, None), (1, 2, "vbh", "\n"), (2, 2, "qq", " ")], "session long, seq int, token string, separator string")
+    v = written(judged(spark, tokens.where("token <> 'qq'"), 0.5), "judged")
+    for i in (0, 1, 2):  # one token of a session a batch: context lives in the state
+        tokens.where(F.col("seq") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
     def run(df, name, mode="append"):
         df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
         return spark.table(name)
 
-    got = {(r.session, r.seq): r.replacement for r in run(replay_stream(src, known), "sessions").collect()}
-    assert got == {(1, 0): "yt", (1, 1): "не привет", (2, 0): "hello"}
+    got = {(r.session, r.seq): (r.replacement, r.reason) for r in run(replay_stream(src, v), "sessions").collect()}
+    assert got == {(1, 0): ("не", "trained-model"), (1, 1): ("привет", "trained-model"), (1, 2): ("мир", "context-short-word"), (2, 0): ("hello", "known-original"), (2, 1): ("", "empty"), (2, 2): ("qq", "not-judged")}
     calls = spark.sql("select 1L as user_id, id as event_id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0, id * 2) as ts, 10 as size, 'x' as event_type from range(4)")
     calls.write.parquet(str(tmp_path / "calls"))
     stream = spark.readStream.schema(calls.schema).parquet(str(tmp_path / "calls"))
@@ -148,28 +234,11 @@ def test_streams(spark, tmp_path):
     assert run(counted_stream(stream), "counts", "complete").collect()[0].n == 4
 
 
-def test_policy_knows_words_of_any_rank(spark, tmp_path, monkeypatch):
-    """A known word behind rank 20,000, and the same results from a table as from a list; a short word is repaired across batches."""
-    from typeloom.operators import boundary as B
-    from typeloom.plans import sessions as P
+def test_stream_equals_batch(spark):
+    from typeloom.plans import judged as P
 
-    words = ["привет", "мир", "не", "hello"]
-    lex = spark.createDataFrame([("ru", w, 2, 20_001 + i) for i, w in enumerate(words)] + [("ru", "редко", 1, 30_000)], "lang string, word string, cnt long, rank int")
-    texts = spark.createDataFrame([(1, 'yt ghbdtn, vbh! "ghbdtn" hello htlrj'), (1, "yt ok\n(hello"), (2, None), (3, "")], "session long, text string")
-    monkeypatch.setattr(P, "lex", lambda *_: lex)
-    monkeypatch.setattr(P, "_texts", lambda *_: texts)
-    got = {(r.reason, r.changed): (r.n, r.n_repaired) for r in P.boundary_replay(spark, "").collect()}
-    assert got[("known-target", True)] == (2, 1) and got[("context-short-word", True)] == (1, 0) and got[("known-original", False)] == (2, 0)
     order = lambda d: sorted(tuple(r) for r in d.collect())
-    assert order(B.replay_texts(texts, P._known(spark, ""))) == order(B.replay_texts(texts, set(words)))
-
-    tokens = spark.createDataFrame([(1, 0, "yt", " "), (1, 1, "ghbdtn", " "), (2, 0, "hello", " "), (2, 1, None, None)], "session long, seq int, token string, separator string")
-    for i in (0, 1):
-        tokens.where(F.col("seq") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = replay_stream(src, P._known(spark, "")).writeStream.format("memory").queryName("known_table").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.session, r.seq): r.replacement for r in spark.table("known_table").collect()} == {(1, 0): "yt", (1, 1): "не привет", (2, 0): "hello", (2, 1): ""}
+    assert order(P.boundary_stream(spark, "/root/testdata/sf0.001")) == order(P.boundary_replay(spark, "/root/testdata/sf0.001"))
 
 
 def test_manifest_covers_every_rank(spark, monkeypatch):
@@ -225,7 +294,7 @@ def test_entry_lists_queries():
     import __spark_entry__ as e
 
     q, o = e.queries(), e.oracle_sql()
-    assert set(o) <= set(q) and "layout_detect_legacy" in q and len(q) > 60
+    assert set(o) <= set(q) and "layout_decide" in q and len(q) > 60
 
 
 def test_queries_over_empty_tables(spark, tmp_path):

@@ -17,7 +17,7 @@ def two_edit_fill(typed: DataFrame, lex: DataFrame, most: int = 2, shortest: int
     Both sides are joined on deletion keys; letters that differ in more than four places
     of the letter mask are discarded before distances are computed.
     """
-    near = C.candidates(typed, lex, shortest, cap)
+    near = C.candidates(typed, lex, shortest, cap, ("en", "ru"))
     lone = near.where("dist = 1").select("lang", "typed").distinct()
     two = near.where("dist = 2").join(lone, ["lang", "typed"], "left_anti").where(F.bit_count(letter_mask(F.col("typed")).bitwiseXOR(letter_mask(F.col("word")))) <= 4)
     w = Window.partitionBy("lang", "typed").orderBy("rank", "word")

@@ -127,17 +127,28 @@ r AS (SELECT *, reason IN ('known-target-and-language-margin', 'trigram-unknown-
 # --- spelling
 
 
+def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sent_id, split, lang, pos, previous, intended, typed``: a slip in the first word of at least four letters of every sentence, and the word before it."""
+    s = sentences(spark, sf_dir).select("sent_id", "split", L.language(F.col("source")).alias("lang"), T.letter_runs(F.col("sentence")).alias("ws"))
+    each = F.transform("ws", lambda w, i: F.struct(i.alias("pos"), F.when(i > 0, F.get("ws", i - 1)).alias("previous"), w.alias("intended")))
+    first = F.get(F.filter(each, lambda x: L.pure(F.col("lang"), x["intended"]) & (F.length(x["intended"]) >= 4)), F.lit(0))
+    s = s.select("sent_id", "split", "lang", first.alias("x")).where("x is not null").select("sent_id", "split", "lang", "x.*")
+    return s.withColumn("typed", E.make_typo(F.col("intended"), F.col("sent_id"))).where("typed <> intended")
+
+
 def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sent_id, lang, intended, typed``: a slip in the first word of at least four letters of every sentence."""
-    t = tok(spark, sf_dir).where(L.pure(F.col("lang"), F.col("word")) & (F.length("word") >= 4))
-    first = t.groupBy("sent_id", "lang").agg(F.min(F.struct("pos", "word")).alias("x")).select("sent_id", "lang", F.col("x.word").alias("intended"))
-    return first.withColumn("typed", E.make_typo(F.col("intended"), F.col("sent_id"))).where("typed <> intended")
+    return injected(spark, sf_dir).select("sent_id", "lang", "intended", "typed")
 
 
 def inject_typos(spark, sf_dir):  # noqa: ANN001, ANN201
     return _injected(spark, sf_dir).select("sent_id", "lang", "intended", "typed", E.confusion(F.col("typed"), F.col("intended")).alias("kind"))
 
 
+def _ranked(words: DataFrame) -> DataFrame:
+    """The words that spellings are taken from: those seen three times."""
+    return words.where("cnt >= 3")
+
+
 def _typos(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
     return _injected(spark, sf_dir).select("lang", "typed").distinct().join(words.select("lang", F.col("word").alias("typed")), ["lang", "typed"], "left_anti")
 
@@ -153,22 +164,22 @@ def single_edits(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def typo_candidates(spark, sf_dir):  # noqa: ANN001, ANN201
     words = written(lex(spark, sf_dir), "lexicon")
-    return C.candidates(_typos(spark, sf_dir, words), words)
+    return C.candidates(_typos(spark, sf_dir, words), _ranked(words))
 
 
 def edit_costs(spark, sf_dir):  # noqa: ANN001, ANN201
     words = written(lex(spark, sf_dir), "lexicon")
-    return C.scored(C.candidates(_typos(spark, sf_dir, words), words)).select("lang", "typed", "word", F.round("cost", 4).alias("cost"), F.round("score", 6).alias("score"), E.confusion(F.col("typed"), F.col("word")).alias("kind"))
+    return C.scored(C.candidates(_typos(spark, sf_dir, words), _ranked(words))).select("lang", "typed", "word", F.round("cost", 4).alias("cost"), F.round("score", 6).alias("score"), E.confusion(F.col("typed"), F.col("word")).alias("kind"))
 
 
 def typo_best(spark, sf_dir):  # noqa: ANN001, ANN201
     words = written(lex(spark, sf_dir), "lexicon")
-    return C.best(C.scored(C.candidates(_typos(spark, sf_dir, words), words))).select("lang", "typed", "word", F.round("margin", 6).alias("margin"))
+    return C.best(C.scored(C.candidates(_typos(spark, sf_dir, words), _ranked(words)))).select("lang", "typed", "word", F.round("margin", 6).alias("margin"))
 
 
 def alternatives(spark, sf_dir):  # noqa: ANN001, ANN201
     words = written(lex(spark, sf_dir), "lexicon")
-    return C.alternatives(C.scored(C.candidates(_typos(spark, sf_dir, words), words)))
+    return C.alternatives(C.scored(C.candidates(_typos(spark, sf_dir, words), _ranked(words))))
 
 
 def _misspellings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,38 +198,21 @@ def misspelling_patterns(spark, sf_dir):  # noqa: ANN001, ANN201
     return r.withColumn("found", E.misspelling_pattern(F.lower("word"), F.lower("proposed"))).groupBy("pattern", "found").agg(F.count("*").alias("n"))
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = written(lex(spark, sf_dir), "lexicon")
-    inj = written(_injected(spark, sf_dir), "typos")
-    return inj, C.decisions(inj.select("lang", "typed").distinct(), words, _misspellings(spark, sf_dir))
-
-
-def typo_decide(spark, sf_dir):  # noqa: ANN001, ANN201
-    return _decided(spark, sf_dir)[1].select("lang", "typed", "corrected", "reason", F.round("margin", 6).alias("margin"))
-
-
-def typo_eval(spark, sf_dir):  # noqa: ANN001, ANN201
-    inj, d = _decided(spark, sf_dir)
-    j = inj.join(d, ["lang", "typed"])
-    c = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    g = j.groupBy("lang").agg(F.count("*").alias("n_typos"), c(F.col("corrected") == F.col("intended")).alias("fixed"), c(F.col("corrected") != F.col("intended")).alias("wrong"))
-    return g.withColumns({"recall": F.round(F.col("fixed") / F.col("n_typos"), 6), "precision": F.round(F.coalesce(F.try_divide(F.col("fixed"), F.col("fixed") + F.col("wrong")), F.lit(0.0)), 6)})
-
-
 def threshold_sweep(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Right and wrong corrections at or above each margin."""
-    inj, d = _decided(spark, sf_dir)
+    """Right and wrong corrections at or above each margin: margins are counted in steps, and only the counts are added up."""
     words = written(lex(spark, sf_dir), "lexicon")
-    top = C.best(C.scored(C.candidates(_typos(spark, sf_dir, words), words))).select("lang", "typed", "word", "margin")
-    j = inj.join(top, ["lang", "typed"]).select("lang", (F.col("word") == F.col("intended")).alias("right"), "margin", F.explode(F.array(*[F.lit(float(x)) for x in (0, 0.5, 1, 1.5, 2, 2.5, 3, 3.5, 4)])).alias("threshold"))
-    at = F.col("margin") >= F.col("threshold") - 1e-9
-    return j.groupBy("lang", "threshold").agg(F.sum((at & F.col("right")).cast("int")).alias("n_right"), F.sum((at & ~F.col("right")).cast("int")).alias("n_wrong"))
+    top = C.best(C.scored(C.candidates(_typos(spark, sf_dir, words), _ranked(words)))).select("lang", "typed", "word", "margin")
+    step = F.least(F.lit(8), F.floor((F.col("margin") + 1e-9) / 0.5)).alias("step")
+    n = _injected(spark, sf_dir).join(top, ["lang", "typed"]).groupBy("lang", step, (F.col("word") == F.col("intended")).alias("right")).agg(F.count("*").alias("n"))
+    at = n.select("lang", "step", "right", "n", F.explode(F.array(*[F.lit(float(x)) for x in (0, 0.5, 1, 1.5, 2, 2.5, 3, 3.5, 4)])).alias("threshold"))
+    above = F.col("step") * 0.5 >= F.col("threshold")
+    return at.groupBy("lang", "threshold").agg(F.sum(F.when(above & F.col("right"), F.col("n")).otherwise(0)).alias("n_right"), F.sum(F.when(above & ~F.col("right"), F.col("n")).otherwise(0)).alias("n_wrong"))
 
 
 def outcome_by_distance(spark, sf_dir):  # noqa: ANN001, ANN201
     words = written(lex(spark, sf_dir), "lexicon")
     inj = _injected(spark, sf_dir)
-    top = C.best(C.scored(C.candidates(_typos(spark, sf_dir, words), words))).select("lang", "typed", "word", "dist")
+    top = C.best(C.scored(C.candidates(_typos(spark, sf_dir, words), _ranked(words)))).select("lang", "typed", "word", "dist")
     j = inj.join(top, ["lang", "typed"]).withColumn("outcome", F.when(F.col("word") == F.col("intended"), "right").otherwise("wrong"))
     return j.groupBy("lang", F.least("dist", F.lit(3)).alias("distance")).pivot("outcome", ["right", "wrong"]).agg(F.count(F.lit(1))).na.fill(0, ["right", "wrong"])
 
@@ -228,7 +222,7 @@ def fixed_within_k(spark, sf_dir):  # noqa: ANN001, ANN201
     words = written(lex(spark, sf_dir), "lexicon")
     inj = _injected(spark, sf_dir)
     w = Window.partitionBy("lang", "typed").orderBy(F.desc("score"), "rank", "word")
-    opts = C.scored(C.candidates(_typos(spark, sf_dir, words), words)).withColumn("press", F.row_number().over(w)).where("press <= 5")
+    opts = C.scored(C.candidates(_typos(spark, sf_dir, words), _ranked(words))).withColumn("press", F.row_number().over(w)).where("press <= 5")
     hit = inj.join(opts.select("lang", "typed", F.col("word").alias("intended"), "press"), ["lang", "typed", "intended"]).groupBy("lang", "press").agg(F.count("*").alias("n"))
     return hit.withColumn("fixed", F.sum("n").over(Window.partitionBy("lang").orderBy("press"))).select("lang", "press", "fixed")
 
@@ -267,12 +261,12 @@ f2 AS (SELECT sent_id, lang, w AS intended, CASE
   ELSE substr(w, 1, {_I} - 1) || translate(substr(w, {_I}, 1), '{"".join(E.NEXT_KEY)}', '{"".join(E.NEXT_KEY.values())}') || substr(w, {_I} + 1) END AS typed FROM f1),
 inj AS (SELECT * FROM f2 WHERE typed <> intended),
 ty AS (SELECT DISTINCT lang, typed FROM inj ANTI JOIN (SELECT lang, word AS typed FROM lex) USING (lang, typed)),
-ix AS (SELECT lang, word, rank, unnest(CASE WHEN rank <= 15000 THEN {_DEL2("word")} ELSE {_DEL("word")} END) AS k FROM lex),
-qx AS (SELECT lang, typed, unnest(CASE WHEN length(typed) >= 8 THEN {_DEL2("typed")} ELSE {_DEL("typed")} END) AS k FROM ty),
+ix AS (SELECT lang, word, rank, unnest(CASE WHEN rank <= 15000 THEN {_DEL2("word")} ELSE {_DEL("word")} END) AS k FROM lex WHERE cnt >= 3),
+qx AS (SELECT lang, typed, unnest(CASE WHEN length(typed) >= 8 AND lang IN ('en') THEN {_DEL2("typed")} ELSE {_DEL("typed")} END) AS k FROM ty),
 c1 AS (SELECT DISTINCT lang, typed, word, rank FROM qx JOIN ix USING (lang, k)),
 c2 AS (SELECT *, {_MIS("typed", "word")} AS i FROM c1),
 c3 AS (SELECT *, CASE WHEN {_SWAP("typed", "word", "i")} THEN 1 ELSE levenshtein({_B("typed")}, {_B("word")}) END AS dist FROM c2),
-cand AS (SELECT * FROM c3 WHERE dist = 1 OR dist = 2 AND length(typed) >= 8 AND rank <= 10000),
+cand AS (SELECT * FROM c3 WHERE dist = 1 OR dist = 2 AND lang IN ('en') AND length(typed) >= 8 AND rank <= 10000),
 c4 AS (SELECT *, CASE WHEN lang = 'ru' AND i = 1 THEN 0.5 ELSE 0 END AS ini, substr(CASE WHEN length(typed) > length(word) THEN typed ELSE word END, i, 1) IN ('ь', 'ъ') AS sgn FROM cand),
 c5 AS (SELECT *, CAST(CASE WHEN dist = 2 THEN 3.2
   WHEN {_SWAP("typed", "word", "i")} THEN 0.55 + ini
@@ -294,21 +288,9 @@ def _kind_sql(a: str, b: str) -> str:
 
 
 _MISSP = "mis AS (SELECT lower(word) AS typed, min(lower(CASE WHEN verdict = 'misspelling-other' AND intended IS NOT NULL THEN intended ELSE proposed END)) AS spelled FROM known_misspellings_review WHERE word IS NOT NULL AND verdict IN ('misspelling', 'misspelling-other') GROUP BY 1 HAVING spelled IS NOT NULL)"
-_DECIDE = (
-    _TYPOS
-    + rf""", {_MISSP},
-d0 AS (SELECT DISTINCT lang, typed FROM inj),
-d1 AS (SELECT d0.*, spelled, CASE WHEN NOT regexp_full_match(d0.typed, '\p{{L}}{{4,32}}') OR length(d0.typed) < CASE WHEN d0.lang = 'ru' THEN 5 ELSE 4 END THEN 'protected-shape' WHEN spelled IS NOT NULL THEN 'typo-known-misspelling' WHEN lex.word IS NOT NULL THEN 'known-original' END AS early
-  FROM d0 LEFT JOIN mis USING (typed) LEFT JOIN lex ON lex.lang = d0.lang AND lex.word = d0.typed),
-d2 AS (SELECT d1.*, top.word, top.margin AS mg, CASE WHEN early IS NOT NULL THEN early WHEN top.word IS NULL THEN 'no-candidate'
-  WHEN top.margin < CASE WHEN d1.lang = 'ru' THEN 4.0 ELSE 2.2 END OR top.rank > CASE WHEN d1.lang = 'ru' THEN 50000 ELSE 12000 END THEN 'ambiguous-candidate' ELSE 'typo' END AS reason FROM d1 LEFT JOIN top ON top.lang = d1.lang AND top.typed = d1.typed),
-dec AS (SELECT lang, typed, CASE WHEN reason = 'typo-known-misspelling' THEN spelled WHEN reason = 'typo' THEN word END AS corrected, reason, CASE WHEN early IS NULL THEN mg END AS margin FROM d2)
-"""
-)
-
 QUERIES = {
     f.__name__: f
-    for f in (layout_convert, structured_tokens, layout_detect_legacy, layout_decisions_legacy, layout_eval, inject_typos, deletes_index, single_edits, typo_candidates, edit_costs, typo_best, alternatives, misspelling_export, misspelling_patterns, typo_decide, typo_eval, threshold_sweep, outcome_by_distance, fixed_within_k, reviewed_metrics, kwic_context)
+    for f in (layout_convert, structured_tokens, layout_detect_legacy, layout_decisions_legacy, layout_eval, inject_typos, deletes_index, single_edits, typo_candidates, edit_costs, typo_best, alternatives, misspelling_export, misspelling_patterns, threshold_sweep, outcome_by_distance, fixed_within_k, reviewed_metrics, kwic_context)
 }
 ORACLE = {
     "layout_convert": f"WITH {TOK} SELECT word, {_CONV('word')} AS converted, {_letters_sql('word')} AS letters_converted, {_SCRIPT('word')} AS script, {_SCRIPT(_CONV('word'))} AS target_script, {_CONV(_CONV('word'))} = word AS reversible FROM (SELECT DISTINCT word FROM tok)",
@@ -327,9 +309,6 @@ ORACLE = {
     "typo_best": _TYPOS + "SELECT lang, typed, word, round(margin, 6) AS margin FROM top",
     "alternatives": _TYPOS + "SELECT lang, typed, string_agg(word, ',' ORDER BY place) AS options FROM (SELECT *, max(score) OVER (PARTITION BY lang, typed) AS best FROM bst) WHERE place <= 2 AND best - score <= 6.0 GROUP BY lang, typed",
     "misspelling_export": f"WITH {_MISSP} SELECT typed AS word, spelled FROM mis",
-    "typo_decide": _DECIDE + "SELECT lang, typed, corrected, reason, round(margin, 6) AS margin FROM dec",
-    "typo_eval": _DECIDE
-    + "SELECT lang, count(*) AS n_typos, CAST(sum(CASE WHEN corrected = intended THEN 1 ELSE 0 END) AS BIGINT) AS fixed, CAST(sum(CASE WHEN corrected <> intended THEN 1 ELSE 0 END) AS BIGINT) AS wrong, round(fixed / n_typos, 6) AS recall, round(coalesce(fixed / nullif(fixed + wrong, 0), 0), 6) AS \"precision\" FROM inj JOIN dec USING (lang, typed) GROUP BY lang",
     "threshold_sweep": _TYPOS
     + "SELECT lang, threshold, CAST(sum((margin >= threshold - 1e-9 AND word = intended)::INT) AS BIGINT) AS n_right, CAST(sum((margin >= threshold - 1e-9 AND word <> intended)::INT) AS BIGINT) AS n_wrong FROM (SELECT inj.lang, intended, top.word, margin, unnest([0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0])::DOUBLE AS threshold FROM inj JOIN top USING (lang, typed)) GROUP BY ALL",
     "outcome_by_distance": _TYPOS + 'SELECT lang, CAST(least(dist, 3) AS INT) AS distance, count(*) FILTER (word = intended) AS "right", count(*) FILTER (word <> intended) AS wrong FROM inj JOIN top USING (lang, typed) GROUP BY ALL',

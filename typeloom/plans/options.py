@@ -8,7 +8,7 @@ from typeloom.functions.text import letter_runs
 from typeloom.operators import lexicon as L
 from typeloom.operators import options as O
 from typeloom.plans.corpus import _KNOWN, _PAIRS, LEX, TOK, _distinct_known, known_forms, lex, word_arrays
-from typeloom.plans.decisions import _CONV, _DEL, _MIS, _SCRIPT, _TYPOS, _B, _kind_sql, _typos
+from typeloom.plans.decisions import _CONV, _DEL, _MIS, _SCRIPT, _TYPOS, _B, _kind_sql, _ranked, _typos
 from typeloom.tables import load, written
 
 
@@ -17,23 +17,23 @@ def two_edit_options(spark, sf_dir):  # noqa: ANN001, ANN201
     words = written(lex(spark, sf_dir), "lexicon")
     typed = load(spark, sf_dir, "correction_pairs").select(F.explode(letter_runs(F.col("source"))).alias("typed")).distinct()
     typed = typed.withColumn("lang", F.when(F.col("typed").rlike("^[a-z]{2,32}$"), "en").when(F.col("typed").rlike("^[а-яё]{2,32}$"), "ru")).where("lang is not null")
-    return O.two_edit_fill(typed.join(words.select("lang", F.col("word").alias("typed")), ["lang", "typed"], "left_anti").select("lang", "typed"), words)
+    return O.two_edit_fill(typed.join(words.select("lang", F.col("word").alias("typed")), ["lang", "typed"], "left_anti").select("lang", "typed"), _ranked(words))
 
 
 def unlisted_rivals(spark, sf_dir):  # noqa: ANN001, ANN201
     words = written(lex(spark, sf_dir), "lexicon")
-    return O.unlisted_rivals(_typos(spark, sf_dir, words), words, _distinct_known(spark, sf_dir)).select("lang", "typed", F.round("rival_score", 6).alias("rival_score"))
+    return O.unlisted_rivals(_typos(spark, sf_dir, words), _ranked(words), _distinct_known(spark, sf_dir)).select("lang", "typed", F.round("rival_score", 6).alias("rival_score"))
 
 
 def manual_options(spark, sf_dir):  # noqa: ANN001, ANN201
     words = written(lex(spark, sf_dir), "lexicon")
-    return O.manual_options(_typos(spark, sf_dir, words), words)
+    return O.manual_options(_typos(spark, sf_dir, words), _ranked(words))
 
 
 def manual_presses(spark, sf_dir):  # noqa: ANN001, ANN201
     """How many words show what after two presses."""
     words = written(lex(spark, sf_dir), "lexicon")
-    p = O.pressed(O.manual_options(_typos(spark, sf_dir, words), words), 2)
+    p = O.pressed(O.manual_options(_typos(spark, sf_dir, words), _ranked(words)), 2)
     return p.groupBy("lang", "kind").agg(F.count("*").alias("n"), F.sum((F.col("shown") == F.col("typed")).cast("int")).alias("n_restored"))
 
 
@@ -60,11 +60,11 @@ def _pattern_sql(w: str, r: str) -> str:
 
 _ALTS = """, al AS (SELECT lang, typed, list(word ORDER BY place) AS alts FROM (SELECT *, max(score) OVER (PARTITION BY lang, typed) AS best FROM bst) WHERE place <= 2 AND best - score <= 6.0 GROUP BY lang, typed),
 mo AS (SELECT ty.lang, ty.typed, {conv} AS conv, o.word IS NOT NULL AS lk, top.word AS fix, coalesce(top.margin >= 2.5 AND top.rank <= CASE WHEN ty.lang = 'ru' THEN 200000 ELSE 12000 END AND length(ty.typed) >= 4, false) AS sure, list_filter(coalesce(alts, []), lambda x: x <> {conv}) AS sp
-  FROM ty LEFT JOIN lex o ON o.lang <> ty.lang AND o.word = {conv} LEFT JOIN top ON top.lang = ty.lang AND top.typed = ty.typed LEFT JOIN al ON al.lang = ty.lang AND al.typed = ty.typed),
+  FROM ty LEFT JOIN (SELECT * FROM lex WHERE cnt >= 3) o ON o.lang <> ty.lang AND o.word = {conv} LEFT JOIN top ON top.lang = ty.lang AND top.typed = ty.typed LEFT JOIN al ON al.lang = ty.lang AND al.typed = ty.typed),
 opt AS (SELECT lang, typed, CASE WHEN lk THEN 'layout-known' WHEN sure THEN 'spelling-certain' WHEN len(sp) > 0 THEN 'spelling' ELSE 'layout' END AS kind,
   CASE WHEN lk THEN list_concat([conv], sp) WHEN sure THEN list_concat([fix], list_filter(sp, lambda x: x <> fix)) WHEN len(sp) > 0 THEN list_concat(sp, [conv]) ELSE [conv] END AS o FROM mo)
 """.replace("{conv}", _CONV("ty.typed"))
-_WIDE = _TYPOS.replace("rank <= 15000", "rank <= 50000").replace("length(typed) >= 8", "length(typed) >= 6").replace("rank <= 10000", "rank <= 50000")
+_WIDE = _TYPOS.replace("rank <= 15000", "rank <= 50000").replace("length(typed) >= 8", "length(typed) >= 6").replace("rank <= 10000", "rank <= 50000").replace("lang IN ('en')", "lang IN ('en', 'ru')")
 _WIDE = _WIDE.replace(
     "ty AS (SELECT DISTINCT lang, typed FROM inj ANTI",
     r"sw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(source), '\p{L}+')) AS typed FROM correction_pairs), sl AS (SELECT typed, CASE WHEN regexp_full_match(typed, '[a-z]{2,32}') THEN 'en' WHEN regexp_full_match(typed, '[а-яё]{2,32}') THEN 'ru' END AS lang FROM sw), ty AS (SELECT DISTINCT lang, typed FROM (SELECT * FROM sl WHERE lang IS NOT NULL) ANTI",

@@ -2,51 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from typeloom.functions import edits as E
 from typeloom.functions import text as T
 from typeloom.functions.hashing import split_bucket
-from typeloom.operators import boundary as B
 from typeloom.operators import gestures as G
 from typeloom.operators import model as M
 from typeloom.plans.corpus import TOK, lex, sentences, tok, word_arrays
 from typeloom.plans.parsing import _PARSED
 from typeloom.sources.damaged_lines import loaded
-from typeloom.streaming.sessions import replay_stream
-from typeloom.tables import load, shared_dir, ship, spread, written
-
-
-def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lex(spark, sf_dir).where("cnt >= 2").select("word")
-
-
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences(spark, sf_dir).select(F.col("sent_id").alias("session"), F.col("sentence").alias("text"))
-
-
-def boundary_replay(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Every sentence typed anew under the sequential policy: its boundaries and what was put right."""
-    return B.replay_texts(spread(_texts(spark, sf_dir)), _known(spark, sf_dir)).groupBy("reason", "changed").agg(F.count("*").alias("n"), F.sum((F.col("erased") > 0).cast("int")).alias("n_repaired"))
-
-
-def boundary_stream(spark, sf_dir):  # noqa: ANN001, ANN201
-    """The same as a stream with a state per session, over the pairs' sources."""
-    ship(spark)
-    known = written(_known(spark, sf_dir), "known")
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = load(spark, sf_dir, "correction_pairs").schema
-    src = spark.readStream.schema(schema).parquet(f"{sf_dir}/correction_pairs.parque[t]").where("source is not null")
-    pieces = src.select(F.col("pair_id").alias("session"), F.posexplode(T.boundary_tokens(F.col("source"))).alias("seq", "piece"))
-    sep = F.when(F.col("piece").rlike(rf"[^{T.TOKEN_CLASS}]$"), F.substring("piece", -1, 1)).otherwise(" ")
-    token = F.regexp_replace("piece", rf"[^{T.TOKEN_CLASS}]$", "")
-    out = replay_stream(pieces.select("session", "seq", token.alias("token"), sep.alias("separator")), known)
-    q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out").groupBy("reason", "changed").agg(F.count("*").alias("n"))
+from typeloom.tables import load
 
 
 def offered_load(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -164,7 +131,7 @@ def majority_language(spark, sf_dir):  # noqa: ANN001, ANN201
 
 QUERIES = {
     f.__name__: f
-    for f in (boundary_replay, boundary_stream, offered_load, double_taps, rate_limited, learned_exceptions, suggestion_json, misspelling_map, ranked_list, pair_eval, positional_eval, retro_repair, training_rows, training_positions, layout_model, calibrate_threshold, confusion_matrix, majority_language)
+    for f in (offered_load, double_taps, rate_limited, learned_exceptions, suggestion_json, misspelling_map, ranked_list, pair_eval, positional_eval, retro_repair, training_rows, training_positions, layout_model, calibrate_threshold, confusion_matrix, majority_language)
 }
 _LEADS = "s AS (SELECT lead_score AS score, (verdict <> 'correct')::INT AS label FROM dev_label_review WHERE lead_score IS NOT NULL AND verdict IS NOT NULL)"
 _WS = r"list_filter(regexp_split_to_array(trim({0}, ' '), '\s+'), lambda x: x <> '')"

@@ -10,57 +10,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from typeloom.operators.boundary import RESULT, Session, complete, convert, flagged, forms, lexicon_judge
+from typeloom.operators.boundary import RESULT, Walk
 from typeloom.operators.gestures import RateLimiter
 
 
-def replay_stream(tokens: DataFrame, known: set[str] | DataFrame, kind: str = "bigint", idle: str = "1 hour", at: str | None = None) -> DataFrame:
-    """Results of a stream of ``session, seq, token, separator``; context lives in the session's state.
+def replay_stream(tokens: DataFrame, judged: DataFrame, kind: str = "bigint", idle: str = "1 hour", at: str | None = None) -> DataFrame:
+    """Results of a stream of ``session, seq, token, separator``; the session's walk is the state.
 
-    ``known`` is a bounded list, or a table with ``word`` of any size: then every form that is
-    looked up is joined with it, and the state also has the known forms of the short word that
-    may still be repaired. With ``at``, an event-time column with a watermark, the state of a
-    session ends when the watermark has passed its last token by ``idle``; without it, state is kept.
+    ``judged`` is a table of verdicts (:func:`typeloom.operators.boundary.verdicts`) of any size, joined with the stream by
+    token; a token it lacks stays as typed, with the reason ``not-judged``, and ends the context. With ``at``, an
+    event-time column with a watermark, the state of a session ends when the watermark has
+    passed its last token by ``idle``; without it, state is kept.
     """
     seconds = pd.Timedelta(idle).total_seconds()
-    joined = isinstance(known, DataFrame)
-    listed = set() if joined else known
-    if joined:
-        words = known.select(F.col("word").alias("_form")).distinct().withColumn("_known", F.lit(True))
-        names = ["session", "seq", "token", "separator", *[at] * bool(at)]
-        each = tokens.select(*names, F.posexplode_outer(forms(F.coalesce("token", F.lit("")))).alias("_at", "_form"))
-        tokens = each.join(words, "_form", "left").select(*names, F.when(F.col("_known"), F.expr("shiftleft(1, _at)")).otherwise(0).alias("flags"))
+    names = ["session", "seq", "token", "separator", *[at] * bool(at)]
+    each = tokens.select(*names).join(judged.select("token", "bits", "brief", "verdicts"), "token", "left")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        session, kept = Session(), set()
+        walk = Walk()
         if state.exists:
-            words, short, forms_of_short = state.get
-            session, kept = Session(json.loads(words), short), set(json.loads(forms_of_short))
+            last, brief = map(json.loads, state.get)
+            walk = Walk(tuple(last), tuple(brief) if brief else None)
+        rows, latest = [], 0
         f = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        if joined:  # a row for each form of a token
-            f = f.groupby("seq", sort=True, as_index=False, dropna=False).agg({c: "sum" if c == "flags" else "first" for c in f.columns if c != "seq"})
-            words = kept.union(*(flagged(t, int(n)) for t, n in zip(f["token"], f["flags"], strict=True) if n))
-        else:
-            words = listed
-        judge, rows, last = lexicon_judge(words), [], 0
-        for seq, t, sep in zip(f["seq"], f["token"], f["separator"], strict=True):
-            r = complete(session, t if isinstance(t, str) else "", sep if isinstance(sep, str) else " ", judge, words)
-            rows.append((key[0], seq, *r.values()))
+        for seq, t, sep, bits, brief, verdicts in zip(f["seq"], f["token"], f["separator"], f["bits"], f["brief"], f["verdicts"], strict=True):
+            found = (int(bits), bool(brief), verdicts) if isinstance(verdicts, str) else None
+            rows.append((key[0], seq, *walk.step(t if isinstance(t, str) else "", sep if isinstance(sep, str) else " ", found)))
         if at:
-            last = int(f[at].max().timestamp() * 1000)
-        short = session.short or ""
-        kept = words & {short.lower(), convert(short).lower()} if joined else ()
-        state.update((json.dumps(session.words, ensure_ascii=False), session.short, json.dumps(sorted(kept), ensure_ascii=False)))
+            latest = int(f[at].max().timestamp() * 1000)
+        state.update((json.dumps(walk.last), json.dumps(walk.brief, ensure_ascii=False)))
         if at:
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(seconds * 1000))
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(seconds * 1000))
         yield pd.DataFrame(rows, columns=["session", "seq", "original", "replacement", "changed", "erased", "reason"])
 
     out = f"session {kind}, seq int, {RESULT}"
     timeout = GroupStateTimeout.EventTimeTimeout if at else GroupStateTimeout.NoTimeout
-    return tokens.groupBy("session").applyInPandasWithState(run, out, "words string, short string, known string", "append", timeout)
+    return each.groupBy("session").applyInPandasWithState(run, out, "last string, brief string", "append", timeout)
 
 
 def rate_limited_stream(calls: DataFrame, kind: str = "bigint") -> DataFrame:
