@@ -174,7 +174,8 @@ def test_readers(spark, tmp_path):
 
 def judged(spark, tokens, threshold=None, **more):
     lex = spark.createDataFrame([("ru", w, 9) for w in ("привет", "мир", "не", "спасибо")] + [("en", "hello", 9)], "lang string, word string, cnt long")
-    return B.verdicts(tokens, lex, L.trigram_model(lex, "^^", F.ln(1 + F.col("cnt"))), threshold, **more)
+    spelled = more.pop("spelled", None)
+    return B.verdicts(tokens, B.form_facts(tokens, lex, L.trigram_model(lex, "^^", F.ln(1 + F.col("cnt"))), threshold, **more), spelled)
 
 
 def test_boundary_scenarios(spark):

@@ -7,7 +7,7 @@ calibration; words and sentences of all other splits are judged.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,15 +79,19 @@ class Learnt:
         """Words of the lexicon seen twice, and those of the corrected sides of the pairs."""
         return written(self.listed.select("lang", F.col("key").alias("word")).unionByName(_distinct_known(self.spark, self.sf_dir).select("lang", T.plain(F.col("word")).alias("word"))).distinct(), "known")
 
-    def evidence(self) -> C.Evidence:
-        ru = self.lexicon.where("lang = 'ru'").select(F.col("key").alias("word"), "cnt", "rank")
-        texts = L.word_arrays(sentences(self.spark, self.sf_dir).where("split = 'train'")).where("lang = 'ru'").select("lang", F.transform("ws", T.plain).alias("ws"))
-        pairs = written(L.neighbours(texts).where("cnt >= 3").select("prev", "next", "cnt"), "pairs")
+    def evidence(self, pairs: bool = True) -> C.Evidence:
+        """What spellings are judged by; without ``pairs`` whatever the word before."""
         keep = load(self.spark, self.sf_dir, "known_misspellings_review").where("verdict = 'keep' and word is not null").select("word")
         seen = self.lexicon.where("lang = 'ru' and cnt >= 5 and len >= 5").select("lang", F.col("key").alias("word")).join(self.known, ["lang", "word"], "left_anti").select("word")
         spelled = _misspellings(self.spark, self.sf_dir).groupBy(T.plain(F.col("word")).alias("word")).agg(F.min("spelled").alias("spelled"))
+        e = C.Evidence(self.ranked, self.known, spelled, seen, keep, self.exceptions)
+        if not pairs:
+            return e
+        ru = self.lexicon.where("lang = 'ru'").select(F.col("key").alias("word"), "cnt", "rank")
+        texts = L.word_arrays(sentences(self.spark, self.sf_dir).where("split = 'train'")).where("lang = 'ru'").select("lang", F.transform("ws", T.plain).alias("ws"))
+        found = written(L.neighbours(texts).where("cnt >= 3").select("prev", "next", "cnt"), "pairs")
         total = ru.agg(F.sum("cnt")).first()[0] or 1
-        return C.Evidence(self.ranked, self.known, spelled, seen, keep, self.exceptions, pairs, ru.where("rank <= 16383").select("word", "cnt"), ru.select("word", "cnt"), int(total))
+        return replace(e, pairs=found, contexts=ru.where("rank <= 16383").select("word", "cnt"), counts=ru.select("word", "cnt"), total=int(total))
 
 
 # --- layout
@@ -164,13 +168,13 @@ def typo_eval(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def _judged(spark: SparkSession, sf_dir: str, tokens: DataFrame) -> DataFrame:
-    """Verdicts of tokens, with spellings of the words in them."""
+    """Verdicts of tokens, with spellings of the words in them; only words with a capital are judged as the first of a sentence."""
     k = Learnt(spark, sf_dir)
-    cores = tokens.select(T.without_tail(T.without_head(F.col("token"), T.TYPO_HEAD), T.TYPO_TAIL).alias("w")).where(r"w rlike '^\\p{L}{4,32}$'").distinct()
-    words = cores.select(F.explode(F.array("w", Y.convert(F.col("w")))).alias("word")).where(r"word rlike '^\\p{L}{4,32}$'").distinct()
-    places = words.select("word", F.lit(None).cast("string").alias("previous"), F.explode(F.array(F.lit(False), F.lit(True))).alias("at_start"))
-    fixes = C.decisions(places, k.evidence()).where("corrected is not null").groupBy("word").agg(F.max(F.when(~F.col("at_start"), F.col("corrected"))).alias("corrected"), F.max(F.when(F.col("at_start"), F.col("corrected"))).alias("at_start"))
-    return B.verdicts(tokens, k.listed, k.model, k.threshold, k.exceptions, written(fixes, "fixes"))
+    facts = written(B.form_facts(tokens, k.listed, k.model, k.threshold, k.exceptions), "facts")
+    words = B.spelling_words(tokens, facts).select("word", F.lit(None).cast("string").alias("previous"), T.is_capitalized(F.col("word")).alias("at_start"))
+    fixes = C.decisions(words, k.evidence(pairs=False)).where("corrected is not null")
+    fixes = fixes.select("word", F.when(~F.col("at_start"), F.col("corrected")).alias("corrected"), F.when(F.col("at_start"), F.col("corrected")).alias("at_start"))
+    return B.verdicts(tokens, facts, written(fixes, "fixes"))
 
 
 def _walkable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -210,4 +214,108 @@ def boundary_stream(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 QUERIES = {f.__name__: f for f in (layout_decide, layout_compare, typo_decide, typo_eval, boundary_replay, boundary_text, boundary_stream)}
-ORACLE: dict[str, str] = {}
+
+# --- SQL
+
+_TC = T.TOKEN_CLASS.replace("'", "''")
+_PURE = lambda lang, word: f"({lang} = 'en' AND regexp_full_match({word}, '[a-z]{{2,32}}') OR {lang} = 'ru' AND regexp_full_match({word}, '[а-яё]{{2,32}}'))"
+_FREQUENT = ", ".join(f"'{w}'" for w in Y.FREQUENT)
+_WORDS = r"(SELECT sent_id, split, CASE WHEN starts_with(source, 'rus_') THEN 'ru' WHEN starts_with(source, 'eng_') THEN 'en' END AS lang, regexp_extract_all(lower(sentence), '\p{L}+') AS ws FROM sentence_corpus WHERE sentence IS NOT NULL)"
+
+
+def _grams(p: str, weight: str, of: str) -> str:
+    return f"(SELECT lang, gram, sum(w) AS weight FROM (SELECT lang, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS gram, {weight} AS w FROM (SELECT *, '{p}' || word || '$' AS p FROM {of})) GROUP BY ALL)"
+
+
+def _found(of: str) -> str:
+    """Both readings of the tokens of a table: known or not, excepted or not, and the log odds of their trigrams."""
+    return f"""(SELECT r.token, coalesce(bool_or(kn.word IS NOT NULL) FILTER (side = 'f'), false) AS fk, coalesce(bool_or(kn.word IS NOT NULL) FILTER (side = 't'), false) AS tk, bool_or(exc.token IS NOT NULL) AS ex,
+      round(max(sc.score) FILTER (side = 't') - max(sc.score) FILTER (side = 'f'), 6) AS logit FROM {of} r
+      LEFT JOIN (SELECT lang, word, avg(ln((coalesce(weight, 0) + 0.1) / (total + 0.1 * kinds))) AS score FROM (SELECT lang, word, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS gram FROM (SELECT DISTINCT lang, word, '^^' || word || '$' AS p FROM {of}))
+        LEFT JOIN m USING (lang, gram) JOIN tt USING (lang) GROUP BY lang, word) sc ON sc.lang = r.lang AND sc.word = r.word
+      LEFT JOIN (SELECT DISTINCT lang, word FROM kn) kn ON kn.lang = r.lang AND kn.word = r.word LEFT JOIN exc ON exc.token = r.word GROUP BY r.token)"""
+
+
+def _readings(of: str) -> str:
+    latin = "regexp_matches(token, '[A-Za-z]')"
+    return f"(SELECT token, 'f' AS side, CASE WHEN {latin} THEN 'en' ELSE 'ru' END AS lang, lower(token) AS word FROM {of} UNION ALL SELECT token, 't', CASE WHEN {latin} THEN 'ru' ELSE 'en' END, lower({_CONV('token')}) FROM {of})"
+
+
+_LEARNT = rf"""WITH {LEX.replace("WHERE sentence IS NOT NULL)", "WHERE sentence IS NOT NULL AND split = 'train')")},
+kn AS MATERIALIZED (SELECT * FROM lex WHERE cnt >= 2),
+m AS MATERIALIZED {_grams("^^", "ln(1 + cnt)", "kn")},
+tt AS (SELECT lang, sum(weight) AS total, count(*) AS kinds FROM m GROUP BY lang),
+exc AS (SELECT lower(gold_word) AS token FROM dev_label_review WHERE verdict = 'correct' AND gold_word IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+ca AS (SELECT DISTINCT word AS token FROM (SELECT lang, unnest(ws) AS word FROM {_WORDS} WHERE split = 'calibration') WHERE {_PURE("lang", "word")}),
+cr AS MATERIALIZED {_readings("ca")}, cf AS {_found("cr")},
+thr AS (SELECT max(logit) AS t FROM (SELECT logit, row_number() OVER (ORDER BY logit DESC) AS k, count(*) OVER () AS n FROM cf WHERE logit IS NOT NULL) WHERE k > floor(n * {ALLOWED}))"""
+
+
+def _reason(near: str) -> str:
+    return f"""CASE WHEN length(token) < 1 OR length(token) > 64 THEN 'length' WHEN ex THEN 'exception' WHEN {_shape_sql("token")} IS NOT NULL THEN {_shape_sql("token")}
+  WHEN length(token) <= 3 AND {near} AND tk AND lower(token) NOT IN ({_FREQUENT}) THEN 'context-short-word' WHEN length(token) = 1 THEN 'length' WHEN lower(token) IN ({_FREQUENT}) OR fk THEN 'known-original'
+  WHEN coalesce(logit > (SELECT t FROM thr), false) THEN 'trained-model' ELSE 'model-below-threshold' END"""
+
+
+_LAYOUT = (
+    _LEARNT
+    + rf""", pc AS (SELECT sent_id, unnest(range(len(ps))) AS pos, regexp_replace(unnest(ps), '[^{_TC}]$', '') AS token FROM (SELECT sent_id, regexp_extract_all(sentence, '[{_TC}]*[^{_TC}]|[{_TC}]+$') AS ps FROM sentence_corpus WHERE sentence IS NOT NULL)),
+pp AS (SELECT token, lag(token, 1) OVER w AS p1, lag(token, 2) OVER w AS p2 FROM pc WINDOW w AS (PARTITION BY sent_id ORDER BY pos)),
+sp AS (SELECT token, {_SCRIPT(_CONV("token"))} AS dest, {_SCRIPT("coalesce(p1, '')")} AS s1, {_SCRIPT("coalesce(p2, '')")} AS s2 FROM pp WHERE token <> ''),
+cx AS MATERIALIZED (SELECT token, dest <> 'other' AND (s1 = dest OR s2 = dest) AS near, count(*) AS n FROM sp GROUP BY ALL),
+dt AS (SELECT DISTINCT token FROM cx), rd AS MATERIALIZED {_readings("dt")}, fd AS {_found("rd")},
+dc AS (SELECT token, near, {_reason("near")} AS reason, logit, n FROM cx JOIN fd USING (token))
+SELECT token, near, reason IN ('context-short-word', 'trained-model') AS should_convert, reason, logit, n FROM dc"""
+)
+_K = "".join(NEXT_KEY), "".join(NEXT_KEY.values())
+_ENDED = lambda a, b: f"CASE WHEN ends_with(typed, '{a}') THEN substr(typed, 1, length(typed) - {len(a)}) || '{b}' END"
+_NEAR = lambda: f"CASE WHEN {_SWAP('typed', 'word', 'i')} THEN 1 ELSE levenshtein({_B('typed')}, {_B('word')}) END"
+_COST = f"""CAST(CASE WHEN dist = 2 THEN 3.2 WHEN {_SWAP('typed', 'word', 'i')} THEN 0.55 + ini
+  WHEN abs(length(typed) - length(word)) = 1 AND lang = 'ru' AND substr(CASE WHEN length(typed) > length(word) THEN typed ELSE word END, i, 1) IN ('ь', 'ъ') THEN CASE WHEN length(word) > length(typed) AND i > 1 AND substr(word, i - 1, 1) = 'ш' AND substr(word, i + 1) IN ('', 'ся') THEN 0 ELSE 0.3 END
+  WHEN abs(length(typed) - length(word)) = 1 THEN 0.75 + ini WHEN substr(typed, i + 1) = substr(word, i + 1) AND substr(typed, i, 1) || substr(word, i, 1) IN ({_ADJ}) THEN 0.65 + ini ELSE 1.0 + ini END AS DOUBLE)"""
+_CANDS = lambda words, typed, more: f"""(SELECT *, -ln(rank + 15) - 1.5 * {_COST} + bonus AS score FROM (SELECT *, {_NEAR()} AS dist, CASE WHEN lang = 'ru' AND i = 1 THEN 0.5 ELSE 0 END AS ini FROM (SELECT *, {_MIS('typed', 'word')} AS i FROM (SELECT DISTINCT lang, typed, word, rank, bonus{more} FROM
+  (SELECT lang, typed, unnest(CASE WHEN length(typed) >= 8 AND lang = 'en' THEN {_DEL2('typed')} ELSE {_DEL('typed')} END) AS k FROM {typed}) JOIN (SELECT *, unnest(CASE WHEN rank <= 15000 AND lang = 'en' THEN {_DEL2('word')} ELSE {_DEL('word')} END) AS k FROM {words}) USING (lang, k))))
+  WHERE dist = 1 OR dist = 2 AND lang = 'en' AND length(typed) >= 8 AND rank <= 10000)"""
+_SPELLING = (
+    _LEARNT
+    + rf"""{_PAIR_KNOWN}, {_MISSP.replace("mis AS (", "mi AS (")},
+mis AS (SELECT translate(typed, 'ё', 'е') AS word, min(spelled) AS spelled FROM mi GROUP BY 1),
+kw AS MATERIALIZED (SELECT lang, key AS word FROM kn UNION SELECT lang, translate(word, 'ё', 'е') FROM pk),
+r0 AS (SELECT lang, key AS word, word AS shown, rank FROM lex WHERE cnt >= 3), m1 AS MATERIALIZED {_grams("^", "1 / sqrt(rank)", "r0")}, t1 AS (SELECT lang, sum(weight) AS total FROM m1 GROUP BY lang),
+ls AS (SELECT lang, word, avg(ln((weight + 0.05) / (total + 0.05 * CASE WHEN lang = 'ru' THEN 33 * 33 * 33 ELSE 26 * 26 * 26 END))) AS language FROM (SELECT lang, word, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS gram FROM (SELECT *, '^' || word || '$' AS p FROM r0)) JOIN m1 USING (lang, gram) JOIN t1 USING (lang) GROUP BY lang, word),
+rt AS (SELECT DISTINCT word AS token FROM r0), rr AS MATERIALIZED {_readings("rt")}, rf AS {_found("rr")},
+rk AS MATERIALIZED (SELECT r0.*, round(0.65 * language + 0.3 * ln(greatest(1e-6, 1 / (1 + exp(-greatest(-30, least(30, coalesce((SELECT t FROM thr), 0) - coalesce(logit, 0))))))), 6) AS bonus FROM r0 JOIN ls USING (lang, word) LEFT JOIN rf ON rf.token = r0.word),
+s0 AS (SELECT sent_id, lang, ws, list_filter(range(1, len(ws) + 1), lambda i: length(ws[i]) >= 4 AND CASE WHEN lang = 'en' THEN regexp_full_match(ws[i], '[a-z]{{2,32}}') WHEN lang = 'ru' THEN regexp_full_match(ws[i], '[а-яё]{{2,32}}') ELSE false END)[1] AS p FROM {_WORDS} WHERE split IN ('dev', 'final')),
+s1 AS (SELECT sent_id, lang, ws[p] AS w, CASE WHEN p > 1 THEN translate(ws[p - 1], 'ё', 'е') END AS previous, p = 1 AS at_start FROM s0 WHERE p IS NOT NULL),
+s2 AS (SELECT *, CASE WHEN sent_id % 3 = 0 OR sent_id % 3 = 1 AND substr(w, {_I}, 1) = substr(w, {_I} + 1, 1) THEN substr(w, 1, {_I} - 1) || substr(w, {_I} + 1)
+  WHEN sent_id % 3 = 1 THEN substr(w, 1, {_I} - 1) || substr(w, {_I} + 1, 1) || substr(w, {_I}, 1) || substr(w, {_I} + 2) ELSE substr(w, 1, {_I} - 1) || translate(substr(w, {_I}, 1), '{_K[0]}', '{_K[1]}') || substr(w, {_I} + 1) END AS slip FROM s1),
+w0 AS (SELECT DISTINCT CASE WHEN at_start THEN upper(substr(slip, 1, 1)) || substr(slip, 2) ELSE slip END AS word, previous, at_start FROM s2 WHERE slip <> w),
+w1 AS (SELECT *, at_start AND regexp_full_match(word, '[А-Яа-яЁё]+') AND regexp_full_match(word, '\p{{Lu}}[^\p{{Lu}}]+') AS capital FROM w0),
+w2 AS (SELECT *, translate(CASE WHEN capital THEN lower(substr(word, 1, 1)) || substr(word, 2) ELSE word END, 'ё', 'е') AS typed FROM w1),
+w3 AS (SELECT *, CASE WHEN regexp_full_match(typed, '[а-я]+') THEN 'ru' WHEN regexp_full_match(typed, '[a-z]+') THEN 'en' END AS lang FROM w2),
+sn AS (SELECT key AS word FROM lex WHERE lang = 'ru' AND cnt >= 5 AND len >= 5 AND key NOT IN (SELECT word FROM kw WHERE lang = 'ru')),
+co AS (SELECT DISTINCT translate(lower(word), 'ё', 'е') AS word FROM known_misspellings_review WHERE verdict = 'keep' AND word IS NOT NULL),
+w4 AS MATERIALIZED (SELECT w3.*, spelled, CASE WHEN NOT regexp_full_match(typed, '\p{{L}}{{4,32}}') THEN 'protected-shape' WHEN regexp_matches(typed, '\p{{Lu}}') THEN 'protected-case' WHEN w3.lang IS NOT NULL AND typed IN (SELECT translate(token, 'ё', 'е') FROM exc) THEN 'exception' WHEN w3.lang IS NULL THEN 'protected-script'
+  WHEN w3.lang = 'ru' AND length(typed) < 5 THEN 'protected-shape' WHEN spelled IS NOT NULL THEN 'typo-known-misspelling' WHEN kw.word IS NOT NULL THEN 'known-original' WHEN w3.lang = 'ru' AND typed IN (SELECT word FROM sn) THEN 'known-corpus' WHEN w3.lang = 'ru' AND typed IN (SELECT word FROM co) THEN 'colloquial' END AS early
+  FROM w3 LEFT JOIN mis ON w3.lang = 'ru' AND mis.word = typed LEFT JOIN kw ON kw.lang = w3.lang AND kw.word = typed),
+ru AS (SELECT key AS word, cnt, rank FROM lex WHERE lang = 'ru'), tot AS (SELECT sum(cnt) AS n FROM ru), cxw AS (SELECT word, cnt FROM ru WHERE rank <= 16383),
+nb AS (SELECT prev, next, count(*) AS cnt FROM (SELECT translate(word, 'ё', 'е') AS prev, translate(lead(word) OVER (PARTITION BY sent_id ORDER BY pos), 'ё', 'е') AS next FROM tok WHERE lang = 'ru') WHERE next IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+rw0 AS (SELECT typed, previous, coalesce({_ENDED("ться", "тся")}, {_ENDED("тся", "ться")}) AS other FROM (SELECT DISTINCT typed, previous FROM w4 WHERE lang = 'ru' AND early = 'known-original' AND previous IS NOT NULL AND length(typed) >= 5)),
+rw AS (SELECT typed, rw0.previous, other AS fixed, ln((coalesce(a.cnt, 0) + 0.5) / (coalesce(b.cnt, 0) + 0.5)) AS fm FROM rw0 JOIN rk ON rk.lang = 'ru' AND rk.word = other AND rk.rank <= 50000 JOIN cxw ON cxw.word = rw0.previous LEFT JOIN nb a ON a.prev = rw0.previous AND a.next = other LEFT JOIN nb b ON b.prev = rw0.previous AND b.next = typed WHERE other NOT IN (SELECT word FROM mis) AND coalesce(a.cnt, 0) >= 20),
+op AS (SELECT DISTINCT lang, typed, previous FROM w4 WHERE early IS NULL), ot AS (SELECT DISTINCT lang, typed FROM op),
+cd AS (SELECT * FROM {_CANDS("rk", "ot", ", shown")} WHERE lang <> 'ru' OR word NOT IN (SELECT word FROM mis)),
+sd AS (SELECT op.lang, op.typed, op.previous, cd.word, shown, cd.rank, CASE WHEN op.lang = 'ru' AND cxw.word IS NOT NULL AND ru.word IS NOT NULL THEN ln((coalesce(nb.cnt, 0) + 2.0) / (cxw.cnt * ru.cnt / (SELECT n FROM tot) + 2.0)) ELSE 0.0 END AS lift, score AS base
+  FROM op JOIN cd ON cd.lang = op.lang AND cd.typed = op.typed LEFT JOIN cxw ON cxw.word = op.previous LEFT JOIN ru ON ru.word = cd.word LEFT JOIN nb ON nb.prev = op.previous AND nb.next = cd.word),
+bs AS (SELECT *, base + 0.5 * lift AS score, row_number() OVER w AS place, lead(base + 0.5 * lift) OVER w AS second FROM sd WINDOW w AS (PARTITION BY lang, typed, previous ORDER BY base + 0.5 * lift DESC, rank, word)),
+fo AS (SELECT k.lang, k.word, r.rank, 0.0 AS bonus FROM kw k JOIN (SELECT lang, max(rank) + 1 AS rank FROM rk GROUP BY lang) r USING (lang) WHERE k.lang = 'ru' AND k.word NOT IN (SELECT word FROM rk WHERE lang = 'ru') AND k.word NOT IN (SELECT word FROM mis)),
+bt AS (SELECT DISTINCT lang, typed FROM bs WHERE lang = 'ru'), rv AS (SELECT lang, typed, max(score) AS rival FROM {_CANDS("fo", "bt", "")} GROUP BY ALL),
+jn AS (SELECT w4.*, fixed, fm, shown, rank, score, CASE WHEN second IS NULL THEN 4.0 ELSE score - second END AS lead0, lift, rival FROM w4 LEFT JOIN rw ON rw.typed = w4.typed AND rw.previous = w4.previous AND w4.lang = 'ru' AND fm >= 3.0
+  LEFT JOIN (SELECT * FROM bs WHERE place = 1) b ON b.lang = w4.lang AND b.typed = w4.typed AND b.previous IS NOT DISTINCT FROM w4.previous LEFT JOIN rv ON rv.lang = w4.lang AND rv.typed = w4.typed),
+ld AS (SELECT *, CASE WHEN lang = 'ru' AND rival IS NOT NULL THEN least(lead0, score - rival) ELSE lead0 END AS ld FROM jn),
+rs AS (SELECT *, CASE WHEN fixed IS NOT NULL THEN 'typo-context-tsya' WHEN early IS NOT NULL THEN early WHEN shown IS NULL THEN 'no-candidate' WHEN lead0 < 2.2 OR rank > CASE WHEN lang = 'ru' THEN 50000 ELSE 12000 END THEN 'ambiguous-candidate'
+  WHEN lang = 'ru' AND rival IS NOT NULL AND score - rival < 2.2 THEN 'ambiguous-form' WHEN lang = 'ru' AND ld < 4.0 THEN 'ambiguous-candidate' ELSE 'typo' END AS reason FROM ld),
+fx AS (SELECT *, CASE reason WHEN 'typo-context-tsya' THEN fixed WHEN 'typo-known-misspelling' THEN spelled WHEN 'typo' THEN shown END AS rgt, CASE reason WHEN 'typo-context-tsya' THEN fm WHEN 'typo-known-misspelling' THEN 5.0 WHEN 'typo' THEN ld END AS sure FROM rs),
+fin AS (SELECT *, capital AND rgt IS NOT NULL AND sure < 4.0 AS weak FROM fx)
+SELECT word, previous, at_start, CASE WHEN weak THEN NULL WHEN capital THEN upper(substr(rgt, 1, 1)) || substr(rgt, 2) ELSE rgt END AS corrected, CASE WHEN weak THEN 'ambiguous-capital' ELSE reason END AS reason, CASE WHEN NOT weak THEN round(sure, 5) END AS margin FROM fin"""
+)
+ORACLE = {"layout_decide": _LAYOUT, "typo_decide": _SPELLING}
