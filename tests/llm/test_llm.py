@@ -37,8 +37,8 @@ def test_overlaps_against_brute_force(spark):
     rows += [(1000, "train", None), (1001, None, "alpha"), (1002, "dev", ""), (1003, "dev", " . "), (1004, "train", "long " * 20_000 + "tail"), (1005, "dev", "tail long"), (0, rows[0][1], rows[0][2])]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "sent_id long, split string, sentence string, hs string")
     want = jaccard_pairs(rows)
-    for rare in (None, 0, 3, 30):
-        assert {(r.id_train, r.id_other) for r in cross_split.overlapping(df, rare=rare).collect()} == want
+    for rare, often in ((50, None), (0, 0), (3, 3), (3, 30), (0, 30), (30, 1000)):
+        assert {(r.id_train, r.id_other) for r in cross_split.overlapping(df, rare=rare, often=often).collect()} == want
     assert cross_split.overlapping(df.limit(0)).count() == 0
 
 
@@ -52,8 +52,8 @@ def test_long_records_against_brute_force(spark):
             w ^= {x}
         rows.append((i, rnd.choice(["train", "dev"]), " ".join(sorted(w))))
     df = spark.createDataFrame(rows, "sent_id long, split string, sentence string")
-    for rare in (0, 20, 1000):
-        assert {(r.id_train, r.id_other) for r in cross_split.overlapping(df, rare=rare).collect()} == jaccard_pairs(rows)
+    for rare, often in ((0, 0), (20, 20), (20, 60), (0, 1000), (1000, 1000)):
+        assert {(r.id_train, r.id_other) for r in cross_split.overlapping(df, rare=rare, often=often).collect()} == jaccard_pairs(rows)
 
 
 def test_overlap_fractions(spark):

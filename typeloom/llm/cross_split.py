@@ -11,13 +11,14 @@ of a frequent word alone are shared by so many records that pairs grow as the sq
 of the data. :func:`overlapping` therefore joins pieces that can miss no pair:
 
 * Two records with similarity ``t`` share all but ``n - ceil(t n)`` of the ``n`` words of
-  either. If they share a rare word, the rarest shared one lies among the first
-  ``n - ceil(t n) + 1`` words of both: each rare word there is a piece.
-* If all they share is frequent, the first three shared words lie among the first
-  ``n - ceil(t n) + 3`` words of both: every three frequent words there are a piece, and
-  only records that have enough frequent words for such a partner have any.
-* Records of more than ``LONG`` words would have too many threes; among them, single
-  frequent words are pieces of their own kind. Records of one or two words are one piece.
+  either, so their first ``k`` shared words lie among the first ``n - ceil(t n) + k`` words of both.
+* If the rarest word they share is in at most ``rare`` records, it is a piece by itself:
+  such pieces join a record with a bounded number of others, however much data there is.
+* If it is in more, but in at most ``often``, it is a piece together with the next shared word:
+  every two words there are, the first of them no more frequent than that.
+* If all they share is more frequent, three of them are a piece.
+* Records of more than ``LONG`` words would have too many twos and threes; among them, single
+  words are pieces of their own kind. Records of one or two words are one piece.
 
 The word order comes from counts over all records in a table of ``2**bits`` hash
 buckets, at most 2**22 numbers (16 MB) however much data there is, so it can be sent
@@ -100,7 +101,7 @@ def cut(v: np.ndarray, offsets: np.ndarray, counts: np.ndarray, limit: int) -> t
 LONG = 40
 
 
-def pieces(v: np.ndarray, offsets: np.ndarray, counts: np.ndarray, rare: int, tenths: int) -> tuple[np.ndarray, np.ndarray]:
+def pieces(v: np.ndarray, offsets: np.ndarray, counts: np.ndarray, rare: int, often: int, tenths: int) -> tuple[np.ndarray, np.ndarray]:
     """Record and digest of every piece of records given as concatenated distinct word hashes ``v``."""
     n = np.diff(offsets)
     row = np.repeat(np.arange(len(n)), n)
@@ -110,35 +111,43 @@ def pieces(v: np.ndarray, offsets: np.ndarray, counts: np.ndarray, rare: int, te
     u, c = _mixed(u[order]), c[order]
     pos = np.arange(len(u)) - np.repeat(offsets[:-1], n)
     spare = n - (tenths * n + 9) // 10
-    often = c > rare
-    frequent = np.bincount(row[often], minlength=len(n))
     first = pos <= spare[row]
-    one = first & ~often & (c > 1)  # a word of one record only is shared with none
+    one = first & (c <= rare) & (c > 1)  # a word of one record only is shared with none
     rows, digests = [row[one]], [u[one]]
-    long = first & often & (n[row] > LONG * tenths // 10)
+    long = first & (c > rare) & (n[row] > LONG * tenths // 10)
     rows.append(row[long])
     digests.append(_mixed(u[long] ^ _M1))
     tiny = np.flatnonzero((n > 0) & (n <= 2))
     if len(tiny):
         rows.append(tiny)
         digests.append(_mixed(np.add.reduceat(u, offsets[:-1][n > 0])[(n[n > 0] <= 2)] ^ _M2))
-    at = n - frequent
-    k = np.minimum(spare + 3 - at, frequent)
-    able = (n >= 3) & (n <= LONG) & (frequent >= n - spare) & (k >= 3)
-    for size in np.unique(k[able]).tolist():
-        r = np.flatnonzero(able & (k == size))
-        words = u[(offsets[r] + at[r])[:, None] + np.arange(size)]
-        i, j, m = np.array(list(combinations(range(size), 3))).T
-        three = _mixed(_mixed(words[:, i] * _M2 ^ words[:, j]) * _M2 ^ words[:, m])
-        rows.append(np.repeat(r, len(i)))
-        digests.append(three.ravel())
+
+    def several(many: int, begin: np.ndarray, leading: np.ndarray, mark: np.uint64) -> None:
+        """Every ``many`` words from ``begin`` on of those among which the first so many shared ones lie, led by one of the first ``leading``."""
+        size = np.minimum(spare + many, n) - begin
+        able = (n >= 3) & (n <= LONG) & (begin <= spare) & (size >= many) & (leading > 0)
+        kind = size * (LONG + 1) + np.minimum(leading, size)
+        for k in np.unique(kind[able]).tolist():
+            r = np.flatnonzero(able & (kind == k))
+            words = u[(offsets[r] + begin[r])[:, None] + np.arange(k // (LONG + 1))]
+            picks = np.array([x for x in combinations(range(k // (LONG + 1)), many) if x[0] < k % (LONG + 1)]).T
+            made = words[:, picks[0]]
+            for p in picks[1:]:
+                made = _mixed(made * _M2 ^ words[:, p])
+            rows.append(np.repeat(r, picks.shape[1]))
+            digests.append(_mixed(made ^ mark).ravel())
+
+    at_most = lambda limit: np.bincount(row[c <= limit], minlength=len(n))
+    few, some = at_most(rare), at_most(max(rare, often))
+    several(2, few, some - few, np.uint64(2))
+    several(3, some, n - some, np.uint64(3))
     return np.concatenate(rows), np.concatenate(digests).view(np.int64)
 
 
 _KEYS = pa.schema([("digest", pa.int64()), ("set_h", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("train", pa.bool_())])
 
 
-def piece_keys(sets: DataFrame, counts: np.ndarray, rare: int, tenths: int) -> DataFrame:
+def piece_keys(sets: DataFrame, counts: np.ndarray, rare: int, often: int, tenths: int) -> DataFrame:
     """The digests by which each distinct word set is joined, copies within a task mostly left out."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
@@ -160,7 +169,7 @@ def piece_keys(sets: DataFrame, counts: np.ndarray, rare: int, tenths: int) -> D
             v = hs.values.to_numpy()[off[0] : off[-1]]
             off = off - off[0]
             sig = np.bitwise_or.reduceat(np.uint64(1) << (v.view(np.uint64) >> np.uint64(58)), off[:-1]).view(np.int64)
-            row, digest = pieces(v, off, shared.value, rare, tenths)
+            row, digest = pieces(v, off, shared.value, rare, often, tenths)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(digest), b.column("set_h").take(take), pa.array(sig[row]), pa.array(np.diff(off)[row].astype(np.int32)), b.column("train").take(take)], schema=_KEYS)
 
@@ -168,19 +177,19 @@ def piece_keys(sets: DataFrame, counts: np.ndarray, rare: int, tenths: int) -> D
 
 
 def overlapping(
-    df: DataFrame, id_col: str = "sent_id", split_col: str = "split", text_col: str = "sentence", tenths: int = 7, rare: int | None = None, bits: int | None = None
+    df: DataFrame, id_col: str = "sent_id", split_col: str = "split", text_col: str = "sentence", tenths: int = 7, rare: int = 50, often: int | None = None, bits: int | None = None
 ) -> DataFrame:
     """``id_train, id_other, shared, n_train, n_other``: every pair of a train record and one of another split whose distinct words agree to ``tenths``/10.
 
     Null or wordless texts and null splits pair with nothing; an empty table gives an
     empty result; repeated rows give a pair each. Copies of one text are joined as one
-    word set and expanded at the end, because the pairs of rows are the result. Words
-    in more than ``rare`` records, by default a slowly growing number, are frequent.
+    word set and expanded at the end, because the pairs of rows are the result. ``rare`` and ``often``
+    (by default the square root of the number of records) tell which pieces there are, not which pairs.
     """
     sets = written(word_sets(df, id_col, split_col, text_col), "word-sets")
     total = sets.count()
     counts = bucket_counts(sets, bits or min(22, max(12, total.bit_length() - 3)))
-    keys = piece_keys(sets.select("hs", "set_h", "train"), counts, max(50, int(total**0.4)) if rare is None else rare, tenths)
+    keys = piece_keys(sets.select("hs", "set_h", "train"), counts, rare, int(total**0.5) if often is None else often, tenths)
     a = keys.where("train").select("digest", F.col("set_h").alias("set_a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     b = keys.where("not train").select("digest", F.col("set_h").alias("set_b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
     # |A xor B| <= (1 - 2t/(1+t)) (|A|+|B|), and the signatures differ in no more bits than the sets in words
