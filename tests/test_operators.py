@@ -10,6 +10,7 @@ from typeloom.operators import decide as D
 from typeloom.operators import gestures as G
 from typeloom.operators import lexicon as L
 from typeloom.operators import model as M
+from typeloom.sources import artifacts as A
 from typeloom.sources import readers as R
 from typeloom.streaming.sessions import counted_stream, rate_limited_stream, replay_stream
 from typeloom.tables import written
@@ -291,6 +292,29 @@ def test_layout_model_sees_protected_shapes(spark, monkeypatch):
     assert {r.token for r in seen[0].collect()} == {r.token for r in M.training_rows(frame).collect()}
 
 
+def test_artifacts_tell_damage(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, None), ("b", 2, 0.5)], "word string, cnt int, w double")
+    A.write_artifact(df, str(tmp_path / "x"), "counts", ["word"])
+    assert sorted(map(tuple, A.read_artifact(spark, str(tmp_path / "x"), "counts").collect())) == [("a", 1, None), ("b", 2, 0.5)]
+    with pytest.raises(ValueError, match="holds no weights"):
+        A.read_artifact(spark, str(tmp_path / "x"), "weights")
+    spark.createDataFrame([("a", 1, None), ("b", 3, 0.5)], df.schema).write.mode("overwrite").parquet(str(tmp_path / "x" / "data"))
+    with pytest.raises(ValueError, match="is not what was written"):
+        A.read_artifact(spark, str(tmp_path / "x"), "counts")
+
+
+def test_suggestions_buffers_and_stale_results(spark):
+    rows = [(1, "Я бду там", '{"matches":[{"offset":2,"length":3,"replacements":[{"value":"буду"},{"value":"бду"}]},{"offset":0,"length":1,"replacements":[]},{"offset":90,"length":1,"replacements":[{"value":"x"}]}]}'), (2, "ok", "no json"), (3, "ok", None)]
+    df = spark.createDataFrame(rows, "id long, t string, answer string")
+    assert {r.id: r.edited for r in G.edited(G.with_suggestions(df, "answer"), "t", "edits").collect()} == {1: "Я буду там", 2: "ok", 3: "ok"}
+    w = G.WordBuffer(longest=5)
+    feed = lambda *steps: [w.feed(*s) for s in steps][-1]
+    assert feed(("text", "ghbx"), ("back",), ("text", "d"), ("end",)) == "ghbd" and feed(("text", "a"), ("move",), ("end",)) is None
+    assert feed(("text", "abcdef"), ("back",), ("end",)) is None and feed(("text", "/"), ("text", "x"), ("end",)) is None and feed(("text", "ok"), ("end",)) == "ok"
+    res = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 5, "x"), (3, 1, "y")], "session long, revision long, r string")
+    assert {r.r for r in G.current(res, spark.createDataFrame([(1, 2), (1, 1), (2, 6)], "session long, revision long")).collect()} == {"new"}
+
+
 def test_entry_lists_queries():
     import __spark_entry__ as e
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,6 +123,39 @@ def edited(df: DataFrame, text: str, edits: str, to: str = "edited") -> DataFram
     return df.withColumn(to, F.aggregate(c, start, step, lambda s: s["text"]))
 
 
-def suggestions(response: Iterator[dict]) -> list[tuple[int, int, str]]:
-    """First replacement of every match of a checker's response; empty ones are dropped."""
-    return [(m["offset"], m["length"], m["replacements"][0]) for m in response if m.get("replacements") and m["replacements"][0]]
+#: What is read of a checker's answer.
+ANSWER = "matches array<struct<offset:int,length:int,replacements:array<struct<value:string>>>>"
+
+
+def with_suggestions(df: DataFrame, answer: str, to: str = "edits") -> DataFrame:
+    """Adds ``to``: offset, length and first replacement of every match in a checker's JSON ``answer``; matches without one are left out, no JSON gives none."""
+    found = F.from_json(answer, ANSWER)["matches"]
+    each = F.transform(found, lambda m: F.struct(m["offset"].alias("offset"), m["length"].alias("length"), F.get(m["replacements"], F.lit(0))["value"].alias("replacement")))
+    none = F.array().cast("array<struct<offset:int,length:int,replacement:string>>")
+    return df.withColumn(to, F.coalesce(F.filter(each, lambda e: F.coalesce(e["replacement"], F.lit("")) != ""), none))
+
+
+class WordBuffer:
+    """The word being typed: a backspace shortens it, a command or a change of place forgets it, and an overlong or marked one is suppressed until the next word."""
+
+    def __init__(self, longest: int = 80, marks: str = "/@#") -> None:
+        self.longest, self.marks, self.text, self.valid = longest, marks, "", True
+
+    def feed(self, kind: str, text: str = "") -> str | None:
+        """``kind`` is ``text``, ``back``, ``end`` (a separator; gives the word or None where it is suppressed) or anything that forgets."""
+        if kind == "text":
+            self.text += text
+            self.valid = self.valid and len(self.text) <= self.longest and self.text[:1] not in self.marks
+        elif kind == "back":
+            self.text = self.text[:-1]
+        else:
+            out = self.text if self.valid and self.text else None
+            self.text, self.valid = "", True
+            return out if kind == "end" else None
+        return None
+
+
+def current(results: DataFrame, state: DataFrame, key: str = "session", version: str = "revision") -> DataFrame:
+    """The rows of ``results(key, version)`` made for the version that ``state(key, version)`` is at; stale ones, and those of unknown keys, are dropped."""
+    latest = state.groupBy(key).agg(F.max(version).alias("_at"))
+    return results.join(latest, key).where(F.col(version) == F.col("_at")).drop("_at")

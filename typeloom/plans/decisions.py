@@ -227,13 +227,6 @@ def fixed_within_k(spark, sf_dir):  # noqa: ANN001, ANN201
     return hit.withColumn("fixed", F.sum("n").over(Window.partitionBy("lang").orderBy("press"))).select("lang", "press", "fixed")
 
 
-def reviewed_metrics(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Reviewed changes by verdict and lead: what the reviewers say of each whole step of lead."""
-    r = load(spark, sf_dir, "dev_label_review")
-    verdict = F.coalesce("verdict", F.lit("unreviewed"))
-    return r.groupBy("set_name", F.floor("lead_score").alias("lead"), verdict.alias("verdict")).agg(F.count("*").alias("n"), F.sum((F.lower("gold_word") == F.lower("proposed")).cast("int")).alias("n_equal"))
-
-
 def kwic_context(spark, sf_dir):  # noqa: ANN001, ANN201
     """The judged word of each context and its surroundings cut to 40 characters."""
     r = load(spark, sf_dir, "dev_label_review").where("context is not null")
@@ -290,7 +283,7 @@ def _kind_sql(a: str, b: str) -> str:
 _MISSP = "mis AS (SELECT lower(word) AS typed, min(lower(CASE WHEN verdict = 'misspelling-other' AND intended IS NOT NULL THEN intended ELSE proposed END)) AS spelled FROM known_misspellings_review WHERE word IS NOT NULL AND verdict IN ('misspelling', 'misspelling-other') GROUP BY 1 HAVING spelled IS NOT NULL)"
 QUERIES = {
     f.__name__: f
-    for f in (layout_convert, structured_tokens, layout_detect_legacy, layout_decisions_legacy, layout_eval, inject_typos, deletes_index, single_edits, typo_candidates, edit_costs, typo_best, alternatives, misspelling_export, misspelling_patterns, threshold_sweep, outcome_by_distance, fixed_within_k, reviewed_metrics, kwic_context)
+    for f in (layout_convert, structured_tokens, layout_detect_legacy, layout_decisions_legacy, layout_eval, inject_typos, deletes_index, single_edits, typo_candidates, edit_costs, typo_best, alternatives, misspelling_export, misspelling_patterns, threshold_sweep, outcome_by_distance, fixed_within_k, kwic_context)
 }
 ORACLE = {
     "layout_convert": f"WITH {TOK} SELECT word, {_CONV('word')} AS converted, {_letters_sql('word')} AS letters_converted, {_SCRIPT('word')} AS script, {_SCRIPT(_CONV('word'))} AS target_script, {_CONV(_CONV('word'))} = word AS reversible FROM (SELECT DISTINCT word FROM tok)",
@@ -313,5 +306,4 @@ ORACLE = {
     + "SELECT lang, threshold, CAST(sum((margin >= threshold - 1e-9 AND word = intended)::INT) AS BIGINT) AS n_right, CAST(sum((margin >= threshold - 1e-9 AND word <> intended)::INT) AS BIGINT) AS n_wrong FROM (SELECT inj.lang, intended, top.word, margin, unnest([0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0])::DOUBLE AS threshold FROM inj JOIN top USING (lang, typed)) GROUP BY ALL",
     "outcome_by_distance": _TYPOS + 'SELECT lang, CAST(least(dist, 3) AS INT) AS distance, count(*) FILTER (word = intended) AS "right", count(*) FILTER (word <> intended) AS wrong FROM inj JOIN top USING (lang, typed) GROUP BY ALL',
     "fixed_within_k": _TYPOS + "SELECT lang, press, CAST(sum(n) OVER (PARTITION BY lang ORDER BY press) AS BIGINT) AS fixed FROM (SELECT inj.lang, place AS press, count(*) AS n FROM inj JOIN bst ON bst.lang = inj.lang AND bst.typed = inj.typed AND bst.word = inj.intended WHERE place <= 5 GROUP BY ALL)",
-    "reviewed_metrics": "SELECT set_name, CAST(floor(lead_score) AS BIGINT) AS lead, coalesce(verdict, 'unreviewed') AS verdict, count(*) AS n, CAST(sum((lower(gold_word) = lower(proposed))::INT) AS BIGINT) AS n_equal FROM dev_label_review GROUP BY ALL",
 }

@@ -35,7 +35,7 @@ def learned_exceptions(spark, sf_dir):  # noqa: ANN001, ANN201
     return G.learned_exceptions(load(spark, sf_dir, "dev_label_review").where("verdict = 'correct'"), "gold_word")
 
 
-def suggestion_json(spark, sf_dir):  # noqa: ANN001, ANN201
+def event_fields(spark, sf_dir):  # noqa: ANN001, ANN201
     """Fields of the events' JSON, taken by a fixed schema."""
     e = load(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
     return e.select(F.explode("m").alias("field", "value")).groupBy("field").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
@@ -74,7 +74,7 @@ def positional_eval(spark, sf_dir):  # noqa: ANN001, ANN201
     return p.groupBy("set_name").agg(F.sum(F.greatest(F.size("x"), F.size("y"))).alias("n_words"), F.sum(same).alias("n_same"), F.sum((F.size("x") != F.size("y")).cast("int")).alias("n_misaligned"))
 
 
-def retro_repair(spark, sf_dir):  # noqa: ANN001, ANN201
+def script_changes(spark, sf_dir):  # noqa: ANN001, ANN201
     """Short words whose successor is of the other script: those a look-ahead would repair."""
     n = F.size("ws")
     each = F.arrays_zip(F.slice("ws", 1, n - 1).alias("word"), F.slice("ws", 2, n - 1).alias("next"))
@@ -131,7 +131,7 @@ def majority_language(spark, sf_dir):  # noqa: ANN001, ANN201
 
 QUERIES = {
     f.__name__: f
-    for f in (offered_load, double_taps, rate_limited, learned_exceptions, suggestion_json, misspelling_map, ranked_list, pair_eval, positional_eval, retro_repair, training_rows, training_positions, layout_model, calibrate_threshold, confusion_matrix, majority_language)
+    for f in (offered_load, double_taps, rate_limited, learned_exceptions, event_fields, misspelling_map, ranked_list, pair_eval, positional_eval, script_changes, training_rows, training_positions, layout_model, calibrate_threshold, confusion_matrix, majority_language)
 }
 _LEADS = "s AS (SELECT lead_score AS score, (verdict <> 'correct')::INT AS label FROM dev_label_review WHERE lead_score IS NOT NULL AND verdict IS NOT NULL)"
 _WS = r"list_filter(regexp_split_to_array(trim({0}, ' '), '\s+'), lambda x: x <> '')"
@@ -139,12 +139,12 @@ ORACLE = {
     "offered_load": "SELECT user_id, max(n) AS most, CAST(sum((n > 17)::INT) AS BIGINT) AS n_over FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY user_id",
     "double_taps": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS k, lag(epoch_us(ts)) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k = event_type AND epoch_us(ts) - t <= 3600000000",
     "learned_exceptions": "SELECT lower(gold_word) AS token, count(*) AS n FROM dev_label_review WHERE verdict = 'correct' AND gold_word IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
-    "suggestion_json": "WITH k AS (SELECT props, unnest(json_keys(props)) AS field FROM events) SELECT field, count(*) AS n, count(DISTINCT json_extract_string(props, '$.\"' || field || '\"')) AS n_values FROM k GROUP BY field",
+    "event_fields": "WITH k AS (SELECT props, unnest(json_keys(props)) AS field FROM events) SELECT field, count(*) AS n, count(DISTINCT json_extract_string(props, '$.\"' || field || '\"')) AS n_values FROM k GROUP BY field",
     "misspelling_map": _PARSED + "SELECT translate(lower(cols[1]), 'ё', 'е') AS word, (max({'f': coalesce(file_name, ''), 'l': coalesce(line_no, 0), 'r': raw_id, 's': lower(cols[2])})).s AS spelled, count(*) AS n FROM c WHERE reason IS NULL AND layout = 'pairs' GROUP BY 1",
     "ranked_list": _PARSED
     + r", w AS (SELECT file_name, line_no, raw_id, lower(cols[2]) AS word, translate(lower(cols[2]), 'ё', 'е') AS key FROM c WHERE reason IS NULL AND layout = 'words' AND regexp_full_match(lower(cols[2]), '\p{L}{2,32}')), f AS (SELECT *, row_number() OVER (PARTITION BY file_name, key ORDER BY line_no, raw_id) AS k FROM w) SELECT file_name, word, key, row_number() OVER (PARTITION BY file_name ORDER BY line_no, raw_id) AS rank FROM f WHERE k = 1",
     "positional_eval": f"WITH p AS (SELECT pair_id, min(set_name) AS set_name, min(source) AS a, min(correction) AS b FROM correction_pairs WHERE source IS NOT NULL AND correction IS NOT NULL GROUP BY pair_id), w AS (SELECT set_name, {_WS.format('a')} AS x, {_WS.format('b')} AS y FROM p) SELECT set_name, CAST(sum(greatest(len(x), len(y))) AS BIGINT) AS n_words, CAST(sum(len(list_filter(range(1, greatest(len(x), len(y)) + 1), lambda i: coalesce(x[i], '') = coalesce(y[i], '')))) AS BIGINT) AS n_same, CAST(sum((len(x) <> len(y))::INT) AS BIGINT) AS n_misaligned FROM w GROUP BY set_name",
-    "retro_repair": f"WITH {TOK}, n AS (SELECT word, lead(word) OVER (PARTITION BY sent_id ORDER BY pos) AS next FROM tok) SELECT word, count(*) AS n, count(DISTINCT next) AS n_next FROM n WHERE length(word) <= 3 AND (regexp_full_match(word, '[a-z]+') AND regexp_full_match(next, '[а-яё]+') OR regexp_full_match(word, '[а-яё]+') AND regexp_full_match(next, '[a-z]+')) GROUP BY word",
+    "script_changes": f"WITH {TOK}, n AS (SELECT word, lead(word) OVER (PARTITION BY sent_id ORDER BY pos) AS next FROM tok) SELECT word, count(*) AS n, count(DISTINCT next) AS n_next FROM n WHERE length(word) <= 3 AND (regexp_full_match(word, '[a-z]+') AND regexp_full_match(next, '[а-яё]+') OR regexp_full_match(word, '[а-яё]+') AND regexp_full_match(next, '[a-z]+')) GROUP BY word",
     "training_positions": r"WITH s AS (SELECT regexp_extract_all(lower(sentence), '\p{L}+') AS ws FROM sentence_corpus WHERE sentence IS NOT NULL), p AS (SELECT ws, unnest(list_distinct([0, len(ws) // 3, 2 * len(ws) // 3, len(ws) - 1])) AS pos FROM s WHERE len(ws) > 0) SELECT ws[pos + 1] AS word, count(*) AS n FROM p GROUP BY 1",
     "calibrate_threshold": f"WITH {_LEADS}, n AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS k, count(*) OVER () AS total FROM s WHERE label = 0) SELECT round(max(score), 6) AS threshold FROM n WHERE k > floor(total * 0.05)",
     "confusion_matrix": f"WITH {_LEADS}, g AS (SELECT CAST(sum((label = 1 AND score > 4)::INT) AS BIGINT) AS tp, CAST(sum((label = 0 AND score > 4)::INT) AS BIGINT) AS fp, CAST(sum((label = 1 AND score <= 4)::INT) AS BIGINT) AS fn, CAST(sum((label = 0 AND score <= 4)::INT) AS BIGINT) AS tn FROM s) SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS \"precision\", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS false_share FROM g",
