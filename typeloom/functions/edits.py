@@ -25,16 +25,25 @@ def _rest(c: Column, start: Column) -> Column:
     return c.substr(start, F.length(c))
 
 
+def _with(value: Column, made) -> Column:  # noqa: ANN001
+    """``made(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def is_transposition(a: Column, b: Column) -> Column:
     """Exactly two adjacent letters are swapped; false for equal words."""
-    i = first_mismatch(a, b)
-    return (F.length(a) == F.length(b)) & (a != b) & (a.substr(i, F.lit(1)) == b.substr(i + 1, F.lit(1))) & (a.substr(i + 1, F.lit(1)) == b.substr(i, F.lit(1))) & (_rest(a, i + 2) == _rest(b, i + 2))
+    at = lambda i: (a.substr(i, F.lit(1)) == b.substr(i + 1, F.lit(1))) & (a.substr(i + 1, F.lit(1)) == b.substr(i, F.lit(1))) & (_rest(a, i + 2) == _rest(b, i + 2))
+    # a swap is two replacements: most pairs are told without looking for the place
+    return F.when((F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2), _with(first_mismatch(a, b), at)).otherwise(F.when(a.isNotNull() & b.isNotNull(), False))
+
+
+def _next_key(a: Column, b: Column, i: Column) -> Column:
+    return (F.length(a) == F.length(b)) & (a != b) & (_rest(a, i + 1) == _rest(b, i + 1)) & adjacent(a.substr(i, F.lit(1)), b.substr(i, F.lit(1)))
 
 
 def is_adjacent_substitution(a: Column, b: Column) -> Column:
     """One letter is replaced by that of an adjacent key."""
-    i = first_mismatch(a, b)
-    return (F.length(a) == F.length(b)) & (a != b) & (_rest(a, i + 1) == _rest(b, i + 1)) & adjacent(a.substr(i, F.lit(1)), b.substr(i, F.lit(1)))
+    return _with(first_mismatch(a, b), lambda i: _next_key(a, b, i))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -43,18 +52,20 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def edit_cost(typed: Column, candidate: Column, russian: Column) -> Column:
-    i = first_mismatch(typed, candidate)
-    initial = F.when(russian & (i == 1), 0.5).otherwise(0.0)
-    longer = F.when(F.length(typed) > F.length(candidate), typed).otherwise(candidate)
-    sign = longer.substr(i, F.lit(1)).isin("ь", "ъ")
-    second = (F.length(candidate) > F.length(typed)) & (i > 1) & (candidate.substr(i - 1, F.lit(1)) == "ш") & _rest(candidate, i + 1).isin("", "ся")
-    return (
-        F.when(is_transposition(typed, candidate), F.lit(0.55) + initial)
-        .when((F.abs(F.length(typed) - F.length(candidate)) == 1) & russian & sign, F.when(second, 0.0).otherwise(0.3))
-        .when(F.abs(F.length(typed) - F.length(candidate)) == 1, F.lit(0.75) + initial)
-        .when(is_adjacent_substitution(typed, candidate), F.lit(0.65) + initial)
-        .otherwise(F.lit(1.0) + initial)
-    )
+    def cost(i: Column) -> Column:
+        initial = F.when(russian & (i == 1), 0.5).otherwise(0.0)
+        longer = F.when(F.length(typed) > F.length(candidate), typed).otherwise(candidate)
+        sign = longer.substr(i, F.lit(1)).isin("ь", "ъ")
+        second = (F.length(candidate) > F.length(typed)) & (i > 1) & (candidate.substr(i - 1, F.lit(1)) == "ш") & _rest(candidate, i + 1).isin("", "ся")
+        return (
+            F.when((F.abs(F.length(typed) - F.length(candidate)) == 1) & russian & sign, F.when(second, 0.0).otherwise(0.3))
+            .when(F.abs(F.length(typed) - F.length(candidate)) == 1, F.lit(0.75) + initial)
+            .when(is_transposition(typed, candidate), F.lit(0.55) + initial)
+            .when(_next_key(typed, candidate, i), F.lit(0.65) + initial)
+            .otherwise(F.lit(1.0) + initial)
+        )
+
+    return _with(first_mismatch(typed, candidate), cost)
 
 
 def confusion(typed: Column, intended: Column) -> Column:

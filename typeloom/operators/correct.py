@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeloom.functions.edits import confusion, deletes, distance, edit_cost
+from typeloom.functions.edits import confusion, deletes, distance, edit_cost, is_transposition
 from typeloom.functions.hashing import keep_probability
 from typeloom.functions.text import context_normal, is_capitalized, plain, recapitalized
 from typeloom.tables import written
@@ -99,8 +99,10 @@ def candidates(typed: DataFrame, lex: DataFrame, deep_length: int = 8, deep_rank
     index = lex.select(F.col("lang").alias("word_lang"), "word", "rank", *beside, _hashed(_index_keys(max(15_000, deep_rank), deep), F.col("lang")).alias("k"))
     near = (F.col("lang") == F.col("word_lang")) & (F.abs(F.length("typed") - F.length("word")) <= 2)
     pairs = q.join(index, "k").where(near).select("lang", "typed", "word", "rank", *beside).distinct()
-    d = distance(F.col("typed"), F.col("word"))
-    return pairs.withColumn("dist", d.cast("int")).where((F.col("dist") == 1) | ((F.col("dist") == 2) & deep & (F.length("typed") >= deep_length) & (F.col("rank") <= deep_rank)))
+    # most pairs that share a key are further apart: these go before anything costs more
+    pairs = pairs.withColumn("_far", F.levenshtein("typed", "word", 2)).where("_far >= 0")
+    swapped = F.when(F.col("_far") == 2, is_transposition(F.col("typed"), F.col("word"))).otherwise(False)
+    return pairs.withColumn("dist", F.when(swapped, 1).otherwise(F.col("_far")).cast("int")).drop("_far").where((F.col("dist") == 1) | ((F.col("dist") == 2) & deep & (F.length("typed") >= deep_length) & (F.col("rank") <= deep_rank)))
 
 
 def one_edit_pairs(lex: DataFrame) -> DataFrame:

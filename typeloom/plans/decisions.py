@@ -131,8 +131,9 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sent_id, split, lang, pos, previous, intended, typed``: a slip in the first word of at least four letters of every sentence, and the word before it."""
     s = sentences(spark, sf_dir).select("sent_id", "split", L.language(F.col("source")).alias("lang"), T.letter_runs(F.col("sentence")).alias("ws"))
     each = F.transform("ws", lambda w, i: F.struct(i.alias("pos"), F.when(i > 0, F.get("ws", i - 1)).alias("previous"), w.alias("intended")))
-    first = F.get(F.filter(each, lambda x: L.pure(F.col("lang"), x["intended"]) & (F.length(x["intended"]) >= 4)), F.lit(0))
-    s = s.select("sent_id", "split", "lang", first.alias("x")).where("x is not null").select("sent_id", "split", "lang", "x.*")
+    first = F.slice(F.filter(each, lambda x: (F.length(x["intended"]) >= 4) & L.pure(F.col("lang"), x["intended"])), 1, 1)
+    # by a generator, below which no filter on what it gives is pushed
+    s = s.select("sent_id", "split", "lang", F.inline(first))
     return s.withColumn("typed", E.make_typo(F.col("intended"), F.col("sent_id"))).where("typed <> intended")
 
 

@@ -61,8 +61,8 @@ class Learnt:
         """So that few words of the calibration split, typed right, score above it."""
         s = L.tokens(sentences(self.spark, self.sf_dir).where("split = 'calibration'"))
         words = s.where(L.pure(F.col("lang"), F.col("word"))).select(F.col("word").alias("token"))
-        scores = D.trigram_logits(D.looked_up(words, self.listed, self.model))
-        return M.calibrated(scores.select(F.lit(0).alias("label"), F.col("logit").alias("score")), ALLOWED).first()["threshold"]
+        scores = D.trigram_logits(D.looked_up(words, self.listed, self.model)).select(F.lit(0).alias("label"), F.col("logit").alias("score"))
+        return M.calibrated(written(scores, "scores"), ALLOWED).first()["threshold"]
 
     @cached_property
     def ranked(self) -> DataFrame:

@@ -16,7 +16,7 @@ from typeloom.plans.judged import typo_decide
 from typeloom.tables import load
 
 #: Sources that are left out, whatever their case.
-EXCLUDED = ("eng_tickets", "RUS_CHATS")
+EXCLUDED = ("rus_chat_2024_1M", "ENG_notes_2023_100k")
 
 
 def selection_convert(spark, sf_dir):  # noqa: ANN001, ANN201

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; column pruning and filters reach the scan."""
+    """One input table, over all cores; column pruning and filters reach the scan."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,7 +31,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores before costly work where it comes from fewer files than there are cores; larger inputs stay as they are."""
+    """``df`` over all cores where a small file gives fewer partitions than there are cores; larger inputs are read in place."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
