@@ -1,3 +1,4 @@
+import json
 from dataclasses import replace
 from pathlib import Path
 
@@ -292,6 +293,27 @@ def test_layout_model_sees_protected_shapes(spark, monkeypatch):
     assert {r.token for r in seen[0].collect()} == {r.token for r in M.training_rows(frame).collect()}
 
 
+def test_domain_texts(spark, tmp_path):
+    deep = {"a": [{"b": {"c": [{"d": {"Text": "One two three. Four five six!", "other": "no no no. no no no"}}]}}]}
+    (tmp_path / "a.json").write_text(json.dumps(deep))
+    (tmp_path / "b.md").write_text("Раз два три. ```код код код. код код код.``` Один https://x.yz/a.b два <b>три</b>\nпять")
+    (tmp_path / "c.txt").write_text("Only one sentence here. no")
+    (tmp_path / "d.json").write_text("{broken")
+    got = [(r.file.rsplit("/", 1)[1], r.at, " ".join(r.sentence.split())) for r in R.domain_texts(spark, str(tmp_path)).orderBy("file", "at").collect()]
+    assert got == [("a.json", 0, "One two three"), ("a.json", 1, "Four five six"), ("b.md", 0, "Раз два три"), ("b.md", 1, "Один два три")]
+
+
+def test_written_tables_are_removed(spark):
+    from typeloom import tables
+
+    kept = tables._WRITTEN[:]
+    tables._WRITTEN.clear()
+    path = Path(tables.shared_dir(spark).removeprefix("file://"))
+    assert written(spark.range(3), "removable").count() == 3 and list(path.glob("typeloom-removable-*"))
+    assert tables.removed() == 1 and not list(path.glob("typeloom-removable-*")) and tables.removed() == 0
+    tables._WRITTEN.extend(kept)
+
+
 def test_artifacts_tell_damage(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, None), ("b", 2, 0.5)], "word string, cnt int, w double")
     A.write_artifact(df, str(tmp_path / "x"), "counts", ["word"])
@@ -331,5 +353,5 @@ def test_queries_over_empty_tables(spark, tmp_path):
     for f in Path("/root/testdata/sf0.001").glob("*.parquet"):
         pq.write_table(pq.read_table(f).slice(0, 0), tmp_path / f.name)
     for name, query in e.queries().items():
-        if name.startswith(("p1_", "token", "ranked", "pair_", "typo_best", "layout_eval", "misspelling", "offered", "layout_model", "manual_options")):
+        if name.startswith(("p1_", "token", "ranked", "pair_", "typo_best", "layout_eval", "misspelling", "offered", "layout_model", "manual_options", "layout_decide", "typo_decide", "boundary_replay", "reviewed", "list_lines", "suggestion")):
             assert query(spark, str(tmp_path)).count() <= 1, name

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from typeloom.functions.text import plain
+from typeloom.functions.layout import script
+from typeloom.functions.text import plain, sentences, training_tokens
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -81,17 +85,42 @@ def reviews(spark: SparkSession, path: str, schema: StructType | str | None = No
     return (r.schema(schema) if schema else r).csv(path)
 
 
-def domain_texts(spark: SparkSession, path: str, keys: tuple[str, ...] = ("text", "title", "body", "summary", "content", "description", "message")) -> DataFrame:
-    """Strings under the given keys, at any depth up to three, of JSON documents, one row each."""
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
-    out = None
-    level = docs
-    for _ in range(3):
-        each = level.select(F.explode("m").alias("k", "v"))
-        found = each.where(F.col("k").isin(*keys) & ~F.col("v").startswith("{")).select(F.col("v").alias("text"))
-        out = found if out is None else out.unionByName(found)
-        level = each.select(F.from_json("v", "map<string,string>").alias("m")).where("m is not null")
-    return out
+def domain_texts(spark: SparkSession, path: str, keys: tuple[str, ...] = ("vo", "voiceover", "narration", "script", "text", "line", "spoken_text"), most: int = 8) -> DataFrame:
+    """``file, at, sentence`` of text, Markdown and JSON files: the first ``most`` sentences of three words or more of each file with at least two.
+
+    Of JSON the strings under ``keys`` are taken, at any depth; code blocks of Markdown, addresses and tags are
+    left out. Files that are no JSON though named so hold no sentence.
+    """
+
+    def strings(value, key: str = ""):  # noqa: ANN001, ANN202
+        todo = [(value, key)]
+        while todo:  # without recursion: documents may be nested deeply
+            v, k = todo.pop()
+            if isinstance(v, dict):
+                todo.extend((x, str(n)) for n, x in reversed(v.items()))
+            elif isinstance(v, list):
+                todo.extend((x, k) for x in reversed(v))
+            elif isinstance(v, str) and k.lower() in keys:
+                yield v
+
+    def read(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            out = []
+            for name, text in zip(f["file"], f["value"], strict=True):
+                if name.endswith(".json"):
+                    try:
+                        text = "\n".join(strings(json.loads(text)))
+                    except ValueError:
+                        text = ""
+                out.append((name, text))
+            yield pd.DataFrame(out, columns=["file", "value"])
+
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").mapInPandas(read, "file string, value string")
+    text = F.when(F.col("file").endswith(".md"), F.regexp_replace("value", r"(?s)```.*?```", " ")).otherwise(F.col("value"))
+    text = F.regexp_replace(text, r"https?://\S+|www\.\S+|<[^>]*>", " ")
+    own = F.filter(sentences(text), lambda s: F.size(F.filter(training_tokens(s), lambda w: (F.length(w) <= 35) & (script(w) != "other"))) >= 3)
+    found = whole.select("file", own.alias("all")).where(F.size("all") >= 2)
+    return found.select("file", F.posexplode(F.slice("all", 1, most)).alias("at", "sentence"))
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -46,9 +47,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Intermediate tables of this process; they go when it ends.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors, is computed once."""
+    """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors, is computed once.
+
+    What is returned may be read as long as the driver lives; the table is removed when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/typeloom-{what}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    if not _WRITTEN:
+        atexit.register(removed)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed() -> int:
+    """Removes the intermediate tables this process has written, and nothing else; how many went."""
+    spark, n = SparkSession.getActiveSession(), 0
+    if spark is None:
+        return 0
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n
