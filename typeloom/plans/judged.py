@@ -22,7 +22,7 @@ from typeloom.operators import gestures as G
 from typeloom.operators import lexicon as L
 from typeloom.operators import model as M
 from typeloom.plans.corpus import _PAIR_KNOWN, LEX, _distinct_known, sentences
-from typeloom.plans.decisions import _ADJ, _CONV, _DEL, _DEL2, _I, _MIS, _MISSP, _SCRIPT, _SWAP, _B, _misspellings, _shape_sql, injected
+from typeloom.plans.decisions import _ADJ, _CONV, _DEL, _DEL2, _I, _LEGACY, _MIS, _MISSP, _SCRIPT, _SWAP, _B, _misspellings, _shape_sql, injected
 from typeloom.functions.edits import NEXT_KEY
 from typeloom.streaming.sessions import replay_stream
 from typeloom.tables import load, shared_dir, ship, written
@@ -318,4 +318,27 @@ fx AS (SELECT *, CASE reason WHEN 'typo-context-tsya' THEN fixed WHEN 'typo-know
 fin AS (SELECT *, capital AND rgt IS NOT NULL AND sure < 4.0 AS weak FROM fx)
 SELECT word, previous, at_start, CASE WHEN weak THEN NULL WHEN capital THEN upper(substr(rgt, 1, 1)) || substr(rgt, 2) ELSE rgt END AS corrected, CASE WHEN weak THEN 'ambiguous-capital' ELSE reason END AS reason, CASE WHEN NOT weak THEN round(sure, 5) END AS margin FROM fin"""
 )
-ORACLE = {"layout_decide": _LAYOUT, "typo_decide": _SPELLING}
+_COMPARE = (
+    _LEARNT
+    + rf""", hw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(ws) AS word FROM {_WORDS} WHERE split IN ('dev', 'final')) WHERE {_PURE("lang", "word")} GROUP BY ALL),
+ea AS (SELECT lang, n, word AS token, false AS wrong FROM hw UNION ALL SELECT lang, n, {_CONV("word")}, true FROM hw), ty AS (SELECT DISTINCT token, false AS wrong FROM ea),
+{_LEGACY[_LEGACY.index("w0 AS") :]}, dt AS (SELECT token FROM ty), rd AS MATERIALIZED {_readings("dt")}, fd AS {_found("rd")}, cu AS (SELECT token, {_reason("false")} = 'trained-model' AS now FROM fd)
+SELECT ea.lang, ea.wrong, now AS current, should_convert AS legacy, count(*) AS n_words, CAST(sum(ea.n) AS BIGINT) AS n_tokens FROM ea JOIN r ON r.token = ea.token JOIN cu ON cu.token = ea.token GROUP BY ALL"""
+)
+_EVAL = _SPELLING.replace(
+    "FROM s2 WHERE slip <> w),",
+    "FROM s2 WHERE slip <> w UNION SELECT word, previous, false FROM cl),",
+).replace(
+    "w0 AS (SELECT DISTINCT CASE",
+    f"cl AS MATERIALIZED (SELECT lang, word, previous FROM (SELECT lang, unnest(ws) AS word, unnest(list_prepend(NULL, list_transform(ws[1:len(ws) - 1], lambda x: translate(x, 'ё', 'е')))) AS previous FROM {_WORDS} WHERE split IN ('dev', 'final') AND len(ws) > 0) WHERE {_PURE('lang', 'word')} AND length(word) >= 4),\nw0 AS (SELECT DISTINCT CASE",
+)
+_EVAL = (
+    _EVAL.replace("SELECT word, previous, at_start, CASE WHEN weak", ", dd AS (SELECT word, previous, at_start, CASE WHEN weak")
+    + """),
+sl AS (SELECT lang, CASE WHEN at_start THEN upper(substr(slip, 1, 1)) || substr(slip, 2) ELSE slip END AS word, previous, at_start, translate(w, 'ё', 'е') AS intended FROM s2 WHERE slip <> w),
+ta AS (SELECT sl.lang, count(*) AS n_typos, CAST(sum(CASE WHEN translate(lower(corrected), 'ё', 'е') = intended THEN 1 ELSE 0 END) AS BIGINT) AS fixed, CAST(sum(CASE WHEN translate(lower(corrected), 'ё', 'е') <> intended THEN 1 ELSE 0 END) AS BIGINT) AS wrong
+  FROM sl JOIN dd ON dd.word = sl.word AND dd.previous IS NOT DISTINCT FROM sl.previous AND dd.at_start = sl.at_start GROUP BY sl.lang),
+tb AS (SELECT cl.lang, count(*) AS n_clean, count(corrected) AS "false" FROM cl JOIN dd ON dd.word = cl.word AND dd.previous IS NOT DISTINCT FROM cl.previous AND NOT dd.at_start GROUP BY cl.lang)
+SELECT *, round(coalesce(fixed / nullif(n_typos, 0), 0), 6) AS recall, round(coalesce(fixed / nullif(fixed + wrong, 0), 0), 6) AS "precision", round(coalesce("false" / nullif(n_clean, 0), 0), 6) AS false_share FROM ta JOIN tb USING (lang)"""
+)
+ORACLE = {"layout_decide": _LAYOUT, "layout_compare": _COMPARE, "typo_decide": _SPELLING, "typo_eval": _EVAL}
