@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from typeloom.functions.text import letter_runs
 from typeloom.operators import lexicon as L
 from typeloom.operators import options as O
-from typeloom.plans.corpus import _KNOWN, _PAIRS, LEX, TOK, _distinct_known, known_forms, lex, word_arrays
+from typeloom.plans.corpus import _KNOWN, _PAIR_KNOWN, _PAIRS, LEX, TOK, _distinct_known, known_forms, lex, word_arrays
 from typeloom.plans.decisions import _CONV, _DEL, _MIS, _SCRIPT, _TYPOS, _B, _kind_sql, _ranked, _typos
+from typeloom.plans.judged import _CANDS
 from typeloom.tables import load, written
 
 
@@ -75,6 +76,9 @@ QUERIES = {f.__name__: f for f in (two_edit_options, unlisted_rivals, manual_opt
 ORACLE = {
     "two_edit_options": _WIDE
     + f"SELECT lang, typed, word, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY lang, typed ORDER BY rank, word) AS place FROM (SELECT * FROM cand WHERE dist = 2 AND bit_count(xor({_MASK('typed')}, {_MASK('word')})) <= 4) ANTI JOIN (SELECT lang, typed FROM cand WHERE dist = 1) USING (lang, typed)) WHERE place <= 2",
+    "unlisted_rivals": _TYPOS
+    + f"{_PAIR_KNOWN}, rq AS (SELECT * FROM lex WHERE cnt >= 3), fo AS (SELECT lang, word, rank, 0.0 AS bonus FROM (SELECT * FROM pk ANTI JOIN rq USING (lang, word)) JOIN (SELECT lang, max(rank) + 1 AS rank FROM rq GROUP BY lang) USING (lang)) "
+    + f"SELECT lang, typed, round(max(score), 6) AS rival_score FROM {_CANDS('fo', 'ty', '')} WHERE dist = 1 GROUP BY ALL",
     "manual_options": _TYPOS + _ALTS + "SELECT lang, typed, kind, array_to_string(o, '|') AS options FROM opt",
     "manual_presses": _TYPOS + _ALTS + "SELECT lang, kind, count(*) AS n, CAST(sum((CASE WHEN 2 % (len(o) + 1) = 0 THEN typed ELSE o[2 % (len(o) + 1)] END = typed)::INT) AS BIGINT) AS n_restored FROM opt GROUP BY ALL",
     "real_word_fix": f"WITH {LEX}{_PAIRS}, dk AS (SELECT lang, word, cnt, unnest({_DEL('word')}) AS k FROM lex), nr AS (SELECT DISTINCT x.lang, x.word AS a, y.word AS b, x.cnt AS ac, y.cnt AS bc FROM dk x JOIN dk y ON x.lang = y.lang AND x.k = y.k AND x.word <> y.word), nk AS (SELECT *, {_kind_sql('a', 'b')} AS kind FROM nr), "
