@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.llm import copies, cross_split, encodings, leaks, one_form, packing, terms, toxicity
-from typeloom.tables import load
+from typeloom.tables import load, written
 
 # --- 2: same or nearly the same records across splits
 
@@ -62,7 +62,8 @@ def _sentence_key():  # noqa: ANN202
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.members(_p4_rows(spark, sf_dir))
+    # hashes are read twice, for the groups and for their members: they are written, so that texts are not
+    return copies.members(written(_p4_rows(spark, sf_dir), "hashes"))
 
 
 def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,6 +249,7 @@ ORACLE = {
     FROM (SELECT * FROM sentence_corpus WHERE split <> 'train') s LEFT JOIN o ON s.sent_id = o.id_other GROUP BY ALL""",
     "p4_found": _P4 + "SELECT table_name, first_id AS id_1, id AS id_2 FROM k JOIN g USING (table_name, k) WHERE n_copies > 1 AND id <> first_id",
     "p4_records": _P4 + "SELECT table_name, first_id, n_copies FROM g",
+    "p4_collisions": _P4 + "SELECT table_name, count(*) AS n_hashes FROM (SELECT table_name, md5(k) AS h FROM g GROUP BY ALL HAVING count(*) > 1) GROUP BY table_name",
     "p5_found": _P5 + "SELECT word, mark FROM m WHERE mark IS NOT NULL",
     "p8_found": _P8,
     "p5_counts": _P5 + "SELECT word, occurrences, records, coalesce(mark, 'useful') AS mark FROM m",
