@@ -209,6 +209,21 @@ def test_garbled_rows(spark):
     assert encodings.garbled(df.limit(0), encodings.fitted(df.limit(0))).count() == 0
 
 
+def test_dictionaries_of_all_texts(spark, monkeypatch):
+    rnd = random.Random(6)
+    texts = {
+        lang: [" ".join("".join(rnd.choices(letters, k=rnd.randint(2, 6))) for _ in range(4)) + f"{end} {i}." for i in range(4500)] + [f"{word}, {word}! " * 200] * 3
+        for lang, letters, word, end in (("ru", "абвгдежз", "библиотекарь", " слово,"), ("en", "abcdefgh", "lighthouses", " words:"))
+    }
+    df = spark.createDataFrame([(t,) for ts in texts.values() for t in ts], "text string")
+    want = encodings.Language(texts)
+    for kept, parts in ((encodings._KEPT, 1), (500, 7)):  # words are passed on at the end, and in between
+        monkeypatch.setattr(encodings, "_KEPT", kept)
+        got = encodings.fitted(df.repartition(parts))
+        assert "библиотекарь".encode() in got.dictionaries["ru"] and b"lighthouses" in got.dictionaries["en"]
+        assert got.dictionaries == want.dictionaries and got.pairs == want.pairs
+
+
 # --- 7
 
 

@@ -10,16 +10,17 @@ lost bytes, or replacement characters in the text itself, is described by the te
 without them and a price for each loss. Where that is shortest the text is damaged, but
 left as it is.
 
-Letter pairs are counted over all ordinary texts; only the zstandard dictionaries are fitted
-on a bounded sample of them (``SAMPLE`` distinct texts a language).
+Letter pairs and words are counted over all ordinary texts, whatever their number and length.
+A dictionary holds the words that save most bytes in all of them, as many as it has room for.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -29,6 +30,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from typeloom.tables import written
+
 # Fixed values: (encoding the text was decoded with, encoding it was written in).
 SINGLE = ("cp1251", "cp1252", "latin-1", "cp1250", "mac_roman", "mac_cyrillic", "koi8-r", "cp866", "cp437", "iso8859-5")
 CYRILLIC = ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "iso8859-5")
@@ -41,11 +44,12 @@ COST = {"utf-8": 2.5, "other": 5.0}
 ODD_CASE, FOREIGN, ODD_LETTER = 8.0, 5.0, 2.0
 #: Bytes for each place where bytes were lost, however many.
 LOST = 1.0
-#: At most so many ordinary texts of each language and of less than so many characters, those with the smallest hashes, make a dictionary.
-SAMPLE, LONGEST = 4000, 2000
 #: So many tokens and their costs are remembered by a task.
 _KEPT = 1 << 18
-DICTIONARY = 48 * 1024
+#: Characters after which a task passes its words on.
+_PASSED_ON = 1 << 25
+#: Bytes of a dictionary, and bytes that a match with a word of it costs.
+DICTIONARY, MATCH = 48 * 1024, 3
 
 _ORDINARY = r"^[\x09\x0a\x0d\x20-\x7eА-Яа-яЁё—–«»…№]*+$"
 _CASE = r"[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|(?<![А-ЯЁа-яёA-Za-z])[А-ЯЁ]{2}(?![А-ЯЁа-яёA-Za-z])"
@@ -57,6 +61,7 @@ _USUAL = regex.compile(r"[\x00-\x7f\xa0-\xffĀ-žА-Яа-яЁёЀ-џ‐-‧‰
 _ODD_LETTER = regex.compile(r"[^\x00-\x7fА-Яа-яЁё—–«»…№“”’„‘°€£₽§©½é]")
 _GONE = regex.compile("\ufffd+")
 _SPLIT = regex.compile(r"([ \t\n\r]+)")
+_PUNCTUATION = string.punctuation + "–—«»…№"
 
 
 @cache
@@ -114,18 +119,41 @@ def pair_counts(text: str) -> Counter:
     return Counter(zip(t, t[1:]))
 
 
+def word_counts(tokens: Counter) -> Counter:
+    """Words without the punctuation around them, from counts of tokens in lower case."""
+    words: Counter = Counter()
+    for t, n in tokens.items():
+        words[t.strip(_PUNCTUATION)] += n
+    del words[""]
+    return words
+
+
+def most_saving(words: Counter) -> list[str]:
+    """Words that a dictionary saves bytes with, those first that save most for the room they take (a word takes a space too)."""
+    size = {w: len(w.encode()) + 1 for w in words}
+    return sorted((w for w in words if MATCH < size[w] <= DICTIONARY), key=lambda w: (-words[w] * (size[w] - MATCH) / size[w], w))
+
+
+def dictionary(words: Iterable[str]) -> bytes:
+    """Those of ``words`` that begin within a dictionary's length and that there is room for, the first at the end, where references to it are shortest."""
+    parts, begun, room = [], 0, DICTIONARY
+    for w in words:
+        part = f" {w}".encode()
+        if begun >= DICTIONARY:
+            break
+        begun += len(part)
+        if len(part) <= room:
+            parts.append(part)
+            room -= len(part)
+    return b"".join(reversed(parts))
+
+
 class Language:
-    """Zstandard dictionaries, fitted on ordinary texts per language, and letter-pair costs from counts of letter pairs (those of ``samples`` if none are given)."""
+    """Zstandard dictionaries and letter-pair costs per language, from ``words``, most saving first, and ``counts`` of letter pairs (those of all ``samples`` if none are given)."""
 
-    def __init__(self, samples: dict[str, list[str]], counts: dict[str, Counter] | None = None) -> None:
-        self.dictionaries, self.pairs = {}, {}
-        for name, texts in samples.items():
-            data = [t.lower().encode() for t in texts]
-            try:
-                raw = zstandard.train_dictionary(DICTIONARY, data, k=64, d=8).as_bytes()
-            except zstandard.ZstdError:  # too little to train on: the texts themselves are the dictionary
-                raw = b"\n".join(data)[-DICTIONARY:]
-            self.dictionaries[name] = raw
+    def __init__(self, samples: dict[str, list[str]], counts: dict[str, Counter] | None = None, words: dict[str, list[str]] | None = None) -> None:
+        words = words or {k: most_saving(word_counts(Counter(" ".join(v).lower().split()))) for k, v in samples.items()}
+        self.dictionaries, self.pairs = {name: dictionary(w) for name, w in words.items() if w}, {}
         for name, two in (counts or {k: sum((pair_counts(t) for t in v), Counter()) for k, v in samples.items()}).items():
             one = Counter()
             for (a, _), n in two.items():
@@ -173,7 +201,7 @@ class Language:
         if self._ready is None:
             self._ready = [
                 zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
-                for d in (zstandard.ZstdCompressionDict(r) for r in self.dictionaries.values())
+                for d in (zstandard.ZstdCompressionDict(r, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for r in self.dictionaries.values())
             ] or [zstandard.ZstdCompressor(level=6)]
         raw = text.lower().encode("utf-8", "surrogatepass")
         return min(len(c.compress(raw)) for c in self._ready) + self.oddities(text)
@@ -237,64 +265,80 @@ def unusual(c: Column) -> Column:
 
 
 def _ordinary(texts: DataFrame, column: str) -> DataFrame:
-    """``t, lang, h`` of the ordinary texts of one script."""
+    """``t, lang`` of the ordinary texts of one script."""
     t = F.col(column)
     cyrillic, latin = t.rlike("[А-Яа-яЁё]"), t.rlike("[A-Za-z]")
     language = F.when(cyrillic & ~latin, "ru").when(latin & ~cyrillic, "en")
-    return texts.where(t.rlike(_ORDINARY) & ~t.rlike(_CASE)).select(t.alias("t"), language.alias("lang"), F.xxhash64(t).alias("h")).where(F.col("lang").isNotNull())
+    return texts.where(t.rlike(_ORDINARY) & ~t.rlike(_CASE)).select(t.alias("t"), language.alias("lang")).where(F.col("lang").isNotNull())
+
+
+_COUNTED = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
 
 
-def all_pair_counts(plain: DataFrame) -> tuple[dict[str, Counter], dict[str, int]]:
-    """Counts of letter pairs and of texts by language, over all texts of ``t, lang``; ordinary texts have under two hundred different characters, so the result is small whatever the data."""
+def counted(plain: DataFrame) -> DataFrame:
+    """``lang, a, b, n`` over all texts of ``t, lang``: how often the characters ``a, b`` are neighbours and, where ``b`` is null, how often the word ``a`` occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, Counter] = {}
+        pairs: dict[str, Counter] = {}
+        tokens: dict[str, Counter] = {}
+        read = 0
+
+        def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(rows), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + (1 << 16)], strict=True), _COUNTED, strict=True)], schema=_COUNTED)
+
+        def of_words() -> Iterator[pa.RecordBatch]:
+            for lang, c in tokens.items():
+                yield from out([(lang, w, None, n) for w, n in word_counts(c).items() if len(w) < DICTIONARY])
+            tokens.clear()
+
         for b in batches:
             by: dict[str, list[str]] = {}
             for t, lang in zip(b.column("t").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(t.lower())
+                read += len(t)
             for lang, ts in by.items():
                 # texts are joined by two characters that no text holds, standing for the space at its end and before the next
                 codes = np.frombuffer(("\ue000" + "\ue001\ue000".join(ts) + "\ue001").encode("utf-32-le"), np.uint32)
                 letters, at = np.unique(codes, return_inverse=True)
                 n = np.bincount(at[:-1] * len(letters) + at[1:], minlength=len(letters) ** 2).reshape(len(letters), -1)
                 name = [{0xE000: " ", 0xE001: " "}.get(c, chr(c)) for c in letters.tolist()]
-                mine = total.setdefault(lang, Counter())
+                mine = pairs.setdefault(lang, Counter())
                 for i, j in zip(*np.nonzero(n), strict=True):
                     if letters[i] != 0xE001:
                         mine[name[i], name[j]] += int(n[i, j])
-                mine["", ""] += len(ts)
-        rows = [(lang, a, b, n) for lang, c in total.items() for (a, b), n in c.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["lang", "a", "b", "n"])
+                tokens.setdefault(lang, Counter()).update(" ".join(ts).split())
+            if read > _PASSED_ON or sum(map(len, tokens.values())) > _KEPT:
+                yield from of_words()
+                read = 0
+        yield from of_words()
+        yield from out([(lang, x, y, n) for lang, c in pairs.items() for (x, y), n in c.items()])
 
-    out: dict[str, Counter] = {}
-    for r in plain.select("t", "lang").mapInArrow(run, "lang string, a string, b string, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).collect():
-        out.setdefault(r["lang"], Counter())[r["a"], r["b"]] = r["n"]
-    return out, {lang: c.pop(("", "")) for lang, c in out.items()}
+    return plain.select("t", "lang").mapInArrow(run, "lang string, a string, b string, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def fitted(texts: DataFrame, column: str = "text", sample: int = SAMPLE) -> Language:
-    """Letter pairs of all ordinary texts, and dictionaries from at most ``sample`` distinct ones of each language.
+def fitted(texts: DataFrame, column: str = "text") -> Language:
+    """Letter pairs and dictionaries of all ordinary texts.
 
-    Of large tables only texts whose hash falls into one of so many classes are looked
-    at that about eight times the sample is left to choose the smallest hashes from; each language has its
-    own number of classes, by its texts.
+    Counts are made once and written. Letter pairs are collected whole: ordinary texts have under two hundred
+    different characters, so they are few whatever the data. Of the words, in the order of ``most_saving``,
+    those are collected that begin within a dictionary's length.
     """
-    counts, n_texts = all_pair_counts(_ordinary(texts, column))
-    h, few = F.xxhash64(column), None
-    for lang, n in n_texts.items():
-        classes = max(1, n // (8 * sample))
-        mine = texts.where((F.pmod(h, F.lit(classes)) == 0) & (F.length(column) < LONGEST))  # before any pattern
-        mine = _ordinary(mine, column).where(F.col("lang") == lang)
-        few = mine if few is None else few.unionByName(mine)
-    out: dict[str, list[str]] = {}
-    if few is not None:
-        few = few.groupBy("lang", "h").agg(F.min("t").alias("t"))
-        few = few.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("_place") <= sample)
-        for r in few.orderBy("lang", "_place").collect():
-            out.setdefault(r["lang"], []).append(r["t"])
-    return Language(out, counts)
+    counts = written(counted(_ordinary(texts, column)), "letters_words")
+    pairs: dict[str, Counter] = {}
+    for r in counts.where("b is not null").collect():
+        pairs.setdefault(r["lang"], Counter())[r["a"], r["b"]] = r["n"]
+    size = F.octet_length("a") + 1
+    words = counts.where("b is null").withColumn("_size", size).where(F.col("_size").between(MATCH + 1, DICTIONARY))
+    order = ((F.col("n") * (F.col("_size") - MATCH) / F.col("_size")).desc(), F.col("a"))
+    first: dict[str, list[str]] = {}
+    for lang in sorted(pairs):
+        # a dictionary has room for no more words than this, as each takes more than MATCH bytes
+        most = words.where(F.col("lang") == lang).orderBy(*order).limit(DICTIONARY // (MATCH + 1))
+        before = F.sum("_size").over(Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        most = most.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < DICTIONARY)
+        first[lang] = [r["a"] for r in most.orderBy("_before").collect()]
+    return Language({}, pairs, first)
 
 
 _OUT = pa.schema([("table_name", pa.string()), ("row_id", pa.int64()), ("restored", pa.string()), ("chain", pa.string())])
