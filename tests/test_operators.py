@@ -51,6 +51,17 @@ def test_candidates_against_brute_force(spark):
     assert got == want
 
 
+def test_candidate_keys_are_not_gathered_on_the_driver(spark):
+    """Neither side's keys are sent to every task, however small the planner takes the words to be."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    typed = spark.createDataFrame([("en", "helo")], "lang string, typed string")
+    words = spark.createDataFrame([("en", w, k) for k, w in enumerate(("hello", "help", "word"), 1)], "lang string, word string, rank int")
+    found = C.candidates(typed, words)
+    assert {(r.word, r.dist) for r in found.collect()} == {("hello", 1), ("help", 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_single_edits_of_both_languages(spark, monkeypatch):
     from typeloom.plans import decisions as P
 
