@@ -290,6 +290,12 @@ def test_training_rows(spark):
     assert kept and set(shapes) == {x for w in kept for x in (w + "42", w + "_id", w + ".com", "https://" + w + ".org", w + "En")}
 
 
+def test_training_rows_cut_a_sentence_once(spark):
+    """Neither filters nor the words of a sentence make its tokens be cut again."""
+    rows = M.training_rows(spark.createDataFrame([(1, "one two three")], "sent_id long, sentence string"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_layout_model_sees_protected_shapes(spark, monkeypatch):
     from typeloom.plans import sessions as P
 

@@ -23,15 +23,18 @@ def training_rows(sentences: DataFrame, longest: int = 25) -> DataFrame:
     layout where that turns the script (1), and for a tenth of the first words five
     protected shapes of them (0), one of mixed script among them.
     """
-    ws = F.filter(training_tokens(F.col("sentence")), lambda w: (F.length(w) <= 35) & (script(w) != "other"))
-    s = sentences.select("sent_id", ws.alias("ws")).where(F.size("ws") > 0)
-    twice = 2 * F.size(F.filter("ws", lambda w: script(w) == "en"))
-    s = s.withColumn("lang", F.when((twice > F.size("ws")) | ((twice == F.size("ws")) & (script(F.col("ws")[0]) == "en")), "en").otherwise("ru"))
-    s = s.withColumn("own", F.filter("ws", lambda w: script(w) == F.col("lang"))).withColumn("n", F.size("own")).where("n >= 3")
+    # each step stands behind a generator of one row: nothing is computed again for a filter or for each word
+    once = lambda **cols: F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()])))
+    short = F.filter(training_tokens(F.col("sentence")), lambda w: F.length(w) <= 35)
+    s = sentences.select(once(all=F.transform(short, lambda w: F.struct(w.alias("w"), script(w).alias("k")))))
+    s = s.select(once(ws=F.filter("all", lambda x: x["k"] != "other"))).where(F.size("ws") > 0)
+    twice = 2 * F.size(F.filter("ws", lambda x: x["k"] == "en"))
+    s = s.select("ws", once(lang=F.when((twice > F.size("ws")) | ((twice == F.size("ws")) & (F.col("ws")[0]["k"] == "en")), "en").otherwise("ru")))
+    s = s.select("lang", once(own=F.filter("ws", lambda x: x["k"] == F.col("lang"))["w"])).withColumn("n", F.size("own")).where("n >= 3")
     at = F.array_distinct(F.array(F.lit(0), F.floor(F.col("n") / 3).cast("int"), F.floor(2 * F.col("n") / 3).cast("int"), F.col("n") - 1))
     each = s.select("lang", "own", F.explode(at).alias("pos")).select("lang", "pos", F.get("own", F.col("pos")).alias("word"), F.slice("own", F.greatest(F.lit(1), F.col("pos") - 1), F.least(F.col("pos"), F.lit(2))).alias("previous"))
-    each = each.where(F.length("word") <= longest)
-    w, c = F.col("word"), convert(F.col("word"))
+    each = each.where(F.length("word") <= longest).select("*", once(converted=convert(F.col("word"))))
+    w, c = F.col("word"), F.col("converted")
     row = lambda token, label, kind: F.struct(token.alias("token"), F.lit(label).alias("label"), F.lit(kind).alias("kind"))
     none = F.array().cast("array<struct<token:string,label:int,kind:string>>")
     shapes = [F.concat(w, F.lit("42")), F.concat(w, F.lit("_id")), F.concat(w, F.lit(".com")), F.concat(F.lit("https://"), w, F.lit(".org")), F.concat(w, F.when(F.col("lang") == "en", "Ру").otherwise("En"))]

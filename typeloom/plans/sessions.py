@@ -13,7 +13,7 @@ from typeloom.operators import model as M
 from typeloom.plans.corpus import TOK, lex, sentences, tok, word_arrays
 from typeloom.plans.parsing import _PARSED
 from typeloom.sources.damaged_lines import loaded
-from typeloom.tables import load
+from typeloom.tables import load, written
 
 
 def offered_load(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -98,13 +98,14 @@ def training_positions(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def layout_model(spark, sf_dir):  # noqa: ANN001, ANN201
     """A hashed logistic regression trained, calibrated and measured on disjoint tokens, protected shapes among them; without words of both kinds nothing is measured."""
-    f = M.vectors(M.training_rows(sentences(spark, sf_dir)).select("token", "previous", "label").distinct()).withColumn("bucket", split_bucket(F.col("token")) % 10)
+    rows = M.training_rows(sentences(spark, sf_dir)).select("token", "previous", "label").distinct().withColumn("bucket", split_bucket(F.col("token")) % 10)
+    f = M.vectors(written(rows, "rows"))  # rows and scores are read several times
     if f.where("bucket < 6").select("label").distinct().count() < 2:  # nothing to tell apart
         return M.measured(f.select("label", F.lit(0.0).alias("score")).limit(0), 0.0)
     fit = M.fitted(f.where("bucket < 6").select("label", "features"))
     from pyspark.ml.functions import vector_to_array
 
-    scores = fit.transform(f.where("bucket >= 6")).select("label", "bucket", vector_to_array("rawPrediction")[1].alias("score"))
+    scores = written(fit.transform(f.where("bucket >= 6")).select("label", "bucket", vector_to_array("rawPrediction")[1].alias("score")), "scores")
     threshold = M.calibrated(scores.where("bucket < 8")).first()["threshold"]
     return M.measured(scores.where("bucket >= 8"), 0.0 if threshold is None else threshold)
 
