@@ -198,7 +198,7 @@ def boundary_text(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def boundary_stream(spark, sf_dir):  # noqa: ANN001, ANN201
-    """The same boundaries as a stream, with a state per session; the result equals that of the batch."""
+    """The same boundaries as a stream, with a state for each group of sessions; the result equals that of the batch."""
     ship(spark)
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     pieces = sentences(spark, sf_dir).where("sentence is not null").select(F.col("sent_id").alias("session"), F.posexplode(T.boundary_tokens(F.col("sentence"))).alias("seq", "piece"))
@@ -206,8 +206,10 @@ def boundary_stream(spark, sf_dir):  # noqa: ANN001, ANN201
     separator = F.when(F.length("piece") > F.length(token), F.right("piece", F.lit(1))).otherwise(" ")
     rows = pieces.select("session", "seq", token.alias("token"), separator.alias("separator"))
     rows.write.parquet(f"{base}/in")
-    judged = written(_judged(spark, sf_dir, spark.read.parquet(f"{base}/in").where("token <> ''").select("token").distinct()), "judged")
-    out = replay_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), judged)
+    typed = spark.read.schema(rows.schema).parquet(f"{base}/in")
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), typed.count() // 20_000)  # some 20,000 tokens each
+    judged = written(_judged(spark, sf_dir, typed.where("token <> ''").select("token").distinct()), "judged")
+    out = replay_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), judged, groups=groups)
     q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return _by_reason(spark.read.schema(out.schema).parquet(f"{base}/out"))
